@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.llm import packing, seen, spans, tokens
+from cairnlake.llm import packing, seen, spans, tokens, truncation
 from cairnlake.runtime import table
 
 
@@ -57,7 +57,15 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p7_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error_rate, p5_found, p5_spans, p5_report, p6_ids, p7_containers, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.found(truncation.judged(truncation.ends(table(spark, d, "documents"))))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.report(truncation.judged(truncation.ends(table(spark, d, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_error_rate, p5_found, p5_spans, p5_report, p6_ids, p7_containers, p7_report, p8_found, p8_report)}
 
 _SEEN = """
 keyed as (
