@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlake.runtime import materialize
@@ -60,23 +60,29 @@ _GARBLED = re.compile("Ã[-¿]|â€|â\x80|Â[^\\w\\s]|[ÐÑ][-¿ŒœŠšŽžƒ
 # fixed values: what page furniture looks like, by language
 _FURNITURE = re.compile(
     "(?:^|(?<=\\s))(?:"
-    "©[^\n]{0,120}|(?:Copyright|\\(c\\)) [^\n]{0,120}|All rights reserved\\.[^\n]{0,60}|Alle Rechte vorbehalten\\.?[^\n]{0,60}"
+    "(?:Â|\ufffd)?©[^\n]{0,120}|\ufffd (?:19|20)\\d\\d [^\n]{0,100}|(?:Copyright|\\(c\\)) [^\n]{0,120}|All rights reserved\\.[^\n]{0,60}|Alle Rechte vorbehalten\\.?[^\n]{0,60}"
     "|Powered by \\S+|Back to top|Nach oben|Haut de page|Volver arriba|Наверх|ページトップへ|Επιστροφή στην κορυφή"
     "|Terms \\| Privacy \\| Accessibility|Share this page"
     "|Posted by [^\n.]{1,80}|(?:Opening hours|Öffnungszeiten): [^\n]{1,60}"
     "|(?:Tags|Schlagwörter|Mots-clés ?|Etiquetas|Метки|Ετικέτες|タグ): ?[^\n.]{1,120}"
     "|Next: [^\n]{1,80}»|Comments \\(\\d+\\)"
-    "|— (?:[^\\W\\d_a-z]\\S* ?){1,4})$"
+    ")$"
 )
+# fixed values: what comes before a writer's name
+_SIGNATURE = re.compile("(?:^|\\s)(?:—|By|Von|Par|Por|Автор|Από) ([^\n.—]{2,60})$")
+# fixed values: words of consent notices
+_CONSENT = re.compile("cookie|クッキー|speichert Einstellungen|stores small files|privacy matters", re.I)
 _INVITATION = re.compile("(?:Read more|Continue reading|Weiterlesen|Mehr lesen|Читать далее|Lire la suite|Leer más|Διαβάστε περισσότερα|続きを読む) ?(?:…|\\.\\.\\.)?$")
 
-_TOKEN = re.compile("[぀-ヿ㐀-鿿]|\\d+(?:[.,]\\d+)*|[^\\W\\d_぀-鿿]+(?:['’-][^\\W\\d_]+)*|[.!?。？！…;]+|\n|\x00")
+_TOKEN = re.compile("[぀-ヿ㐀-鿿]|\\d+(?:[.,]\\d+)*|[^\\W\\d_぀-鿿]+(?:['’-][^\\W\\d_]+)*|[.!?。？！…;|·•»]+|\n|\x00")
 _WORD, _STOP, _LINE, _EDGE = 0, 1, 2, 3
+_LINE_WORDS = 8
 
 _FEATURES = (
-    "what int, doc_id {}, source string, text_key long, chars long, bytes long, verdict int, open boolean, prose boolean, marked boolean,"
-    " k_pair long, k_shape long, k_word long, lower boolean, key long, total long, closing long"
+    "what int, uid long, doc_id {}, source string, text_key long, chars long, bytes long, body long, verdict int, open boolean, marked boolean,"
+    " asks array<struct<line:bigint,pair:bigint,shape:bigint,word:bigint,lower:boolean,prose:boolean>>, key long, total long, closing long"
 )
+_ASK = pa.list_(pa.struct([("line", pa.int64()), ("pair", pa.int64()), ("shape", pa.int64()), ("word", pa.int64()), ("lower", pa.bool_()), ("prose", pa.bool_())]))
 DOC, GRAM = 0, 1
 WHOLE, CUT, ASK = 0, 1, 2
 
@@ -112,9 +118,16 @@ def without_furniture(text: str) -> tuple[str, int]:
         if _INVITATION.search(text[-60:]):
             return text, -1
         tail = text[-400:]
+        line = text[text.rfind("\n") + 1 :]
+        if len(line) < len(text) and len(line) <= 160 and (line.count(" | ") >= 3 or _CONSENT.search(line)):
+            text = text[: len(text) - len(line)]
+            taken += 1
+            continue
         m = _FURNITURE.search(tail)
         if not m:
-            return text, taken
+            m = _SIGNATURE.search(tail)
+            if not m or not all(w[0].isupper() for w in m.group(1).split()):
+                return text, taken
         text = text[: len(text) - len(tail) + m.start()]
         taken += 1
     return text, taken
@@ -126,18 +139,31 @@ def _last_fragment(text: str) -> str:
     return text[-600:][cut:].strip()
 
 
+def _body_start(text: str) -> int:
+    """Where the first line of the main content begins: behind menus, notices and titles."""
+    at = 0
+    for line in text.split("\n")[:60]:
+        long = len(line) > 75 or _TERMINATED.search(line)
+        if long and line.strip() and line.count(" | ") < 3 and not (len(line) <= 160 and _CONSENT.search(line)):
+            return at
+        at += len(line) + 1
+    return 0
+
+
 def _is_prose(fragment: str) -> bool:
+    """Words of usual length, mostly letters, and not a row of capitalised menu items."""
     n = len(fragment)
     if not n:
         return False
+    words = fragment.split()
+    wide = any(c > "\u2fff" for c in fragment)
     letters = sum(c.isalpha() or c in " ,'’-“”„«»" for c in fragment)
-    longest = max(map(len, fragment.split()), default=0)
-    lower = sum(c.islower() or c > "\u2fff" for c in fragment)
-    return letters >= 0.75 * n and (longest <= 24 or any(c > "\u2fff" for c in fragment)) and lower >= 0.5 * letters * 0.8
+    capitals = sum(w[0].isupper() for w in words)
+    return letters >= 0.75 * n and (wide or max(map(len, words), default=0) <= 24) and (wide or len(words) < 4 or capitals <= 0.6 * len(words))
 
 
 class _Vocabulary:
-    """Token hashes, kept by each worker."""
+    """Token hashes, kept while a partition is read."""
 
     def __init__(self) -> None:
         self.at: dict[str, int] = {}
@@ -153,7 +179,7 @@ class _Vocabulary:
         self.exact.append(h)
         self.norm.append(xxhash.xxh64_intdigest("shape " + shape) if shape else h)
         self.shape.append(xxhash.xxh64_intdigest("shape " + shape) if shape else 0)
-        self.kind.append(_EDGE if token == "\x00" else _LINE if token == "\n" else _STOP if first in ".!?。？！…;" else _WORD)
+        self.kind.append(_EDGE if token == "\x00" else _LINE if token == "\n" else _STOP if first in ".!?。？！…;|·•»" else _WORD)
         return at
 
     def read(self, tokens: list[str]) -> tuple[np.ndarray, ...]:
@@ -182,78 +208,107 @@ def _keys(exact, norm, shape, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return pair, shaped, _mix(exact, exact, 3)
 
 
-def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, bool, str]:
-    """(verdict, open, prose, marked, end): what one text tells about its end.
+def _line_keys(exact, norm, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The last positions and keys of all lines of up to eight words and nothing else.
 
-    ``end`` is the text without page furniture; it is empty where nothing has to be asked.
+    One word stands for itself; in longer lines a capitalised word or a number stands for its kind.
+    """
+    edge = np.flatnonzero(kind >= _LINE)
+    gap = np.diff(edge) - 1
+    inside = np.concatenate([[0], np.cumsum(kind == _STOP)])
+    fits = (gap >= 1) & (gap <= _LINE_WORDS) & (inside[edge[1:]] == inside[edge[:-1]]) if len(edge) > 1 else np.zeros(0, bool)
+    start, gap = edge[:-1][fits] + 1, gap[fits]
+    key = np.where(gap == 1, exact[start], norm[start])
+    for k in range(1, _LINE_WORDS):
+        more = gap > k
+        key[more] = _mix(key[more], norm[start[more] + k], 7).view(np.uint64)
+    return start + gap - 1, _mix(key, key, 5)
+
+
+def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tuple[str, bool]], str]:
+    """(verdict, open, marked, ends, main): what one text tells about its end; main is its main content.
+
+    ``ends`` are the ends that the baselines have to judge, with whether they are prose:
+    the end of the text without page furniture and, above short lines such as menu items,
+    the end of the line before them.
     """
-    size = len(text)
+    size, main = len(text), ""
     if n_chars is not None and n_chars > size and n_chars != len(text.encode()) and n_chars != len(text.encode("utf-16-le")) // 2:
-        return CUT, True, True, False, ""
+        return CUT, True, False, [], main
     bare = text.rstrip()
     garbled = bare[:-3].count("\ufffd") > 0 or len(_GARBLED.findall(bare)) >= 3
-    prose_before = lambda end: _is_prose(_last_fragment(end)[-80:])
     if not garbled:
         if bare.endswith("\ufffd"):
-            return CUT, True, True, False, ""
+            return CUT, True, False, [], main
         for broken in (_BROKEN_MARKUP, _BROKEN_REFERENCE, _BROKEN_ESCAPE):
             m = broken.search(bare[-240:])
             if m:
-                rest = bare[: len(bare) - len(bare[-240:]) + m.start()]
-                tail = rest[-60:]
+                tail = bare[: len(bare) - len(bare[-240:]) + m.start()][-60:]
                 plain = sum(c.isalnum() or c in " .,–-\n" for c in tail)
-                if tail and plain >= 0.85 * len(tail) and " " in tail:
-                    return CUT, True, True, False, ""
+                if plain >= 0.85 * len(tail) and " " in tail:
+                    return CUT, True, False, [], main
     main, taken = without_furniture(bare)
     if taken < 0 or not main:
-        return WHOLE, False, False, False, ""
-    mark = _MARK.search(main)
-    if mark and not garbled:
-        rest = main[: mark.start()]
-        prose = prose_before(rest) and len(_last_fragment(rest).split()) >= 2
-        return ASK, prose, prose, True, rest
+        return WHOLE, False, False, [], main
     if garbled:
         closed = bool(re.search("[.!?]|ã€‚|ã\x80\x82|。", main[-7:]))
-        return (WHOLE, False, False, False, "") if closed else (ASK, True, False, False, "")
-    if _TERMINATED.search(main) or (_GREEK_END.search(main) and _GREEK.search(main[-200:])) or _SMILE.search(main):
-        # a quote that opened in the last sentence and never closed
-        return (CUT, True, True, False, "") if any(s in "“„«「『" for s in open_delimiters(main)) and prose_before(main[:-1]) else (WHOLE, False, False, False, "")
-    fragment = _last_fragment(main)
-    prose = _is_prose(fragment[-160:])
-    cjk = any(c > "\u2fff" for c in fragment)
+        return (WHOLE, False, False, [], main) if closed or taken else (ASK, True, False, [], main)
     if taken == 0 and re.search("[©·|]$", bare):
-        return CUT, True, prose, False, ""
-    if not prose:
-        return ASK, False, False, False, main
-    words = len(fragment) // 3 if cjk else len(fragment.split())
-    if open_delimiters(main):
-        return CUT, True, True, False, ""
-    if words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", main):
-        return CUT, True, True, False, ""
-    return ASK, words >= 4, True, False, main
+        return CUT, True, False, [], main
+    mark = _MARK.search(main)
+    if mark:
+        rest = main[: mark.start()]
+        fragment = _last_fragment(rest)
+        prose = _is_prose(fragment[-80:]) and len(fragment.split()) >= 2
+        return ASK, prose, True, [(rest, prose)], main
+    open_, ends, measured = False, [], main
+    for _ in range(8):
+        if _TERMINATED.search(main) or (_GREEK_END.search(main) and _GREEK.search(main[-200:])) or _SMILE.search(main):
+            # a quote that opened in the last sentence and never closed
+            if any(s in "“„«「『" for s in open_delimiters(main)) and _is_prose(_last_fragment(main)[-80:]):
+                return CUT, True, False, [], measured
+            break
+        fragment = _last_fragment(main)
+        prose = _is_prose(fragment[-160:])
+        wide = any(c > "\u2fff" for c in fragment)
+        words = len(fragment) // 3 if wide else len(fragment.split())
+        if prose and open_delimiters(main):
+            return CUT, True, False, [], measured
+        if prose and words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", main):
+            return CUT, True, False, [], measured
+        open_ |= prose and words >= 4
+        ends.append((main, prose))
+        start = main.rfind("\n") + 1
+        if not start or words > 3 or len(main) - start > len(fragment) + 2:
+            break
+        main, taken = without_furniture(main[:start])
+        if taken < 0 or not main:
+            break
+        if taken:
+            measured = main
+    return (ASK if ends else WHOLE), open_, False, ends, measured
 
 
 def _features(doc_kind: str):
     names = [x.split()[0] for x in _FEATURES.format(doc_kind).split(", ")]
-    vocabulary: list[_Vocabulary] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not vocabulary:
-            vocabulary.append(_Vocabulary())
-        v = vocabulary[0]
+        from pyspark import TaskContext
+
+        pid, count, v = TaskContext.get().partitionId(), 0, _Vocabulary()
         for b in batches:
             n = b.num_rows
             texts, stored = b.column("text").to_pylist(), b.column("n_chars").to_pylist()
-            rows, ends = [], []
+            rows, asked = [], []
             tokens: list[str] = ["\x00"]
             for text, n_chars in zip(texts, stored):
                 if text is None or not text.strip():
-                    rows.append((0, 0, WHOLE, False, False, False))
-                    ends.append(None)
+                    rows.append((0, 0, 0, WHOLE, False, False))
+                    asked.append([])
                     continue
-                verdict, open_, prose, marked, end = read_end(text, n_chars)
-                rows.append((len(text), len(text.rstrip("\ufffd").encode()), verdict, open_, prose, marked))
-                ends.append(end if verdict == ASK and end else None)
+                verdict, open_, marked, ends, main = read_end(text, n_chars)
+                rows.append((len(text), len(text.rstrip("\ufffd").encode()), len(main) - _body_start(main), verdict, open_, marked))
+                asked.append(ends)
                 tokens += _TOKEN.findall(text)
                 tokens.append("\x00")
             exact, norm, shape, kind = v.read(tokens)
@@ -262,36 +317,40 @@ def _features(doc_kind: str):
             at = np.flatnonzero((kind[:-1] == _WORD) & (kind[1:] != _EDGE))
             closes = (kind[at + 1] == _STOP) | (kind[at + 1] == _LINE)
             has_shape = shaped[at] != 0
-            keys = np.concatenate([pair[at], word[at], shaped[at][has_shape]])
-            flags = np.concatenate([closes, closes, closes[has_shape]])
+            line_end, line = _line_keys(exact, norm, kind)
+            line = line[kind[line_end + 1] == _LINE]
+            keys = np.concatenate([pair[at], word[at], shaped[at][has_shape], line])
+            flags = np.concatenate([closes, closes, closes[has_shape], np.ones(len(line), bool)])
             grams, place = np.unique(keys, return_inverse=True)
             totals, closings = np.bincount(place, minlength=len(grams)), np.bincount(place, weights=flags, minlength=len(grams))
-            # the last words of the ends to be judged
-            last_tokens: list[str] = ["\x00"]
-            where = []
-            lower = np.zeros(n, bool)
-            for i, end in enumerate(ends):
-                found = [t for t in _TOKEN.findall(end[-120:])][-2:] if end else []
-                if found and v.kind[v.at[found[-1]] if found[-1] in v.at else v.place(found[-1])] == _WORD:
-                    last_tokens += found
-                    where.append((i, len(last_tokens) - 1))
-                    lower[i] = found[-1][0].islower()
-                    last_tokens.append("\x00")
-            e, m, s, k = v.read(last_tokens)
-            p3, s3, w3 = _keys(e, m, s, k)
-            asked = {i: (int(p3[j]), int(s3[j]) or None, int(w3[j])) for i, j in where}
-            chars, size, verdict, open_, prose, marked = (list(x) for x in zip(*rows)) if rows else ([],) * 6
+            # the last words of the ends to be judged, with their line where it is short
+            last: list[str] = ["\x00"]
+            places: list[list[tuple[int, bool, bool]]] = []
+            for ends in asked:
+                mine = []
+                for end, prose in ends:
+                    words = _TOKEN.findall(end[max(0, len(end) - 120, end.rfind("\n") + 1) :])
+                    if words and words[-1][0].isalnum():
+                        # a longer line is cut to its last two words, behind a stop
+                        last += words if len(words) <= _LINE_WORDS and len(end) - end.rfind("\n") <= 120 else [".", *words[-2:]]
+                        mine.append((len(last) - 1, words[-1][0].islower(), prose))
+                        last.append("\x00")
+                places.append(mine)
+            e, m, h, k = v.read(last)
+            p3, s3, w3 = (x.tolist() for x in _keys(e, m, h, k))
+            lines = dict(zip(*(x.tolist() for x in _line_keys(e, m, k))))
+            asks = [[{"line": lines.get(j), "pair": p3[j], "shape": s3[j] or None, "word": w3[j], "lower": low, "prose": prose} for j, low, prose in mine] for mine in places]
+            chars, size, body, verdict, open_, marked = (list(x) for x in zip(*rows)) if rows else ([],) * 6
             text_key = [xxhash.xxh64_intdigest(t.encode()) - 2**63 if t else None for t in texts]
-            blank = lambda t: pa.nulls(n, t)  # noqa: B023, E731
             columns = [
-                pa.array(np.full(n, DOC, np.int32)), b.column("doc_id"), b.column("source"), pa.array(text_key, pa.int64()), pa.array(chars, pa.int64()), pa.array(size, pa.int64()),
-                pa.array(verdict, pa.int32()), pa.array(open_), pa.array(prose), pa.array(marked),
-                *(pa.array([asked[i][j] if i in asked else None for i in range(n)], pa.int64()) for j in range(3)),
-                pa.array(lower), blank(pa.int64()), blank(pa.int64()), blank(pa.int64()),
+                pa.array(np.full(n, DOC, np.int32)), pa.array((pid << 40) + count + np.arange(n)), b.column("doc_id"), b.column("source"), pa.array(text_key, pa.int64()),
+                pa.array(chars, pa.int64()), pa.array(size, pa.int64()), pa.array(body, pa.int64()), pa.array(verdict, pa.int32()), pa.array(open_, pa.bool_()), pa.array(marked, pa.bool_()),
+                pa.array(asks, _ASK), *(pa.nulls(n, pa.int64()) for _ in range(3)),
             ]
+            count += n
             yield pa.record_batch(columns, names=names)
             g = len(grams)
-            columns = [pa.array(np.full(g, GRAM, np.int32)), *(pa.nulls(g, c.type) for c in columns[1:14]), pa.array(grams), pa.array(totals.astype(np.int64)), pa.array(closings.astype(np.int64))]
+            columns = [pa.array(np.full(g, GRAM, np.int32)), *(pa.nulls(g, c.type) for c in columns[1:12]), pa.array(grams), pa.array(totals.astype(np.int64)), pa.array(closings.astype(np.int64))]
             yield pa.record_batch(columns, names=names)
 
     return run
@@ -304,62 +363,68 @@ def ends(documents: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_features(kind), _FEATURES.format(kind)), "ends")
 
 
-def limits(read: DataFrame) -> DataFrame:
-    """``source, unit, length`` where a source's open texts pile up.
+def naturalness(read: DataFrame) -> DataFrame:
+    """``uid, source, doc_id, text_key, chars, bytes, body, verdict, open, marked, broken, broken_prose``, written.
 
-    Counts different open texts by source and length; a window of one source holds its
-    distinct lengths, not its rows.
+    ``broken``: one of the ends stops where hardly any sentence or line does.
     """
-    open_ = read.filter((F.col("what") == DOC) & F.col("open")).select("source", "text_key", "chars", "bytes")
-    sizes = open_.select("source", "text_key", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "length"))
+    docs = read.filter(F.col("what") == DOC)
+    asks = docs.select("uid", F.explode("asks").alias("a")).select("uid", F.monotonically_increasing_id().alias("ask"), "a.*")
+    keys = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(c).alias("key")) for i, c in enumerate(("line", "pair", "shape", "word"))])
+    keyed = asks.select("uid", "ask", "lower", "prose", F.explode(keys).alias("k")).select("uid", "ask", "lower", "prose", "k.*").filter("key is not null")
+    grams = read.filter(F.col("what") == GRAM).select("key", "total", "closing")
+    known = grams.join(keyed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("total").alias("total"), F.sum("closing").alias("closing"))
+    # the most exact of the four that is known decides; a lower-case word that is not known is broken off
+    share = F.when(F.col("total") >= KNOWN, F.struct("rank", (F.col("closing") / F.col("total")).alias("share")))
+    of_end = keyed.join(known, "key", "left").groupBy("uid", "ask").agg(F.min(share)["share"].alias("share"), F.first("lower").alias("lower"), F.first("prose").alias("prose"))
+    broken = F.coalesce(F.col("share") < CLOSING_SHARE, F.col("lower"))
+    of_doc = of_end.groupBy("uid").agg(F.max(broken).alias("broken"), F.max(broken & F.col("prose")).alias("broken_prose"))
+    columns = ["uid", "doc_id", "source", "text_key", "chars", "bytes", "body", "verdict", "open", "marked"]
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("broken", "broken_prose")]
+    return materialize(docs.select(columns).join(of_doc, "uid", "left").select(*columns, *flags), "broken")
+
+
+UNITS = ("chars", "bytes", "body")
+
+
+def limits(natural: DataFrame) -> DataFrame:
+    """``source, unit, length, exact`` where a source's texts that stop in the middle pile up.
+
+    Units are characters and bytes of the text and characters of its main content. Counts
+    different texts by source and length; a window of one source holds its distinct
+    lengths, not its rows. ``exact``: the pile is on one length.
+    """
+    stopped = natural.filter((F.col("verdict") == CUT) | F.col("broken_prose") | (F.col("marked") & F.col("open")))
+    units = F.create_map(*[x for u in UNITS for x in (F.lit(u), F.col(u))])
+    sizes = stopped.select("source", "text_key", F.explode(units).alias("unit", "length")).filter("length > 0")
     counts = sizes.distinct().groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     along = Window.partitionBy("source", "unit").orderBy("length")
     near = F.sum("n").over(along.rangeBetween(-NEAR, NEAR))
     far = F.sum("n").over(along.rangeBetween(-AROUND, AROUND)) - near
     width = 2 * (AROUND - NEAR)
-    exact = (F.col("n") >= LEAST_PILE) & (F.col("n") >= 12 * F.col("far") / width)
+    one = (F.col("n") >= LEAST_PILE) & (F.col("n") >= 12 * F.col("far") / width)
     wide = (F.col("near") >= 2 * LEAST_PILE) & (F.col("near") >= 5 * F.col("far") * (2 * NEAR + 1) / width)
-    return counts.withColumn("near", near).withColumn("far", far).filter(exact | wide).select("source", "unit", "length")
+    exact = one & (2 * F.col("n") >= F.col("near"))
+    return counts.withColumn("near", near).withColumn("far", far).filter(one | wide).select("source", "unit", "length", exact.alias("exact"))
 
 
 def judged(read: DataFrame) -> DataFrame:
     """``doc_id, source, cut`` for every document."""
-    docs = read.filter(F.col("what") == DOC)
-    piles = limits(read)
-    at = lambda unit: piles.filter(F.col("unit") == unit).select(F.col("source").alias(f"s_{unit}"), F.col("length").alias(f"l_{unit}"), F.lit(True).alias(f"at_{unit}"))
-    for unit in ("chars", "bytes"):
+    docs = naturalness(read)
+    piles = limits(docs)
+    for unit in UNITS:
         # a source's distinct pile lengths: far fewer than its rows
-        docs = docs.join(at(unit), F.col("source").eqNullSafe(F.col(f"s_{unit}")) & (F.col(unit) == F.col(f"l_{unit}")), "left")
-    at_limit = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
-    docs = docs.withColumn("at_limit", at_limit)
-    asked = docs.filter((F.col("verdict") == ASK) & F.col("k_pair").isNotNull())
-    keys = asked.select(F.explode(F.array_compact(F.array("k_pair", "k_shape", "k_word"))).alias("key")).distinct()
-    grams = read.filter(F.col("what") == GRAM).select("key", "total", "closing")
-    known = grams.join(keys, "key", "left_semi").groupBy("key").agg(F.sum("total").alias("total"), F.sum("closing").alias("closing"))
-    known = materialize(known, "grams")
-    for c in ("pair", "shape", "word"):
-        named = known.select(F.col("key").alias(f"k_{c}"), F.col("total").alias(f"n_{c}"), (F.col("closing") / F.col("total")).alias(f"c_{c}"))
-        docs = docs.join(named, f"k_{c}", "left")
-    return docs.select("doc_id", "source", _decide().alias("cut"))
-
-
-def _decide() -> Column:
-    n = {c: F.coalesce(f"n_{c}", F.lit(0)) for c in ("pair", "shape", "word")}
-    stops = {c: F.coalesce(f"c_{c}", F.lit(0.0)) for c in n}
-    unnatural = (
-        F.when(F.col("k_pair").isNull(), False)
-        .when(n["pair"] >= KNOWN, stops["pair"] < CLOSING_SHARE)
-        .when(n["shape"] >= KNOWN, stops["shape"] < CLOSING_SHARE)
-        .when(n["word"] >= KNOWN, stops["word"] < CLOSING_SHARE)
-        .otherwise(F.col("lower"))  # a word that occurs nowhere else: broken off
-    )
-    asked = (
-        F.when(F.col("marked"), F.col("at_limit") | (F.col("prose") & unnatural))
-        .when(F.col("at_limit") & F.col("open"), True)
-        .when(F.col("prose"), unnatural)
-        .otherwise(F.col("at_limit") & unnatural)
+        at = piles.filter(F.col("unit") == unit).select(F.col("source").alias("s"), F.col("length").alias("l"), F.col("exact").alias(f"at_{unit}"))
+        docs = docs.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col(unit) == F.col("l")), "left").drop("s", "l")
+    exact = F.coalesce(*[F.when(F.col(f"at_{u}"), True) for u in UNITS], F.lit(False))
+    at_limit = F.coalesce(*[F.col(f"at_{u}").isNotNull() | F.lit(None) for u in UNITS], F.lit(False))
+    cut = (
+        F.when(F.col("verdict") == CUT, True)
+        .when(F.col("verdict") == WHOLE, False)
+        .when(F.col("marked"), at_limit | F.col("broken_prose"))
+        .otherwise(F.col("broken_prose") | exact | (at_limit & (F.col("open") | F.col("broken"))))
     )
-    return F.when(F.col("verdict") == CUT, True).when(F.col("verdict") == WHOLE, False).otherwise(asked)
+    return docs.select("doc_id", "source", cut.alias("cut"))
 
 
 def found(judged: DataFrame) -> DataFrame:
