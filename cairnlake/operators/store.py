@@ -124,8 +124,8 @@ def strict(verified: DataFrame) -> DataFrame:
 
 
 def audit(objects: DataFrame) -> DataFrame:
-    """``check, violations`` of the constraints of the object table."""
-    once = objects.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("unique_hash").alias("check"), F.col("n").alias("violations"))
+    """``rule, violations`` of the constraints of the object table."""
+    once = objects.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("unique_hash").alias("rule"), F.col("n").alias("violations"))
     tests = {
         "hash_length": F.col("hash").isNull() | (F.octet_length("hash") != schema.HASH_BYTES),
         "kind": F.col("kind").isNull() | ~F.col("kind").isin(*schema.KINDS),
@@ -134,7 +134,7 @@ def audit(objects: DataFrame) -> DataFrame:
         "stored_size": F.col("content").isNotNull() & ~F.col("stored_size").eqNullSafe(F.octet_length("content").cast("long")),
     }
     counted = objects.agg(*[F.count_if(F.coalesce(t, F.lit(True))).alias(n) for n, t in tests.items()])
-    return once.unionAll(counted.select(F.explode(F.create_map(*[x for n in tests for x in (F.lit(n), F.col(n))])).alias("check", "violations")))
+    return once.unionAll(counted.select(F.explode(F.create_map(*[x for n in tests for x in (F.lit(n), F.col(n))])).alias("rule", "violations")))
 
 
 @dataclass(frozen=True)
