@@ -54,11 +54,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this session's application."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        try:
+    try:
+        for path in _written.pop(spark.sparkContext.applicationId, []):
             _delete(spark, path)
-        except Exception:  # the session may be gone already
-            return
+    except Exception:  # the session may have ended
+        return
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

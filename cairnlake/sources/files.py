@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``file_id`` (path), ``bytes``, ``extension`` of all files below a folder."""
+    """``file_id`` (path), ``bytes``, ``extension`` of all files below a folder.
+
+    Spark's reader does not list files without bytes; they are not ingested.
+    """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return rows.select(F.col("path").alias("file_id"), F.col("content").alias("bytes"), extension("path").alias("extension"))
 

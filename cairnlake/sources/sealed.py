@@ -13,7 +13,7 @@ The labels that separate the hashes and keys of a format family are parameters
 ``spark.read.format("sealedpack")`` reads the directory and payloads of packs by path;
 each partition takes a range of the directory and reads only its payloads. Options:
 ``path`` (a file, a folder or a glob), ``tag``, ``secret`` and ``slot`` in hexadecimal,
-``verify`` (default true) and the labels.
+``verify`` (default true), ``pushdown`` (default false) and the labels (``label_pack_id`` and so on).
 """
 
 from __future__ import annotations
@@ -294,18 +294,12 @@ class _Range(InputPartition):
 
 
 class SealedReader(DataSourceReader):
-    """Reads ranges of directories; equality on hash is pushed down to the directory."""
+    """Reads ranges of directories."""
 
     def __init__(self, options: dict):
         self.options = options
         self.wanted: bytes | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("hash",):
-                self.wanted = bytes(f.value)
-            yield f
-
     def _settings(self):
         o = self.options
         hexed = lambda n, default=None: bytes.fromhex(o[n]) if n in o else default
@@ -350,6 +344,16 @@ class SealedReader(DataSourceReader):
                 yield (part.path, d.pack_id, d.encrypted, d.root, len(d.entries), e.hash, e.kind, e.codec, e.decoded, e.stored, e.offset, content, error)
 
 
+class PushdownReader(SealedReader):
+    """A reader that takes equality on hash down to the directory; Spark allows it only with ``spark.sql.python.filterPushdown.enabled``."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("hash",):
+                self.wanted = bytes(f.value)
+            yield f
+
+
 class SealedPack(DataSource):
     """The ``sealedpack`` format; register with ``spark.dataSource.register(SealedPack)``."""
 
@@ -361,7 +365,8 @@ class SealedPack(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return SealedReader(dict(self.options))
+        options = dict(self.options)
+        return (PushdownReader if options.get("pushdown", "false").lower() == "true" else SealedReader)(options)
 
 
 def packs(closures, tag: bytes = DEFAULT_TAG, key: FrameKey | None = None, labels: Labels = Labels()):
