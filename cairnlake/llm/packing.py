@@ -183,4 +183,5 @@ def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens held, room left, and the share of the room left."""
     used = packed.agg(F.count_distinct("container").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     room = F.col("containers") * capacity - F.col("tokens")
-    return used.select("containers", "tokens", room.alias("room"), F.round(room / (F.col("containers") * capacity), 6).alias("room_share"))
+    share = F.when(F.col("containers") > 0, F.round(room / (F.col("containers") * capacity), 6)).otherwise(F.lit(0.0))
+    return used.select("containers", "tokens", room.alias("room"), share.alias("room_share"))

@@ -1,6 +1,6 @@
 """Has this key been seen before?
 
-Method: keys are hash-partitioned into buckets of a bounded number of rows. Each bucket
+Method: keys are hash-partitioned into buckets of a bounded number of different keys. Each bucket
 is streamed in order of arrival through its own blocked Bloom filter, which is asked
 first and then takes the key, so memory is one filter and one batch, however many keys
 came before. Keys known to be absent (longer than any real key) measure the rate of
@@ -35,13 +35,23 @@ from pyspark.sql import functions as F
 
 from cairnlake.runtime import materialize, partitions
 
-ROWS_PER_BUCKET = 1_000_000
+KEYS_PER_BUCKET = 1_000_000
 TARGET = 0.001
 PROBES = 4096
 BEFORE_ALL = -1
 
 _LANES = 8
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(_LANES)], np.uint64)
+
+
+def _multipliers() -> np.ndarray:
+    """Unrelated odd numbers, one for each lane: multiples of one another would tie the lanes' bits together."""
+    x = np.arange(1, _LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+_ODD = _multipliers()
 
 
 class BlockedBloom:
@@ -91,12 +101,13 @@ class Plan:
 
 
 def plan(tables: list[DataFrame], at_least: int, target: float = TARGET) -> Plan:
-    """Sizes from row counts and key lengths: one number a table comes to the driver."""
-    sizes = [t.agg(F.count("key"), F.max(F.octet_length("key"))).first() for t in tables]
+    """Sizes from estimates of the numbers of different keys: three numbers a table come to the driver."""
+    sizes = [t.agg(F.count("key"), F.approx_count_distinct("key", 0.03), F.max(F.octet_length("key"))).first() for t in tables]
     rows = [max(1, s[0]) for s in sizes]
-    buckets = [max(1, -(-n // ROWS_PER_BUCKET), round(at_least * n / sum(rows))) for n in rows]
-    keys = [int(n / b + 4 * (n / b) ** 0.5 + 64) for n, b in zip(rows, buckets)]
-    return Plan(tuple(buckets), tuple(keys), max(s[1] or 0 for s in sizes), target)
+    distinct = [max(1, s[1]) * 1.1 for s in sizes]  # above the estimate's error
+    buckets = [max(1, -(-int(k) // KEYS_PER_BUCKET), round(at_least * n / sum(rows))) for k, n in zip(distinct, rows)]
+    keys = [int(k / b + 4 * (k / b) ** 0.5 + 64) for k, b in zip(distinct, buckets)]
+    return Plan(tuple(buckets), tuple(keys), max(s[2] or 0 for s in sizes), target)
 
 
 _LOCAL = "tab int, seq long, key binary, h long, bucket int"
@@ -225,5 +236,5 @@ def error_rates(answers: DataFrame, target: float = TARGET) -> DataFrame:
     asked = answers.filter("bucket is not null").groupBy("tab").agg(*[F.sum(x).alias(x) for x in ("keys", "probes", "wrong")])
     wrong = false_answers(answers).groupBy("tab").agg(F.count(F.lit(1)).alias("wrong_records"))
     return asked.join(wrong, "tab", "left").select(
-        "tab", "keys", "probes", "wrong", (F.col("wrong") / F.col("probes")).alias("rate"), F.lit(target).alias("target_rate"), F.coalesce("wrong_records", F.lit(0)).alias("wrong_records"),
+        "tab", "keys", "probes", "wrong", F.try_divide("wrong", "probes").alias("rate"), F.lit(target).alias("target_rate"), F.coalesce("wrong_records", F.lit(0)).alias("wrong_records"),
     )

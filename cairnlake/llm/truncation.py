@@ -253,7 +253,7 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
     if garbled:
         closed = bool(re.search("[.!?]|ã€‚|ã\x80\x82|。", main[-7:]))
         return (WHOLE, False, False, [], main) if closed or taken else (ASK, True, False, [], main)
-    if taken == 0 and re.search("[©·|]$", bare):
+    if re.search("[©·|]$", bare):
         return CUT, True, False, [], main
     mark = _MARK.search(main)
     if mark:
@@ -269,7 +269,7 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
                 return CUT, True, False, [], measured
             break
         fragment = _last_fragment(main)
-        prose = _is_prose(fragment[-160:])
+        prose = _is_prose(fragment[-160:]) and not main.isalpha()
         wide = any(c > "\u2fff" for c in fragment)
         words = len(fragment) // 3 if wide else len(fragment.split())
         if prose and open_delimiters(main):
