@@ -9,16 +9,45 @@ lineage. They are removed when the interpreter ends or by :func:`release`.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, once for each context.
+
+    Workers get the package's folder on their path; beyond one machine they also get the
+    package itself as a zip file.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_cairnlake_ready", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if not sc.master.startswith("local["):
+        path = os.path.join(tempfile.mkdtemp(), "cairnlake.zip")  # read by the driver only, which hands it out
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(path)
+    sc._cairnlake_ready = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,6 +93,7 @@ def release(spark: SparkSession) -> None:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` into the shared folder and return the written table."""
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/cairnlake/{tag}-{uuid.uuid4().hex}"
     app = spark.sparkContext.applicationId
     if app not in _written:
@@ -88,4 +118,5 @@ def local_session(cpus: int = 8, shuffle: int = 8, memory: str = "4g", name: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     return spark
