@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.llm.batches import by_text
 from cairnlake.llm.tokens import VOCABULARY, encoder
 from cairnlake.runtime import materialize
 
@@ -50,7 +51,7 @@ def sized(documents: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY
 
         pid, e = TaskContext.get().partitionId(), encoder(path)
         met, full = np.zeros(capacity + 1, np.int64), 0
-        for b in batches:
+        for b in by_text(batches):
             tokens = e.sizes(b.column("text").to_pylist())
             size = np.where(tokens <= capacity, tokens, tokens % capacity)
             whole = np.where(tokens <= capacity, 0, tokens // capacity)

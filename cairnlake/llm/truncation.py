@@ -35,7 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from cairnlake.llm.batches import by_text
 from cairnlake.runtime import materialize
 
 NEAR = 15  # a limit that backs up to a word or a whole character ends texts over so many lengths
@@ -289,14 +291,49 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
     return (ASK if ends else WHOLE), open_, False, ends, measured
 
 
-def _features(doc_kind: str):
+class _Grams:
+    """Counts by key, added up while a partition is read; handed on early beyond a bound."""
+
+    MOST = 2_000_000
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray, flags: np.ndarray) -> None:
+        found, place = np.unique(keys, return_inverse=True)
+        self._keep(found, np.bincount(place, minlength=len(found)).astype(np.int64), np.bincount(place, weights=flags, minlength=len(found)).astype(np.int64))
+        if self.held > self.MOST:
+            self._keep(*self.merged())
+
+    def _keep(self, keys: np.ndarray, totals: np.ndarray, closings: np.ndarray) -> None:
+        self.parts.append((keys, totals, closings))
+        self.held += len(keys)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All counts by distinct key; nothing is held after that."""
+        if not self.parts:
+            return (np.zeros(0, np.int64),) * 3
+        keys, totals, closings = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.held = [], 0
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(totals[order], first), np.add.reduceat(closings[order], first)
+
+    def overflow(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The counts, where merging has left more than half the bound; else nothing."""
+        return self.merged() if self.held > self.MOST // 2 and len(self.parts) == 1 else (np.zeros(0, np.int64),) * 3
+
+
+def _features(doc_kind: str, id_type: pa.DataType):
     names = [x.split()[0] for x in _FEATURES.format(doc_kind).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid, count, v = TaskContext.get().partitionId(), 0, _Vocabulary()
-        for b in batches:
+        pid, count, v, grams = TaskContext.get().partitionId(), 0, _Vocabulary(), _Grams()
+        for b in by_text(batches):
             n = b.num_rows
             texts, stored = b.column("text").to_pylist(), b.column("n_chars").to_pylist()
             rows, asked = [], []
@@ -321,8 +358,7 @@ def _features(doc_kind: str):
             line = line[kind[line_end + 1] == _LINE]
             keys = np.concatenate([pair[at], word[at], shaped[at][has_shape], line])
             flags = np.concatenate([closes, closes, closes[has_shape], np.ones(len(line), bool)])
-            grams, place = np.unique(keys, return_inverse=True)
-            totals, closings = np.bincount(place, minlength=len(grams)), np.bincount(place, weights=flags, minlength=len(grams))
+            grams.add(keys, flags)
             # the last words of the ends to be judged, with their line where it is short
             last: list[str] = ["\x00"]
             places: list[list[tuple[int, bool, bool]]] = []
@@ -349,9 +385,15 @@ def _features(doc_kind: str):
             ]
             count += n
             yield pa.record_batch(columns, names=names)
-            g = len(grams)
-            columns = [pa.array(np.full(g, GRAM, np.int32)), *(pa.nulls(g, c.type) for c in columns[1:12]), pa.array(grams), pa.array(totals.astype(np.int64)), pa.array(closings.astype(np.int64))]
-            yield pa.record_batch(columns, names=names)
+            yield from gram_rows(grams.overflow())
+        yield from gram_rows(grams.merged())
+
+    def gram_rows(counted) -> Iterator[pa.RecordBatch]:
+        keys, totals, closings = counted
+        for at in range(0, len(keys), 100_000):
+            k, t, c = (x[at : at + 100_000] for x in (keys, totals, closings))
+            blank = [pa.nulls(len(k), t_) for t_ in (pa.int64(), id_type, pa.string(), *[pa.int64()] * 4, pa.int32(), pa.bool_(), pa.bool_(), _ASK)]
+            yield pa.record_batch([pa.array(np.full(len(k), GRAM, np.int32)), *blank, pa.array(k), pa.array(t), pa.array(c)], names=names)
 
     return run
 
@@ -360,7 +402,7 @@ def ends(documents: DataFrame) -> DataFrame:
     """One row a document with what its end tells, and the counts of words and pairs; written."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
-    return materialize(rows.mapInArrow(_features(kind), _FEATURES.format(kind)), "ends")
+    return materialize(rows.mapInArrow(_features(kind, to_arrow_type(documents.schema["doc_id"].dataType)), _FEATURES.format(kind)), "ends")
 
 
 def naturalness(read: DataFrame) -> DataFrame:
