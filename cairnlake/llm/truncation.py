@@ -301,6 +301,8 @@ class _Grams:
         self.held = 0
 
     def add(self, keys: np.ndarray, flags: np.ndarray) -> None:
+        if not len(keys):
+            return
         found, place = np.unique(keys, return_inverse=True)
         self._keep(found, np.bincount(place, minlength=len(found)).astype(np.int64), np.bincount(place, weights=flags, minlength=len(found)).astype(np.int64))
         if self.held > self.MOST:
