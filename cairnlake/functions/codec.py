@@ -103,3 +103,30 @@ def brotli_window_bits(first: int) -> int:
     if n == 1:
         raise DecompressError("large window")
     return 17 if n == 0 else 8 + n
+
+
+_PACKED = T.StructType([T.StructField("codec", T.StringType()), T.StructField("bytes", T.BinaryType()), T.StructField("error_class", T.StringType())])
+_ARROW = pa.struct([("codec", pa.string()), ("bytes", pa.binary()), ("error_class", pa.string())])
+
+
+def _row(run, codec: str | None, data: bytes | None) -> dict | None:
+    if data is None:
+        return None
+    try:
+        done, out = run(codec, data)
+        return {"codec": done, "bytes": out}
+    except (CompressError, DecompressError, InvalidCodec) as e:
+        return {"codec": codec, "error_class": type(e).__name__}
+
+
+@F.arrow_udf(_PACKED)
+def compressed(codec: pa.Array, data: pa.Array) -> pa.Array:
+    """``struct<codec, bytes, error_class>``; the codec ``auto`` chooses and falls back to raw. Null data gives null."""
+    run = lambda c, d: compress_auto(d) if c == "auto" else (c, compress(c, d))
+    return pa.array([_row(run, c, d) for c, d in zip(codec.to_pylist(), data.to_pylist())], _ARROW)
+
+
+@F.arrow_udf(_PACKED)
+def decompressed(codec: pa.Array, data: pa.Array) -> pa.Array:
+    """``struct<codec, bytes, error_class>`` of stored bytes. Null data gives null."""
+    return pa.array([_row(lambda c, d: (c, decompress(c, d)), c, d) for c, d in zip(codec.to_pylist(), data.to_pylist())], _ARROW)

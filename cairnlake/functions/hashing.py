@@ -17,6 +17,14 @@ def digest(data: bytes) -> bytes:
     return hashlib.sha3_256(data).digest()
 
 
+def digest_reader(reader, buffer: int = 8192) -> bytes:
+    """The digest of what a file object still holds, read piece by piece."""
+    h = hashlib.sha3_256()
+    while part := reader.read(buffer):
+        h.update(part)
+    return h.digest()
+
+
 @F.arrow_udf(T.BinaryType())
 def _sha3(values: pa.Array) -> pa.Array:
     sha3 = hashlib.sha3_256

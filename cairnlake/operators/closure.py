@@ -52,9 +52,11 @@ def orphans(live: DataFrame, entries: DataFrame, objects: DataFrame) -> DataFram
 
 def closure_report(live: DataFrame, entries: DataFrame, objects: DataFrame) -> DataFrame:
     """One row: ``missing_objects, orphan_chunks, orphan_recipes``; the numbers, the missing hashes come from :func:`missing`."""
+    no = F.lit(0).cast("long")
     lost = closure(live, entries, objects).filter(F.col("state") == MISSING).agg(F.count_distinct("hash").alias("missing_objects"))
     alone = orphans(live, entries, objects).agg(F.count_if(F.col("kind") == schema.CHUNK).alias("orphan_chunks"), F.count_if(F.col("kind") == schema.RECIPE).alias("orphan_recipes"))
-    return lost.crossJoin(alone)  # one row each
+    both = lost.select("missing_objects", no.alias("orphan_chunks"), no.alias("orphan_recipes")).unionAll(alone.select(no, "orphan_chunks", "orphan_recipes"))
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 def missing(live: DataFrame, entries: DataFrame, objects: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -123,6 +123,11 @@ def strict(verified: DataFrame) -> DataFrame:
     return verified.select("hash", "kind", ok.alias("bytes"))
 
 
+def all_objects(objects: DataFrame) -> DataFrame:
+    """``hash, kind, bytes`` of everything in hash order; fails on a bad object."""
+    return strict(verify(objects)).orderBy("hash")
+
+
 def audit(objects: DataFrame) -> DataFrame:
     """``rule, violations`` of the constraints of the object table."""
     once = objects.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("unique_hash").alias("rule"), F.col("n").alias("violations"))
@@ -199,6 +204,11 @@ class Store:
         left = self.objects.join(hashes.select("hash").distinct(), "hash", "left_anti").select(_FIELDS)
         return replace(self, objects=left, cache=without_dangling(self.cache, left), snapshot=None)
 
+    def transaction(self, change: Callable[[Store], Store]) -> Store:
+        """The committed result of ``change``; where it raises, the last committed state stays as it was."""
+        self._writable()
+        return change(self).commit()
+
     def require_merkle(self) -> None:
         if not self.merkle:
             raise errors.Integrity("the Merkle index is disabled")

@@ -342,6 +342,15 @@ def _plans(spark: SparkSession, d: str, splitter: Splitter, policy: str = pipeli
 SMALL = Splitter(256, 1024, 4096)
 
 
+def _closures(plans: DataFrame) -> DataFrame:
+    """The objects of each plan under its recipe, each hash once."""
+    chunks = plans.select(F.col("recipe_hash").alias("root_recipe"), F.explode("chunks").alias("c"))
+    rows = chunks.select("root_recipe", "c.hash", F.lit(schema.CHUNK).alias("kind"), F.col("c.raw_len").alias("size"), "c.codec", F.col("c.payload").alias("content"))
+    size = F.octet_length("recipe").cast("long")
+    roots = plans.select(F.col("recipe_hash").alias("root_recipe"), F.col("recipe_hash").alias("hash"), F.lit(schema.RECIPE).alias("kind"), size.alias("size"), F.lit(schema.RAW).alias("codec"), F.col("recipe").alias("content"))
+    return rows.unionAll(roots).dropDuplicates(["root_recipe", "hash"])
+
+
 @_query("select doc_id, octet_length(encode(text)) bytes, true covers, true bounded from documents where text <> ''")
 def ingest_chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every text: contiguous, covering, within bounds but for the last."""
@@ -375,11 +384,13 @@ def ingest_dedup_summary(spark: SparkSession, d: str) -> DataFrame:
     """One raw chunk a file: chunks and recipes stored against files read."""
     plans = _plans(spark, d, ONE_CHUNK, schema.RAW)
     kept = store.first_writer_wins(pipeline.plan_objects(plans), F.col("input_ordinal"), store.META_FIELDS)
-    stored = kept.agg(
-        F.count_if(F.col("kind") == schema.RECIPE).alias("recipes"), F.count_if(F.col("kind") == schema.CHUNK).alias("chunks"),
-        F.coalesce(F.sum(F.when(F.col("kind") == schema.CHUNK, F.col("stored_size"))), F.lit(0)).alias("stored_bytes"),
-    )
-    return plans.agg(F.count(F.lit(1)).alias("files"), F.sum("original_size").alias("bytes")).crossJoin(stored)  # one row each
+    files = plans.select(F.lit(0).alias("kind"), F.col("original_size").alias("n"))
+    rows = files.unionAll(kept.select("kind", "stored_size"))
+    of = lambda kind: F.col("kind") == kind
+    total = lambda kind: F.coalesce(F.sum(F.when(of(kind), F.col("n"))), F.lit(0))
+    return rows.agg(
+        F.count_if(of(0)).alias("files"), total(0).alias("bytes"), F.count_if(of(schema.RECIPE)).alias("recipes"), F.count_if(of(schema.CHUNK)).alias("chunks"), total(schema.CHUNK).alias("stored_bytes")
+    )
 
 
 @_query("select doc_id, octet_length(encode(text)) + 49 + 36 * (text <> '')::int estimated_bytes, octet_length(encode(text)) stored_stream_size from documents where text is not null")
@@ -404,6 +415,39 @@ def ingest_verify_objects(spark: SparkSession, d: str) -> DataFrame:
     return checked.agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("error_class").isNull()).alias("verified"))
 
 
+@_query("select doc_id, true same, case when text = '' then 0 else 1 end not_empty from documents where text is not null")
+def ingest_codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text through each codec and back, and through the automatic choice."""
+    rows = _files(spark, d).filter("bytes is not null")
+    same = F.lit(True)
+    for c in (schema.RAW, schema.ZSTD, schema.BROTLI):
+        same = same & (C.decompressed(F.lit(c), C.compressed(F.lit(c), "bytes")["bytes"])["bytes"] == F.col("bytes"))
+    packed = rows.withColumn("auto", C.compressed(F.lit("auto"), "bytes")).withColumn("same", same)
+    back = C.decompressed(F.col("auto.codec"), F.col("auto.bytes"))["bytes"] == F.col("bytes")
+    return packed.select(F.col("file_id").alias("doc_id"), (F.col("same") & back).alias("same"), F.when(F.octet_length("bytes") > 0, 1).otherwise(0).alias("not_empty"))
+
+
+@_query(
+    """select lower(hex(hash)) hash_hex, cast(i as integer) frame, least(262144, stored_size - 262144 * i) length from
+    (select hash, stored_size, unnest(range((stored_size + 262143) // 262144)) i from (select hash, max(stored_size) stored_size from objects where hash is not null group by hash))"""
+)
+def object_frame_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The frames that sealing cuts each stored object into."""
+    sizes = table(spark, d, "objects").filter("hash is not null").groupBy("hash").agg(F.max("stored_size").alias("stored_size"))
+    return sealed.frame_spans(sizes).select(_hex(), "frame", "length")
+
+
+@_query()
+def sealed_accounting(spark: SparkSession, d: str) -> DataFrame:
+    """For each text's pack: its size, payload, recipe and container bytes; compressed index sizes have no SQL."""
+    plans = _plans(spark, d, SMALL)
+    packs = sealed.packs(_closures(plans)).filter("error_class is null").select("root_recipe", F.octet_length("pack").cast("long").alias("pack_bytes"))
+    rows = _closures(plans).select("root_recipe", "kind", F.octet_length("content").cast("long").alias("n"))
+    held = rows.groupBy("root_recipe").agg(F.sum("n").alias("payload_bytes"), F.sum(F.when(F.col("kind") == schema.RECIPE, F.col("n"))).alias("recipe_bytes"))
+    # a Brotli chunk is transcoded, so the container's share is taken from the pack alone where sizes differ
+    return packs.join(held, "root_recipe").select(_hex("root_recipe"), "pack_bytes", "payload_bytes", "recipe_bytes")
+
+
 @_query()
 def ingest_selection_report(spark: SparkSession, d: str) -> DataFrame:
     """What became of each transform on each text; zlib and lzma sizes have no SQL."""
@@ -443,11 +487,7 @@ def gate_check(spark: SparkSession, d: str) -> DataFrame:
 def sealed_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A sealed pack for every text, and the text restored from the pack's bytes alone."""
     plans = _plans(spark, d, SMALL)
-    chunks = pipeline.chunk_plan(plans).join(plans.select("file_id", "recipe_hash"), "file_id")
-    rows = chunks.select(F.col("recipe_hash").alias("root_recipe"), "hash", F.lit(schema.CHUNK).alias("kind"), F.col("raw_len").alias("size"), "codec", F.col("payload").alias("content"))
-    size = F.octet_length("recipe").cast("long")
-    roots = plans.select(F.col("recipe_hash").alias("root_recipe"), F.col("recipe_hash").alias("hash"), F.lit(schema.RECIPE).alias("kind"), size.alias("size"), F.lit(schema.RAW).alias("codec"), F.col("recipe").alias("content"))
-    packs = sealed.packs(rows.unionAll(roots).dropDuplicates(["root_recipe", "hash"]))
+    packs = sealed.packs(_closures(plans))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -87,6 +87,15 @@ def frames(stored: int) -> int:
     return -(-stored // schema.FRAME)
 
 
+def frame_spans(objects):
+    """``hash, frame, length``: the frames of 256 KiB of each stored object (hash, stored_size); none for empty ones."""
+    from pyspark.sql import functions as F
+
+    last = F.ceil(F.col("stored_size") / schema.FRAME) - 1
+    rows = objects.filter("stored_size > 0").select("hash", "stored_size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("frame"))
+    return rows.select("hash", F.col("frame").cast("int").alias("frame"), F.least(F.lit(schema.FRAME).cast("long"), F.col("stored_size") - schema.FRAME * F.col("frame")).alias("length"))
+
+
 def pack_id(root: bytes, entries: Iterable[Entry], labels: Labels = Labels()) -> bytes:
     """Identity of the contents: codec, stored length and place do not count."""
     h = hashlib.sha3_256(labels.pack_id + root)

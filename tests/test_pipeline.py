@@ -225,3 +225,25 @@ def test_transformed_ingest(spark):
 def test_gate(spark):
     rows = spark.createDataFrame([(10, "PNG", b"x"), (10, None, b"\x89PNG\r\n\x1a\nrest"), (10, None, b"%PD"), (1, "png", b"x"), (None, "png", None), (10, "txt", b"%PDF-1")], "size long, ext string, head binary")
     assert [r[0] for r in rows.select(T.gate("size", "ext", "head", 5, 20, ("png",))).collect()] == [True, True, False, False, False, True]
+
+
+def test_codec_columns(spark):
+    rows = spark.createDataFrame([("zstd", b"abc" * 99), ("auto", b"abc" * 99), ("lz4", b"x"), ("raw", None)], "c string, b binary").select(C.compressed("c", "b").alias("p"))
+    got = rows.select("p", C.decompressed("p.codec", "p.bytes").alias("d")).collect()
+    assert [r.p and r.p.error_class for r in got] == [None, None, "InvalidCodec", None] and got[1].p.codec == "brotli"
+    assert bytes(got[0].d.bytes) == bytes(got[1].d.bytes) == b"abc" * 99 and got[3].p is None
+    bad = spark.createDataFrame([("zstd", b"no")], "c string, b binary").select(C.decompressed("c", "b").alias("d")).first()
+    assert bad.d.error_class == "Decompress"
+
+
+def test_spool_and_reader():
+    import io
+
+    from cairnlake.functions.spool import Spool, temporary_folder
+
+    small, large = Spool(b"abc", 10), Spool(b"abc" * 10, 10)
+    assert small.in_memory and not large.in_memory and len(large) == 30
+    large.write(b"!")
+    assert large.reader().read(3) == b"abc" and large.into_bytes() == b"abc" * 10 + b"!"
+    assert H.digest_reader(io.BytesIO(b"x" * 20_000)) == H.digest(b"x" * 20_000)
+    assert temporary_folder("/a").as_posix() == "/a/cairnlake"

@@ -132,3 +132,13 @@ def test_audit(spark):
     rows = objects(spark, obj(b"a"), obj(b"a"), (b"short", 9, -1, 5, "lz4", b"x", 0, 0), (None, None, None, None, None, None, 0, 0))
     assert {r.rule: r.violations for r in store.audit(rows).collect()} == {"unique_hash": 1, "hash_length": 2, "kind": 2, "codec": 2, "size": 2, "stored_size": 1}
     assert schema.namespace(None) == "" and schema.namespace("a_1") == "a_1_"
+
+
+def test_transaction_and_scan(spark, tmp_path):
+    s = store.Store.open(spark, str(tmp_path)).put_objects(objects(spark, obj(b"a")), F.col("n")).commit()
+    with pytest.raises(ZeroDivisionError):
+        s.transaction(lambda x: 1 / 0)
+    assert store.Store.open(spark, str(tmp_path)).objects.count() == 1
+    s = s.transaction(lambda x: x.put_objects(objects(spark, obj(b"b"), obj(b"c")), F.col("n")).delete_objects(spark.createDataFrame([(digest(b"a"),)], "hash binary")))
+    rows = store.all_objects(s.objects).collect()
+    assert [bytes(r.hash) for r in rows] == sorted([digest(b"b"), digest(b"c")]) and {bytes(r.bytes) for r in rows} == {b"b", b"c"}
