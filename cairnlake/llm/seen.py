@@ -38,6 +38,7 @@ from cairnlake.runtime import materialize, partitions
 KEYS_PER_BUCKET = 1_000_000
 TARGET = 0.001
 PROBES = 4096
+MOST_PARTITIONS = 10_000  # beyond it, a partition streams several buckets one after the other
 BEFORE_ALL = -1
 
 _LANES = 8
@@ -215,7 +216,8 @@ def bloom_answers(tables: list[tuple[DataFrame, str, str]], before: DataFrame, t
     for r in rows[1:]:
         keyed = keyed.unionAll(r)
     routed = keyed.withColumn("h", F.xxhash64("key")).mapInArrow(_local_repetitions(p), _LOCAL)
-    routed = routed.repartitionById(sum(p.buckets), "bucket").sortWithinPartitions("bucket", "seq", "h")
+    parts = min(sum(p.buckets), MOST_PARTITIONS)
+    routed = routed.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket", "seq", "h")
     return materialize(routed.mapInArrow(_through_filters(p), _ANSWERS), "seen")
 
 
