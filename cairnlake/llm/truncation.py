@@ -43,6 +43,8 @@ from cairnlake.runtime import materialize
 NEAR = 15  # a limit that backs up to a word or a whole character ends texts over so many lengths
 AROUND = 200
 LEAST_PILE = 3
+LEAST_SHARE = 0.15  # of a source's texts that stop in the middle
+LEAST_LENGTH = 100
 CLOSING_SHARE = 0.10
 KNOWN = 5
 
@@ -74,6 +76,7 @@ _FURNITURE = re.compile(
 _SIGNATURE = re.compile("(?:^|\\s)(?:—|By|Von|Par|Por|Автор|Από) ([^\n.—]{2,60})$")
 # fixed values: words of consent notices
 _CONSENT = re.compile("cookie|クッキー|speichert Einstellungen|stores small files|privacy matters", re.I)
+_WIDE_TITLE = re.compile("(?:[A-Za-z]+ ?)?[゠-ヿ㐀-鿿ー]{1,8}")  # a name and signs without any inflection
 _INVITATION = re.compile("(?:Read more|Continue reading|Weiterlesen|Mehr lesen|Читать далее|Lire la suite|Leer más|Διαβάστε περισσότερα|続きを読む) ?(?:…|\\.\\.\\.)?$")
 
 _TOKEN = re.compile("[぀-ヿ㐀-鿿]|\\d+(?:[.,]\\d+)*|[^\\W\\d_぀-鿿]+(?:['’-][^\\W\\d_]+)*|[.!?。？！…;|·•»]+|\n|\x00")
@@ -271,7 +274,7 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
                 return CUT, True, False, [], measured
             break
         fragment = _last_fragment(main)
-        prose = _is_prose(fragment[-160:]) and not main.isalpha()
+        prose = _is_prose(fragment[-160:]) and not main.isalpha() and not _WIDE_TITLE.fullmatch(fragment)
         wide = any(c > "\u2fff" for c in fragment)
         words = len(fragment) // 3 if wide else len(fragment.split())
         if prose and open_delimiters(main):
@@ -445,11 +448,14 @@ def limits(natural: DataFrame) -> DataFrame:
     along = Window.partitionBy("source", "unit").orderBy("length")
     near = F.sum("n").over(along.rangeBetween(-NEAR, NEAR))
     far = F.sum("n").over(along.rangeBetween(-AROUND, AROUND)) - near
+    total = F.sum("n").over(Window.partitionBy("source", "unit"))
     width = 2 * (AROUND - NEAR)
     one = (F.col("n") >= LEAST_PILE) & (F.col("n") >= 12 * F.col("far") / width)
     wide = (F.col("near") >= 2 * LEAST_PILE) & (F.col("near") >= 5 * F.col("far") * (2 * NEAR + 1) / width)
     exact = one & (2 * F.col("n") >= F.col("near"))
-    return counts.withColumn("near", near).withColumn("far", far).filter(one | wide).select("source", "unit", "length", exact.alias("exact"))
+    large = (F.col("near") >= LEAST_SHARE * F.col("total")) & (F.col("length") >= LEAST_LENGTH)
+    counts = counts.withColumn("near", near).withColumn("far", far).withColumn("total", total)
+    return counts.filter(large & (one | wide)).select("source", "unit", "length", exact.alias("exact"))
 
 
 def judged(read: DataFrame) -> DataFrame:
