@@ -42,6 +42,7 @@ from cairnlake.runtime import materialize
 
 NEAR = 15  # a limit that backs up to a word or a whole character ends texts over so many lengths
 AROUND = 200
+CHAIN = 0.02
 LEAST_PILE = 3
 LEAST_SHARE = 0.15  # of a source's texts that stop in the middle
 LEAST_LENGTH = 100
@@ -85,9 +86,10 @@ _LINE_WORDS = 8
 
 _FEATURES = (
     "what int, uid long, doc_id {}, source string, text_key long, chars long, bytes long, body long, verdict int, open boolean, marked boolean,"
-    " asks array<struct<line:bigint,pair:bigint,shape:bigint,word:bigint,lower:boolean,prose:boolean>>, key long, total long, closing long"
+    " asks array<struct<line:bigint,pair:bigint,shape:bigint,word:bigint,three:bigint,left:bigint,lower:boolean,prose:boolean>>, key long, total long, closing long"
 )
-_ASK = pa.list_(pa.struct([("line", pa.int64()), ("pair", pa.int64()), ("shape", pa.int64()), ("word", pa.int64()), ("lower", pa.bool_()), ("prose", pa.bool_())]))
+_KEYS = ("line", "pair", "shape", "word", "three", "left")
+_ASK = pa.list_(pa.struct([*((k, pa.int64()) for k in _KEYS), ("lower", pa.bool_()), ("prose", pa.bool_())]))
 DOC, GRAM = 0, 1
 WHOLE, CUT, ASK = 0, 1, 2
 
@@ -205,16 +207,29 @@ def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def _keys(exact, norm, shape, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of each position's pair, pair with the word's shape (0: none), and word."""
-    before = np.concatenate([[_START], np.where(kind[:-1] == _WORD, norm[:-1], _START)]) if len(kind) else norm
+def _shifted(x: np.ndarray, word: np.ndarray, by: int) -> np.ndarray:
+    """What stands so many words before, or the mark of a beginning where a stop or edge lies between."""
+    out = np.full(len(x), _START, np.uint64)
+    if len(x) > by:
+        unbroken = np.logical_and.reduce([word[by - k : len(x) - k] for k in range(1, by + 1)])
+        out[by:] = np.where(unbroken, x[:-by], _START)
+    return out
+
+
+def _keys(exact, norm, shape, kind) -> dict[str, np.ndarray]:
+    """Keys of each position: pair, pair with the word's shape (0: none), word, three words, and the pair one place to the left."""
+    word = kind == _WORD
+    before, far = _shifted(norm, word, 1), _shifted(norm, word, 2)
     pair = _mix(before, exact, 1)
-    shaped = np.where(shape != 0, _mix(before, shape, 2), 0)
-    return pair, shaped, _mix(exact, exact, 3)
+    left = np.concatenate([[0], pair[:-1]]) if len(pair) else pair
+    return {
+        "pair": pair, "shape": np.where(shape != 0, _mix(before, shape, 2), 0), "word": _mix(exact, exact, 3),
+        "three": _mix(_mix(far, before, 4).view(np.uint64), exact, 6), "left": np.where(before != _START, left, 0),
+    }
 
 
-def _line_keys(exact, norm, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The last positions and keys of all lines of up to eight words and nothing else.
+def _line_keys(exact, norm, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The last positions, keys and numbers of words of all lines of up to eight words and nothing else.
 
     One word stands for itself; in longer lines a capitalised word or a number stands for its kind.
     """
@@ -227,7 +242,7 @@ def _line_keys(exact, norm, kind) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, _LINE_WORDS):
         more = gap > k
         key[more] = _mix(key[more], norm[start[more] + k], 7).view(np.uint64)
-    return start + gap - 1, _mix(key, key, 5)
+    return start + gap - 1, _mix(key, key, 5), gap
 
 
 def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tuple[str, bool]], str]:
@@ -355,14 +370,14 @@ def _features(doc_kind: str, id_type: pa.DataType):
                 tokens.append("\x00")
             exact, norm, shape, kind = v.read(tokens)
             # the words that something follows: how often is it a stop or a line end
-            pair, shaped, word = _keys(exact, norm, shape, kind)
+            k = _keys(exact, norm, shape, kind)
             at = np.flatnonzero((kind[:-1] == _WORD) & (kind[1:] != _EDGE))
             closes = (kind[at + 1] == _STOP) | (kind[at + 1] == _LINE)
-            has_shape = shaped[at] != 0
-            line_end, line = _line_keys(exact, norm, kind)
-            line = line[kind[line_end + 1] == _LINE]
-            keys = np.concatenate([pair[at], word[at], shaped[at][has_shape], line])
-            flags = np.concatenate([closes, closes, closes[has_shape], np.ones(len(line), bool)])
+            shaped = at[k["shape"][at] != 0]
+            line_end, line, words = _line_keys(exact, norm, kind)
+            line = line[(kind[line_end + 1] == _LINE) | (words >= 3)]  # at the end of a text short lines prove nothing
+            keys = np.concatenate([k["pair"][at], k["word"][at], k["three"][at], k["shape"][shaped], line])
+            flags = np.concatenate([closes, closes, closes, closes[k["shape"][at] != 0], np.ones(len(line), bool)])
             grams.add(keys, flags)
             # the last words of the ends to be judged, with their line where it is short
             last: list[str] = ["\x00"]
@@ -372,15 +387,15 @@ def _features(doc_kind: str, id_type: pa.DataType):
                 for end, prose in ends:
                     words = _TOKEN.findall(end[max(0, len(end) - 120, end.rfind("\n") + 1) :])
                     if words and words[-1][0].isalnum():
-                        # a longer line is cut to its last two words, behind a stop
-                        last += words if len(words) <= _LINE_WORDS and len(end) - end.rfind("\n") <= 120 else [".", *words[-2:]]
+                        # a longer line is cut to its last words; more than a line key takes
+                        last += words if len(words) <= _LINE_WORDS and len(end) - end.rfind("\n") <= 120 else [".", *words[-_LINE_WORDS:]]
                         mine.append((len(last) - 1, words[-1][0].islower(), prose))
                         last.append("\x00")
                 places.append(mine)
-            e, m, h, k = v.read(last)
-            p3, s3, w3 = (x.tolist() for x in _keys(e, m, h, k))
-            lines = dict(zip(*(x.tolist() for x in _line_keys(e, m, k))))
-            asks = [[{"line": lines.get(j), "pair": p3[j], "shape": s3[j] or None, "word": w3[j], "lower": low, "prose": prose} for j, low, prose in mine] for mine in places]
+            e, m, h, kinds = v.read(last)
+            of_end = {c: x.tolist() for c, x in _keys(e, m, h, kinds).items()}
+            lines = dict(zip(*(x.tolist() for x in _line_keys(e, m, kinds)[:2])))
+            asks = [[{"line": lines.get(j), **{c: x[j] or None for c, x in of_end.items()}, "lower": low, "prose": prose} for j, low, prose in mine] for mine in places]
             chars, size, body, verdict, open_, marked = (list(x) for x in zip(*rows)) if rows else ([],) * 6
             text_key = [xxhash.xxh64_intdigest(t.encode()) - 2**63 if t else None for t in texts]
             columns = [
@@ -417,14 +432,19 @@ def naturalness(read: DataFrame) -> DataFrame:
     """
     docs = read.filter(F.col("what") == DOC)
     asks = docs.select("uid", F.explode("asks").alias("a")).select("uid", F.monotonically_increasing_id().alias("ask"), "a.*")
-    keys = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(c).alias("key")) for i, c in enumerate(("line", "pair", "shape", "word"))])
+    keys = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("key")) for c in _KEYS])
     keyed = asks.select("uid", "ask", "lower", "prose", F.explode(keys).alias("k")).select("uid", "ask", "lower", "prose", "k.*").filter("key is not null")
     grams = read.filter(F.col("what") == GRAM).select("key", "total", "closing")
     known = grams.join(keyed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("total").alias("total"), F.sum("closing").alias("closing"))
+    of = lambda c, kind: F.coalesce(F.max(F.when(F.col("what") == kind, F.col(c))), F.lit(0)).alias(f"{c}_{kind}")
+    of_end = keyed.join(known, "key", "left").groupBy("uid", "ask").agg(*[of(c, k) for c in ("total", "closing") for k in _KEYS], F.first("lower").alias("lower"), F.first("prose").alias("prose"))
     # the most exact of the four that is known decides; a lower-case word that is not known is broken off
-    share = F.when(F.col("total") >= KNOWN, F.struct("rank", (F.col("closing") / F.col("total")).alias("share")))
-    of_end = keyed.join(known, "key", "left").groupBy("uid", "ask").agg(F.min(share)["share"].alias("share"), F.first("lower").alias("lower"), F.first("prose").alias("prose"))
-    broken = F.coalesce(F.col("share") < CLOSING_SHARE, F.col("lower"))
+    few = F.col("lower")
+    for kind in ("word", "shape", "pair", "line"):
+        few = F.when(F.col(f"total_{kind}") >= KNOWN, F.col(f"closing_{kind}") < CLOSING_SHARE * F.col(f"total_{kind}")).otherwise(few)
+    # a "word" that nothing ever follows, where another word nearly always stands, is the beginning of that word
+    piece = F.col("lower") & (F.col("closing_word") >= 0.9 * F.col("total_word")) & (F.col("total_three") < CHAIN * F.col("total_left")) & (F.col("total_line") < KNOWN)
+    broken = few | piece
     of_doc = of_end.groupBy("uid").agg(F.max(broken).alias("broken"), F.max(broken & F.col("prose")).alias("broken_prose"))
     columns = ["uid", "doc_id", "source", "text_key", "chars", "bytes", "body", "verdict", "open", "marked"]
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("broken", "broken_prose")]
