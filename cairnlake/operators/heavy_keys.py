@@ -112,8 +112,8 @@ def scan_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def key_states(entries: DataFrame) -> DataFrame:
     """Partial states, written: final ones (open is false) and at most two open ones for each partition."""
-    n = partitions(entries.sparkSession)
     rows = entries.filter("key is not null")
+    n = partitions(rows)
     return materialize(rows.repartitionByRange(n, *_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(scan_partition, _STATE), "heavy")
 
 

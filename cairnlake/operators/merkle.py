@@ -48,7 +48,7 @@ def ranked(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
             yield pa.record_batch([*b.columns, *extra], names=[*b.schema.names, "_pid", "_at"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _pid int, _at long"
-    local = materialize(df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(number, schema), "ranked")
+    local = materialize(df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order).mapInArrow(number, schema), "ranked")
     counts = sorted((r["_pid"], r["n"]) for r in local.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
     before, starts = 0, []
     for pid, n in counts:

@@ -199,7 +199,7 @@ def orphan_references(
     stream = reference_stream(recipes, cache, reports).unionAll(parent_stream(objects, deletions, base))
     order = ["hash", "at", "ord"]
     # key_num and key_bin only spread rows of one hash and time over partitions
-    merged = stream.repartitionByRange(partitions(spark), *order, "key_num", "key_bin").sortWithinPartitions(*order).mapInArrow(merge_partition, _MERGED)
+    merged = stream.repartitionByRange(partitions(stream), *order, "key_num", "key_bin").sortWithinPartitions(*order).mapInArrow(merge_partition, _MERGED)
     merged = materialize(merged, "references")
     # one row for each partition: bounded by the partition count, not by the data
     carries = _carries(merged.filter(F.col("what") == TAIL).select("pid", "hash", "first_hash", "base", "last").collect())

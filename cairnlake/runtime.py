@@ -51,9 +51,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    """Partition count of explicit range exchanges: the session's shuffle setting."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+BYTES_PER_PARTITION = 256 << 20
+MOST_PARTITIONS = 20_000
+
+
+def partitions(df: DataFrame) -> int:
+    """Partition count of an explicit range exchange of ``df``.
+
+    At least the session's shuffle setting, and enough for about 256 MB of scanned files
+    a partition. The count is bounded, since one row a partition may come to the driver.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    known = sum(n for n in sizes if n < 2**60)  # others are rows of unknown size, not files
+    return max(1, least, min(MOST_PARTITIONS, known // BYTES_PER_PARTITION))
 
 
 def shared_dir(spark: SparkSession) -> str:
