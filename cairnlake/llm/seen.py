@@ -206,10 +206,10 @@ def bloom_answers(tables: list[tuple[DataFrame, str, str]], before: DataFrame, t
     ``tables`` are (table, key column, sequence column), judged apart; ``before`` has the
     keys (column ``hash``) that came before everything else.
     """
-    spark = before.sparkSession
     rows = [t.select(F.lit(i).alias("tab"), F.col(s).alias("seq"), F.col(k).alias("key")).filter("seq is not null and key is not null") for i, (t, k, s) in enumerate(tables)]
     first = before.select(F.col("hash").alias("key")).filter("key is not null")
-    p = plan(rows, partitions(spark), target)
+    least = max(map(partitions, rows))
+    p = plan(rows, least, target)
     for i in range(len(tables)):
         rows.append(first.select(F.lit(i).alias("tab"), F.lit(BEFORE_ALL).cast("long").alias("seq"), "key"))
     keyed = rows[0]

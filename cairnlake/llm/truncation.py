@@ -149,7 +149,7 @@ def _last_fragment(text: str) -> str:
 def _body_start(text: str) -> int:
     """Where the first line of the main content begins: behind menus, notices and titles."""
     at = 0
-    for line in text.split("\n")[:60]:
+    for line in text.split("\n"):
         long = len(line) > 75 or _TERMINATED.search(line)
         if long and line.strip() and line.count(" | ") < 3 and not (len(line) <= 160 and _CONSENT.search(line)):
             return at
