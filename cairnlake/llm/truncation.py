@@ -61,13 +61,20 @@ _BROKEN_REFERENCE = re.compile(r"&(?:#[xX]?[0-9a-fA-F]{0,6}|[A-Za-z]{1,8})$")
 _BROKEN_ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|%[0-9A-F]?$")
 _MARK = re.compile("\\s*(?:\\[(?:\\.\\.\\.|…)\\]|\\((?:\\.\\.\\.|…)\\)|…|\\.\\.\\.)$")
 _GARBLED = re.compile("Ã[-¿]|â€|â\x80|Â[^\\w\\s]|[ÐÑ][-¿ŒœŠšŽžƒ]|ã[-¿€‚ƒ]|[ÎÏ][-¿]")
+#: what each byte looks like when UTF-8 was read as Windows-1252; undefined bytes come out as U+FFFD
+_READ_WRONG = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {0xFFFD: 0x9D}
 
 # fixed values: what page furniture looks like, by language
+_FIXED = (
+    "Powered by \\S+|Back to top|Nach oben|Haut de page|Volver arriba|Наверх|ページトップへ|Επιστροφή στην κορυφή|Terms \\| Privacy \\| Accessibility|Share this page"
+    "|(?:This website stores small files on your device\\. )?By continuing you agree to our cookie policy\\.|We use cookies[^\n.]{0,60}\\.[^\n.]{0,40}"
+    "|Cookies help us[^\n.]{0,60}\\. OK|Your privacy matters\\. Manage preferences +Accept|Diese Seite speichert Einstellungen[^\n.]{0,40}\\. Einverstanden"
+    "|Wir verwenden Cookies\\.[^\n.]{0,40}|Nous utilisons des cookies\\.[^\n.]{0,40}|Usamos cookies[^\n.]{0,30}\\.[^\n.]{0,40}|Мы используем файлы cookie\\. Принять"
+    "|当サイトはクッキーを使用します。同意する|Χρησιμοποιούμε cookies\\.[^\n.]{0,40}"
+)
 _FURNITURE = re.compile(
-    "(?:^|(?<=\\s))(?:"
-    "(?:Â|\ufffd)?©[^\n]{0,120}|\ufffd (?:19|20)\\d\\d [^\n]{0,100}|(?:Copyright|\\(c\\)) [^\n]{0,120}|All rights reserved\\.[^\n]{0,60}|Alle Rechte vorbehalten\\.?[^\n]{0,60}"
-    "|Powered by \\S+|Back to top|Nach oben|Haut de page|Volver arriba|Наверх|ページトップへ|Επιστροφή στην κορυφή"
-    "|Terms \\| Privacy \\| Accessibility|Share this page"
+    f"(?:^|(?<=\\s))(?:(?:{_FIXED})(?: [^\\W\\d_a-z]\\w+){{0,2}}"
+    "|(?:Â|\ufffd)?©[^\n]{0,120}|\ufffd (?:19|20)\\d\\d [^\n]{0,100}|(?:Copyright|\\(c\\)) [^\n]{0,120}|All rights reserved\\.[^\n]{0,60}|Alle Rechte vorbehalten\\.?[^\n]{0,60}"
     "|Posted by [^\n.]{1,80}|(?:Opening hours|Öffnungszeiten): [^\n]{1,60}"
     "|(?:Tags|Schlagwörter|Mots-clés ?|Etiquetas|Метки|Ετικέτες|タグ): ?[^\n.]{1,120}"
     "|Next: [^\n]{1,80}»|Comments \\(\\d+\\)"
@@ -157,6 +164,15 @@ def _body_start(text: str) -> int:
     return 0
 
 
+def _repaired(text: str) -> str | None:
+    """A text whose UTF-8 bytes were read as Windows-1252 or Latin-1, read rightly; ``None`` where it is no such text."""
+    try:
+        right = text.translate(_READ_WRONG).encode("latin-1").decode("utf-8", "replace")
+    except UnicodeEncodeError:
+        return None
+    return right if len(_GARBLED.findall(right)) < 3 and right.count("\ufffd") <= 0.02 * len(right) + 1 else None
+
+
 def _is_prose(fragment: str) -> bool:
     """Words of usual length, mostly letters, and not a row of capitalised menu items."""
     n = len(fragment)
@@ -256,6 +272,8 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
     if n_chars is not None and n_chars > size and n_chars != len(text.encode()) and n_chars != len(text.encode("utf-16-le")) // 2:
         return CUT, True, False, [], main
     bare = text.rstrip()
+    if len(_GARBLED.findall(bare)) >= 3:
+        bare = _repaired(bare) or bare
     garbled = bare[:-3].count("\ufffd") > 0 or len(_GARBLED.findall(bare)) >= 3
     if not garbled:
         if bare.endswith("\ufffd"):
@@ -270,12 +288,18 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
     main, taken = without_furniture(bare)
     if taken < 0 or not main:
         return WHOLE, False, False, [], main
+    mark = _MARK.search(main)
+    if garbled and mark:
+        return ASK, True, True, [], main
     if garbled:
         closed = bool(re.search("[.!?]|ã€‚|ã\x80\x82|。", main[-7:]))
-        return (WHOLE, False, False, [], main) if closed or taken else (ASK, True, False, [], main)
+        if closed:
+            return WHOLE, False, False, [], main
+        fragment = _last_fragment(main)
+        if not (fragment.isascii() and len(fragment.split()) >= 4 and _is_prose(fragment[-160:])):
+            return (WHOLE if taken else ASK), not taken, False, [], main
     if re.search("[©·|]$", bare):
         return CUT, True, False, [], main
-    mark = _MARK.search(main)
     if mark:
         rest = main[: mark.start()]
         fragment = _last_fragment(rest)
@@ -285,14 +309,14 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
     for _ in range(8):
         if _TERMINATED.search(main) or (_GREEK_END.search(main) and _GREEK.search(main[-200:])) or _SMILE.search(main):
             # a quote that opened in the last sentence and never closed
-            if any(s in "“„«「『" for s in open_delimiters(main)) and _is_prose(_last_fragment(main)[-80:]):
+            if not garbled and any(s in "“„«「『" for s in open_delimiters(main)) and _is_prose(_last_fragment(main)[-80:]):
                 return CUT, True, False, [], measured
             break
         fragment = _last_fragment(main)
         prose = _is_prose(fragment[-160:]) and not main.isalpha() and not _WIDE_TITLE.fullmatch(fragment)
         wide = any(c > "\u2fff" for c in fragment)
         words = len(fragment) // 3 if wide else len(fragment.split())
-        if prose and open_delimiters(main):
+        if prose and not garbled and open_delimiters(main):
             return CUT, True, False, [], measured
         if prose and words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", main):
             return CUT, True, False, [], measured
@@ -395,7 +419,12 @@ def _features(doc_kind: str, id_type: pa.DataType):
             e, m, h, kinds = v.read(last)
             of_end = {c: x.tolist() for c, x in _keys(e, m, h, kinds).items()}
             lines = dict(zip(*(x.tolist() for x in _line_keys(e, m, kinds)[:2])))
-            asks = [[{"line": lines.get(j), **{c: x[j] or None for c, x in of_end.items()}, "lower": low, "prose": prose} for j, low, prose in mine] for mine in places]
+            # a word of up to three letters is often a piece of another one: alone it tells nothing
+            short = {j for mine in places for j, low, _ in mine if low and len(last[j]) <= 3}
+            asks = [
+                [{"line": lines.get(j), **{c: None if c == "word" and j in short else x[j] or None for c, x in of_end.items()}, "lower": low, "prose": prose} for j, low, prose in mine]
+                for mine in places
+            ]
             chars, size, body, verdict, open_, marked = (list(x) for x in zip(*rows)) if rows else ([],) * 6
             text_key = [xxhash.xxh64_intdigest(t.encode()) - 2**63 if t else None for t in texts]
             columns = [

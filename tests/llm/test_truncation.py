@@ -98,3 +98,16 @@ def test_furniture():
     assert X.without_furniture("It ran.\nTags: a, b\n— Rava Thel\nBack to top") == ("It ran.", 3)
     assert X.without_furniture("сад — нет.") == ("сад — нет.", 0)
     assert X.without_furniture("It ran.\nRead more …\nBack to top") == ("It ran.\nRead more …", -1)
+
+
+def test_wrongly_read_text_is_repaired():
+    text = "„Die Uhr bleibt“, sagte er. Für die große Brücke — schön – „Die Zeit"
+    for how in ("cp1252", "latin-1"):
+        wrong = text.encode().decode(how, "replace")
+        assert X._repaired(wrong) == text and X.read_end(wrong, None)[0] == X.CUT
+    assert X._repaired("сад — нет") is None
+
+
+def test_notices_behind_the_text():
+    for notice in ("Cookies help us remember your basket. OK", "Nous utilisons des cookies. Tout accepter | Refuser", "Back to top Home"):
+        assert X.without_furniture("It was mo " + notice) == ("It was mo", 1)
