@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,23 @@ def decide_codec(data: bytes, extension: str | None = None) -> str:
     return RAW if bits >= RAW_AT else ZSTD if bits >= ZSTD_AT else BROTLI
 
 
+@cache
+def _zstd() -> zstandard.ZstdCompressor:
+    """This worker's compressor: its tables are made once, not for every chunk."""
+    return zstandard.ZstdCompressor(level=ZSTD_LEVEL)
+
+
+@cache
+def _unzstd() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def compress(codec: str, data: bytes) -> bytes:
     try:
         if codec == RAW:
             return data
         if codec == ZSTD:
-            return zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress(data)
+            return _zstd().compress(data)
         if codec == BROTLI:
             return pa.Codec("brotli", BROTLI_QUALITY).compress(data, asbytes=True)
     except (zstandard.ZstdError, pa.ArrowException, OSError) as e:
@@ -68,7 +80,7 @@ def decompress(codec: str, data: bytes, most: int | None = None) -> bytes:
         if codec == RAW:
             return data
         if codec == ZSTD:
-            with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True) as r:
+            with _unzstd().stream_reader(io.BytesIO(data), read_across_frames=True) as r:
                 out = r.read() if most is None else r.read(most + 1)
             if most is None and not out and not data:
                 raise DecompressError("no frame")

@@ -69,20 +69,36 @@ def as_batch(ids: pa.Array, plans: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([ids, *(pa.array([p[n] for p in plans], t) for n, t in _ARROW)], names=["file_id", *(n for n, _ in _ARROW)])
 
 
+BATCH_BYTES = 8 << 20
+
+
+def planned(batches: Iterator[pa.RecordBatch], plan: Callable[[bytes, str | None], dict]) -> Iterator[pa.RecordBatch]:
+    """The plans of all files that have bytes, in batches that hold about 8 MB of files, or one file."""
+    for b in batches:
+        rows, made, held = [], [], 0
+        for i, (data, extension) in enumerate(zip(b.column("bytes"), b.column("extension"))):
+            data, extension = data.as_py(), extension.as_py()
+            if data is None:
+                continue
+            rows.append(i)
+            made.append(plan(data, extension))
+            held += len(data)
+            if held >= BATCH_BYTES:
+                yield as_batch(b.column("file_id").take(pa.array(rows)), made)
+                rows, made, held = [], [], 0
+        if rows:
+            yield as_batch(b.column("file_id").take(pa.array(rows)), made)
+
+
 def plan_files(files: DataFrame, config: Config = Config(), compressor: Compressor = default_compressor) -> DataFrame:
     """A plan for each row of ``files`` (file_id, bytes, extension).
 
-    Null bytes are no file and give no plan; no bytes give a plan without chunks. Files
-    are handled one by one, so a batch never holds more than one file's chunks beside
-    its input.
+    Null bytes are no file and give no plan; no bytes give a plan without chunks.
     """
+    plan = lambda data, extension: plan_stream(data, len(data), digest(data), (0, 0), extension, config, compressor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, (data, extension) in enumerate(zip(b.column("bytes"), b.column("extension"))):
-                data, extension = data.as_py(), extension.as_py()
-                if data is not None:
-                    yield as_batch(b.column("file_id").slice(i, 1), [plan_stream(data, len(data), digest(data), (0, 0), extension, config, compressor)])
+        yield from planned(batches, plan)
 
     kind = files.schema["file_id"].dataType.simpleString()
     extension = F.col("extension") if "extension" in files.columns else F.lit(None)

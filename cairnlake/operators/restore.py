@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cairnlake import errors, schema
 from cairnlake.functions import recipe as R
 from cairnlake.functions.hashing import digest
+from cairnlake.operators.pipeline import BATCH_BYTES
 from cairnlake.operators.store import verify
 from cairnlake.operators.transforms import Registry
 
@@ -108,9 +109,15 @@ def restore(wanted: DataFrame, objects: DataFrame, registry: Registry | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            start, data, failed, held = 0, [], [], 0
             for i in range(b.num_rows):
-                data, failed = finish(*(b.column(c)[i].as_py() for c in b.schema.names[1:]))
-                yield pa.record_batch([b.column(0).slice(i, 1), pa.array([data], pa.binary()), pa.array([failed], pa.string())], names=["recipe_hash", "bytes", "error_class"])
+                one, error = finish(*(b.column(c)[i].as_py() for c in b.schema.names[1:]))
+                data.append(one)
+                failed.append(error)
+                held += len(one or b"")
+                if held >= BATCH_BYTES or i == b.num_rows - 1:  # never many large files at once
+                    yield pa.record_batch([b.column(0).slice(start, len(data)), pa.array(data, pa.binary()), pa.array(failed, pa.string())], names=["recipe_hash", "bytes", "error_class"])
+                    start, data, failed, held = i + 1, [], [], 0
 
     return rows.mapInArrow(run, _RESTORED)
 

@@ -145,13 +145,12 @@ def select(data: bytes, extension: str | None, transforms: tuple[Transform, ...]
 def plan_with_selection(files: DataFrame, transforms: tuple[Transform, ...] = OWN, bounds: Selection = Selection()) -> DataFrame:
     """As :func:`pipeline.plan_files`, each file by its selected transform."""
 
+    def plan(data: bytes, extension: str | None) -> dict:
+        chosen, stream, _ = select(data, extension, transforms, bounds)
+        return P.plan_stream(stream, len(data), digest(data), chosen, extension, bounds.pipeline, P.default_compressor)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, (data, extension) in enumerate(zip(b.column("bytes"), b.column("extension"))):
-                data, extension = data.as_py(), extension.as_py()
-                if data is not None:
-                    chosen, stream, _ = select(data, extension, transforms, bounds)
-                    yield P.as_batch(b.column("file_id").slice(i, 1), [P.plan_stream(stream, len(data), digest(data), chosen, extension, bounds.pipeline, P.default_compressor)])
+        yield from P.planned(batches, plan)
 
     kind = files.schema["file_id"].dataType.simpleString()
     extension = F.col("extension") if "extension" in files.columns else F.lit(None)

@@ -24,6 +24,7 @@ import os
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
+from functools import cache
 
 import zstandard
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
@@ -171,12 +172,17 @@ def _read_index(packed: bytes) -> tuple[bytes, list[Entry]]:
     return plain[: schema.HASH_BYTES], entries
 
 
+@cache
+def _index_compressor() -> zstandard.ZstdCompressor:
+    parameters = zstandard.ZstdCompressionParameters.from_level(19, window_log=INDEX_WINDOW, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(compression_params=parameters)
+
+
 def _pack_index(root: bytes, entries: list[Entry]) -> bytes:
     plain = root + b"".join(_RECORD.pack(e.hash, e.kind, schema.CODEC_IDS[e.codec], e.decoded, e.stored) for e in entries)
     if len(entries) > MAX_OBJECTS or len(plain) > MAX_INDEX:
         raise InvalidSealed("too many objects")
-    parameters = zstandard.ZstdCompressionParameters.from_level(19, window_log=INDEX_WINDOW, write_content_size=False, write_checksum=False, write_dict_id=False)
-    packed = zstandard.ZstdCompressor(compression_params=parameters).compress(plain)
+    packed = _index_compressor().compress(plain)
     if len(packed) > MAX_STORED_INDEX:
         raise InvalidSealed("stored index too long")
     return packed
@@ -383,16 +389,17 @@ def packs(closures, tag: bytes = DEFAULT_TAG, key: FrameKey | None = None, label
 
     The objects of one pack meet in one group; the format bounds a pack's index.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        root = bytes(rows["root_recipe"].iloc[0])
+    def one(rows: pa.Table) -> pa.Table:
+        root, pack, failed = rows.column("root_recipe")[0].as_py(), None, None
         try:
-            return pd.DataFrame({"root_recipe": [root], "pack": [build(root, rows.to_dict("records"), tag, key, labels)], "error_class": [None]})
+            pack = build(root, rows.to_pylist(), tag, key, labels)
         except errors.LakeError as e:
-            return pd.DataFrame({"root_recipe": [root], "pack": [None], "error_class": [type(e).__name__]})
+            failed = type(e).__name__
+        return pa.table({"root_recipe": pa.array([root], pa.binary()), "pack": pa.array([pack], pa.binary()), "error_class": pa.array([failed], pa.string())})
 
-    return closures.groupBy("root_recipe").applyInPandas(one, "root_recipe binary, pack binary, error_class string")
+    return closures.groupBy("root_recipe").applyInArrow(one, "root_recipe binary, pack binary, error_class string")
 
 
 def write_packs(built, folder: str):
