@@ -8,7 +8,8 @@ to read on) is taken off first. An end without a terminator alone proves nothing
 baselines over the whole corpus decide:
 
 * per source, lengths (in characters and in bytes) at which far more different open
-  texts end than at the lengths around them: those are the source's field limits;
+  texts end than at the lengths around them: those are the source's field limits, and a
+  text that ends with a terminator just there was cut as well;
 * for each word and pair of words, how often a terminator or a line end follows: a text
   that stops where sentences and lines hardly ever stop, or inside a word, was cut; one
   whose author left out the full stop ends like others do.
@@ -92,7 +93,7 @@ _WORD, _STOP, _LINE, _EDGE = 0, 1, 2, 3
 _LINE_WORDS = 8
 
 _FEATURES = (
-    "what int, uid long, doc_id {}, source string, text_key long, chars long, bytes long, body long, verdict int, open boolean, marked boolean,"
+    "what int, uid long, doc_id {}, source string, text_key long, chars long, bytes long, body long, verdict int, open boolean, marked boolean, terminated boolean,"
     " asks array<struct<line:bigint,pair:bigint,shape:bigint,word:bigint,three:bigint,left:bigint,lower:boolean,prose:boolean>>, key long, total long, closing long"
 )
 _KEYS = ("line", "pair", "shape", "word", "three", "left")
@@ -261,8 +262,10 @@ def _line_keys(exact, norm, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start + gap - 1, _mix(key, key, 5), gap
 
 
-def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tuple[str, bool]], str]:
-    """(verdict, open, marked, ends, main): what one text tells about its end; main is its main content.
+def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tuple[str, bool]], str, bool]:
+    """(verdict, open, marked, ends, main, terminated): what one text tells about its end; main is its main content.
+
+    ``terminated``: it is whole only because it ends with a terminator, where a limit can fall too.
 
     ``ends`` are the ends that the baselines have to judge, with whether they are prose:
     the end of the text without page furniture and, above short lines such as menu items,
@@ -270,56 +273,56 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
     """
     size, main = len(text), ""
     if n_chars is not None and n_chars > size and n_chars != len(text.encode()) and n_chars != len(text.encode("utf-16-le")) // 2:
-        return CUT, True, False, [], main
+        return CUT, True, False, [], main, False
     bare = text.rstrip()
     if len(_GARBLED.findall(bare)) >= 3:
         bare = _repaired(bare) or bare
     garbled = bare[:-3].count("\ufffd") > 0 or len(_GARBLED.findall(bare)) >= 3
     if not garbled:
         if bare.endswith("\ufffd"):
-            return CUT, True, False, [], main
+            return CUT, True, False, [], main, False
         for broken in (_BROKEN_MARKUP, _BROKEN_REFERENCE, _BROKEN_ESCAPE):
             m = broken.search(bare[-240:])
             if m:
                 tail = bare[: len(bare) - len(bare[-240:]) + m.start()][-60:]
                 plain = sum(c.isalnum() or c in " .,–-\n" for c in tail)
                 if plain >= 0.85 * len(tail) and " " in tail:
-                    return CUT, True, False, [], main
+                    return CUT, True, False, [], main, False
     main, taken = without_furniture(bare)
     if taken < 0 or not main:
-        return WHOLE, False, False, [], main
+        return WHOLE, False, False, [], main, False
     mark = _MARK.search(main)
     if garbled and mark:
-        return ASK, True, True, [], main
+        return ASK, True, True, [], main, False
     if garbled:
         closed = bool(re.search("[.!?]|ã€‚|ã\x80\x82|。", main[-7:]))
         if closed:
-            return WHOLE, False, False, [], main
+            return WHOLE, False, False, [], main, True
         fragment = _last_fragment(main)
         if not (fragment.isascii() and len(fragment.split()) >= 4 and _is_prose(fragment[-160:])):
-            return (WHOLE if taken else ASK), not taken, False, [], main
+            return (WHOLE if taken else ASK), not taken, False, [], main, False
     if re.search("[©·|]$", bare):
-        return CUT, True, False, [], main
+        return CUT, True, False, [], main, False
     if mark:
         rest = main[: mark.start()]
         fragment = _last_fragment(rest)
         prose = _is_prose(fragment[-80:]) and len(fragment.split()) >= 2
-        return ASK, prose, True, [(rest, prose)], main
+        return ASK, prose, True, [(rest, prose)], main, False
     open_, ends, measured = False, [], main
     for _ in range(8):
         if _TERMINATED.search(main) or (_GREEK_END.search(main) and _GREEK.search(main[-200:])) or _SMILE.search(main):
             # a quote that opened in the last sentence and never closed
             if not garbled and any(s in "“„«「『" for s in open_delimiters(main)) and _is_prose(_last_fragment(main)[-80:]):
-                return CUT, True, False, [], measured
+                return CUT, True, False, [], measured, False
             break
         fragment = _last_fragment(main)
         prose = _is_prose(fragment[-160:]) and not main.isalpha() and not _WIDE_TITLE.fullmatch(fragment)
         wide = any(c > "\u2fff" for c in fragment)
         words = len(fragment) // 3 if wide else len(fragment.split())
         if prose and not garbled and open_delimiters(main):
-            return CUT, True, False, [], measured
+            return CUT, True, False, [], measured, False
         if prose and words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", main):
-            return CUT, True, False, [], measured
+            return CUT, True, False, [], measured, False
         open_ |= prose and words >= 4
         ends.append((main, prose))
         start = main.rfind("\n") + 1
@@ -330,7 +333,7 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
             break
         if taken:
             measured = main
-    return (ASK if ends else WHOLE), open_, False, ends, measured
+    return (ASK if ends else WHOLE), open_, False, ends, measured, not ends
 
 
 class _Grams:
@@ -384,11 +387,11 @@ def _features(doc_kind: str, id_type: pa.DataType):
             tokens: list[str] = ["\x00"]
             for text, n_chars in zip(texts, stored):
                 if text is None or not text.strip():
-                    rows.append((0, 0, 0, WHOLE, False, False))
+                    rows.append((0, 0, 0, WHOLE, False, False, False))
                     asked.append([])
                     continue
-                verdict, open_, marked, ends, main = read_end(text, n_chars)
-                rows.append((len(text), len(text.rstrip("\ufffd").encode()), len(main) - _body_start(main), verdict, open_, marked))
+                verdict, open_, marked, ends, main, terminated = read_end(text, n_chars)
+                rows.append((len(text), len(text.rstrip("\ufffd").encode()), len(main) - _body_start(main), verdict, open_, marked, terminated))
                 asked.append(ends)
                 tokens += _TOKEN.findall(text)
                 tokens.append("\x00")
@@ -425,11 +428,11 @@ def _features(doc_kind: str, id_type: pa.DataType):
                 [{"line": lines.get(j), **{c: None if c == "word" and j in short else x[j] or None for c, x in of_end.items()}, "lower": low, "prose": prose} for j, low, prose in mine]
                 for mine in places
             ]
-            chars, size, body, verdict, open_, marked = (list(x) for x in zip(*rows)) if rows else ([],) * 6
+            chars, size, body, verdict, open_, marked, terminated = (list(x) for x in zip(*rows)) if rows else ([],) * 7
             text_key = [xxhash.xxh64_intdigest(t.encode()) - 2**63 if t else None for t in texts]
             columns = [
                 pa.array(np.full(n, DOC, np.int32)), pa.array((pid << 40) + count + np.arange(n)), b.column("doc_id"), b.column("source"), pa.array(text_key, pa.int64()),
-                pa.array(chars, pa.int64()), pa.array(size, pa.int64()), pa.array(body, pa.int64()), pa.array(verdict, pa.int32()), pa.array(open_, pa.bool_()), pa.array(marked, pa.bool_()),
+                pa.array(chars, pa.int64()), pa.array(size, pa.int64()), pa.array(body, pa.int64()), pa.array(verdict, pa.int32()), pa.array(open_, pa.bool_()), pa.array(marked, pa.bool_()), pa.array(terminated, pa.bool_()),
                 pa.array(asks, _ASK), *(pa.nulls(n, pa.int64()) for _ in range(3)),
             ]
             count += n
@@ -441,7 +444,7 @@ def _features(doc_kind: str, id_type: pa.DataType):
         keys, totals, closings = counted
         for at in range(0, len(keys), 100_000):
             k, t, c = (x[at : at + 100_000] for x in (keys, totals, closings))
-            blank = [pa.nulls(len(k), t_) for t_ in (pa.int64(), id_type, pa.string(), *[pa.int64()] * 4, pa.int32(), pa.bool_(), pa.bool_(), _ASK)]
+            blank = [pa.nulls(len(k), t_) for t_ in (pa.int64(), id_type, pa.string(), *[pa.int64()] * 4, pa.int32(), *[pa.bool_()] * 3, _ASK)]
             yield pa.record_batch([pa.array(np.full(len(k), GRAM, np.int32)), *blank, pa.array(k), pa.array(t), pa.array(c)], names=names)
 
     return run
@@ -455,7 +458,7 @@ def ends(documents: DataFrame) -> DataFrame:
 
 
 def naturalness(read: DataFrame) -> DataFrame:
-    """``uid, source, doc_id, text_key, chars, bytes, body, verdict, open, marked, broken, broken_prose``, written.
+    """``uid, source, doc_id, text_key, chars, bytes, body, verdict, open, marked, terminated, broken, broken_prose``, written.
 
     ``broken``: one of the ends stops where hardly any sentence or line does.
     """
@@ -475,7 +478,7 @@ def naturalness(read: DataFrame) -> DataFrame:
     piece = F.col("lower") & (F.col("closing_word") >= 0.9 * F.col("total_word")) & (F.col("total_three") < CHAIN * F.col("total_left")) & (F.col("total_line") < KNOWN)
     broken = few | piece
     of_doc = of_end.groupBy("uid").agg(F.max(broken).alias("broken"), F.max(broken & F.col("prose")).alias("broken_prose"))
-    columns = ["uid", "doc_id", "source", "text_key", "chars", "bytes", "body", "verdict", "open", "marked"]
+    columns = ["uid", "doc_id", "source", "text_key", "chars", "bytes", "body", "verdict", "open", "marked", "terminated"]
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("broken", "broken_prose")]
     return materialize(docs.select(columns).join(of_doc, "uid", "left").select(*columns, *flags), "broken")
 
@@ -519,6 +522,7 @@ def judged(read: DataFrame) -> DataFrame:
     at_limit = F.coalesce(*[F.col(f"at_{u}").isNotNull() | F.lit(None) for u in UNITS], F.lit(False))
     cut = (
         F.when(F.col("verdict") == CUT, True)
+        .when(F.col("terminated"), exact)
         .when(F.col("verdict") == WHOLE, False)
         .when(F.col("marked"), at_limit | F.col("broken_prose"))
         .otherwise(F.col("broken_prose") | exact | (at_limit & (F.col("open") | F.col("broken"))))

@@ -111,3 +111,28 @@ def test_wrongly_read_text_is_repaired():
 def test_notices_behind_the_text():
     for notice in ("Cookies help us remember your basket. OK", "Nous utilisons des cookies. Tout accepter | Refuser", "Back to top Home"):
         assert X.without_furniture("It was mo " + notice) == ("It was mo", 1)
+
+
+def words_of(r, size):
+    """Sentences and the first words of one more, just so long."""
+    text = sentence(r)
+    while len(text) <= size:
+        text += " " + sentence(r)
+    return text[:size]
+
+
+def ending(r, size):
+    """Sentences, just so long, the last one with its full stop."""
+    return words_of(r, size - 1).rstrip(" .").ljust(size - 1, "e") + "."
+
+
+def test_a_terminated_text_on_the_exact_limit_of_its_source_is_cut(spark):
+    r = random.Random(5)
+    stopped = [t for t in (words_of(r, 500) for _ in range(90)) if not t.endswith((".", " "))]
+    on, off = [ending(r, 500) for _ in range(4)], [ending(r, n) for n in (430, 470, 499, 501, 520, 560)]
+    assert all(len(t) == 500 and t.endswith(".") for t in on)
+    rows = [(i, "limited", t, None, "u", "c", 1) for i, t in enumerate(stopped + on + off)]
+    rows += [(1000 + i, "free", t, None, "u", "c", 1) for i, t in enumerate(on)]
+    got, _ = cut_ids(spark, rows)
+    n = len(stopped)
+    assert {n, n + 1, n + 2, n + 3} <= got and not {i for i in got if i >= n + len(on)}
