@@ -45,7 +45,8 @@ NEAR = 15  # a limit that backs up to a word or a whole character ends texts ove
 AROUND = 200
 CHAIN = 0.02
 LEAST_PILE = 3
-LEAST_SHARE = 0.15  # of a source's texts that stop in the middle
+LEAST_SHARE = 0.15  # of a source's texts that stop in the middle: enough for a pile that is not SURE
+SURE = 20.0  # a pile is no chance: minus the logarithm of how likely the lengths around it make one as large
 LEAST_LENGTH = 100
 CLOSING_SHARE = 0.10
 KNOWN = 5
@@ -491,7 +492,8 @@ def limits(natural: DataFrame) -> DataFrame:
 
     Units are characters and bytes of the text and characters of its main content. Counts
     different texts by source and length; a window of one source holds its distinct
-    lengths, not its rows. ``exact``: the pile is on one length.
+    lengths, not its rows. ``exact``: the pile is on one length. A pile that is clear
+    against the lengths around it counts whatever its share of the source's stops is.
     """
     stopped = natural.filter((F.col("verdict") == CUT) | F.col("broken_prose") | (F.col("marked") & F.col("open")))
     units = F.create_map(*[x for u in UNITS for x in (F.lit(u), F.col(u))])
@@ -505,9 +507,16 @@ def limits(natural: DataFrame) -> DataFrame:
     one = (F.col("n") >= LEAST_PILE) & (F.col("n") >= 12 * F.col("far") / width)
     wide = (F.col("near") >= 2 * LEAST_PILE) & (F.col("near") >= 5 * F.col("far") * (2 * NEAR + 1) / width)
     exact = one & (2 * F.col("n") >= F.col("near"))
-    large = (F.col("near") >= LEAST_SHARE * F.col("total")) & (F.col("length") >= LEAST_LENGTH)
+    large = F.col("near") >= LEAST_SHARE * F.col("total")
+
+    def sure(n, lengths: int):
+        """Chernoff's bound for so many where the lengths around, with one text more, would make ``usual``."""
+        usual = (F.col("far") + 1) * lengths / width
+        return (n > usual) & (n * F.log(n / usual) - n + usual >= SURE)
+
+    piles = (one & (large | sure(F.col("n"), 1))) | (wide & (large | sure(F.col("near"), 2 * NEAR + 1)))
     counts = counts.withColumn("near", near).withColumn("far", far).withColumn("total", total)
-    return counts.filter(large & (one | wide)).select("source", "unit", "length", exact.alias("exact"))
+    return counts.filter(piles & (F.col("length") >= LEAST_LENGTH)).select("source", "unit", "length", exact.alias("exact"))
 
 
 def judged(read: DataFrame) -> DataFrame:

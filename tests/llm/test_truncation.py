@@ -136,3 +136,15 @@ def test_a_terminated_text_on_the_exact_limit_of_its_source_is_cut(spark):
     got, _ = cut_ids(spark, rows)
     n = len(stopped)
     assert {n, n + 1, n + 2, n + 3} <= got and not {i for i in got if i >= n + len(on)}
+
+
+def test_a_clear_pile_counts_whatever_its_share(spark):
+    """Most texts of a source stop anywhere; two limits hold less than 15 % of the stops each."""
+    r = random.Random(6)
+    natural = [("s", i, n, n, n, n, X.CUT, True, False, False, False, False) for i, n in enumerate(r.randint(300, 3000) for _ in range(1500))]
+    limited = [("s", 2000 + i, n, n, n, n, X.CUT, True, False, False, False, False) for i, n in enumerate([800] * 40 + [2000] * 60)]
+    few = [("t", 3000 + i, n, n, n, n, X.CUT, True, False, False, False, False) for i, n in enumerate(r.randint(300, 2300) for _ in range(300))]
+    columns = "source string, text_key long, chars long, bytes long, body long, uid long, verdict int, open boolean, marked boolean, broken boolean, broken_prose boolean, terminated boolean"
+    piles = X.limits(spark.createDataFrame(natural + limited + few, columns)).collect()
+    assert {(p.source, p.length) for p in piles if p.exact} == {("s", 800), ("s", 2000)}
+    assert all(p.source == "s" and min(abs(p.length - 800), abs(p.length - 2000)) <= X.NEAR for p in piles)
