@@ -50,6 +50,8 @@ SURE = 20.0  # a pile is no chance: minus the logarithm of how likely the length
 LEAST_LENGTH = 100
 CLOSING_SHARE = 0.10
 KNOWN = 5
+GARBLED_TAIL = 200
+GARBLED_SHARE = 0.02  # of U+FFFD in the tail; fewer are stray signs
 
 _CLOSERS = {"”": "“", "“": "„", "»": "«", ")": "(", "]": "[", "}": "{", "」": "「", "』": "『"}
 _OPENERS = set(_CLOSERS.values())
@@ -278,7 +280,8 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
     bare = text.rstrip()
     if len(_GARBLED.findall(bare)) >= 3:
         bare = _repaired(bare) or bare
-    garbled = bare[:-3].count("\ufffd") > 0 or len(_GARBLED.findall(bare)) >= 3
+    tail = bare[-GARBLED_TAIL - 3 : -3]
+    garbled = tail.count("\ufffd") > max(1, GARBLED_SHARE * len(tail)) or len(_GARBLED.findall(bare)) >= 3
     if not garbled:
         if bare.endswith("\ufffd"):
             return CUT, True, False, [], main, False
@@ -301,7 +304,7 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
             return WHOLE, False, False, [], main, True
         fragment = _last_fragment(main)
         if not (fragment.isascii() and len(fragment.split()) >= 4 and _is_prose(fragment[-160:])):
-            return (WHOLE if taken else ASK), not taken, False, [], main, False
+            return ASK, True, False, [], main, False
     if re.search("[©·|]$", bare):
         return CUT, True, False, [], main, False
     if mark:
@@ -309,7 +312,7 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
         fragment = _last_fragment(rest)
         prose = _is_prose(fragment[-80:]) and len(fragment.split()) >= 2
         return ASK, prose, True, [(rest, prose)], main, False
-    open_, ends, measured = False, [], main
+    open_, stops, ends, measured = False, False, [], main
     for _ in range(8):
         if _TERMINATED.search(main) or (_GREEK_END.search(main) and _GREEK.search(main[-200:])) or _SMILE.search(main):
             # a quote that opened in the last sentence and never closed
@@ -325,7 +328,9 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
         if prose and words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", main):
             return CUT, True, False, [], measured, False
         open_ |= prose and words >= 4
-        ends.append((main, prose))
+        stops = True
+        if "\ufffd" not in (fragment.split() or [""])[-1]:  # a damaged word tells nothing
+            ends.append((main, prose))
         start = main.rfind("\n") + 1
         if not start or words > 3 or len(main) - start > len(fragment) + 2:
             break
@@ -334,7 +339,7 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
             break
         if taken:
             measured = main
-    return (ASK if ends else WHOLE), open_, False, ends, measured, not ends
+    return (ASK if stops else WHOLE), open_, False, ends, measured, not stops
 
 
 class _Grams:

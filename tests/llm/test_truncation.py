@@ -148,3 +148,16 @@ def test_a_clear_pile_counts_whatever_its_share(spark):
     piles = X.limits(spark.createDataFrame(natural + limited + few, columns)).collect()
     assert {(p.source, p.length) for p in piles if p.exact} == {("s", 800), ("s", 2000)}
     assert all(p.source == "s" and min(abs(p.length - 800), abs(p.length - 2000)) <= X.NEAR for p in piles)
+
+
+def test_one_stray_sign_does_not_hide_an_end():
+    stray = "Die alte Br�cke wurde im Frühjahr gestrichen. " + "Die Uhr am Markt geht seit dem Winter wieder richtig. " * 5
+    for cut in ("Die Fähre wurde früh am Morgen verscho", "Паром перенесли рано утр", "Η γέφυρα άνοιξε χωρίς προειδοποί"):
+        for footer in ("", "\nNach oben", "\n© 2020 Verein"):
+            verdict, _, _, ends, main, terminated = X.read_end(stray + cut + footer, None)
+            assert verdict == X.ASK and len(ends) == 1 and ends[0][0].endswith(cut) and main.endswith(cut) and not terminated
+    for cut in ("Die Fähre wurde mo<a hre", "Die Fähre sagte „wir sind", "Die Fähre wurde mo&am"):
+        assert X.read_end(stray + cut, None)[0] == X.CUT
+    assert X.read_end(stray + "Die Fähre wurde versch�ben", None)[3] == []  # the damaged word itself is not judged
+    heavy = "������ ��� ������� " * 20
+    assert X.read_end(heavy + "������� ����\n© 2020 Verein", None)[:2] == (X.ASK, True)
