@@ -50,6 +50,7 @@ SURE = 20.0  # a pile is no chance: minus the logarithm of how likely the length
 LEAST_LENGTH = 100
 CLOSING_SHARE = 0.10
 KNOWN = 5
+END_READ = 200  # characters of an end that the baselines read, at most
 GARBLED_TAIL = 200
 GARBLED_SHARE = 0.02  # of U+FFFD in the tail; fewer are stray signs
 
@@ -128,27 +129,36 @@ def open_delimiters(text: str) -> list[str]:
     return stack
 
 
-def without_furniture(text: str) -> tuple[str, int]:
-    """The text without the page furniture at its end, and how many parts were taken off; ``-1``: an invitation to read on follows."""
+def _furniture_start(text: str, end: int) -> tuple[int, int]:
+    """Where ``text[:end]`` ends without the page furniture at its end, and how many parts were taken off; ``-1``: an invitation to read on follows.
+
+    Only the last line is looked at, since no part goes beyond it, so that many parts take no longer than their own length.
+    """
     taken = 0
-    while taken < 12:
-        text = text.rstrip()
-        if _INVITATION.search(text[-60:]):
-            return text, -1
-        tail = text[-400:]
-        line = text[text.rfind("\n") + 1 :]
-        if len(line) < len(text) and len(line) <= 160 and (line.count(" | ") >= 3 or _CONSENT.search(line)):
-            text = text[: len(text) - len(line)]
+    while True:
+        while end and text[end - 1].isspace():
+            end -= 1
+        tail = text[max(0, end - 400) : end]
+        line = tail[tail.rfind("\n") + 1 :]
+        if _INVITATION.search(line[-60:]):
+            return end, -1
+        if len(line) < len(tail) and len(line) <= 160 and (line.count(" | ") >= 3 or _CONSENT.search(line)):
+            end -= len(line)
             taken += 1
             continue
-        m = _FURNITURE.search(tail)
+        m = _FURNITURE.search(line)
         if not m:
-            m = _SIGNATURE.search(tail)
+            m = _SIGNATURE.search(line)
             if not m or not all(w[0].isupper() for w in m.group(1).split()):
-                return text, taken
-        text = text[: len(text) - len(tail) + m.start()]
+                return end, taken
+        end -= len(line) - m.start()
         taken += 1
-    return text, taken
+
+
+def without_furniture(text: str) -> tuple[str, int]:
+    """The text without the page furniture at its end, and how many parts were taken off; ``-1``: an invitation to read on follows."""
+    end, taken = _furniture_start(text, len(text))
+    return text[:end], taken
 
 
 def _last_fragment(text: str) -> str:
@@ -312,34 +322,39 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
         fragment = _last_fragment(rest)
         prose = _is_prose(fragment[-80:]) and len(fragment.split()) >= 2
         return ASK, prose, True, [(rest, prose)], main, False
-    open_, stops, ends, measured = False, False, [], main
-    for _ in range(8):
-        if _TERMINATED.search(main) or (_GREEK_END.search(main) and _GREEK.search(main[-200:])) or _SMILE.search(main):
+    open_, stops, ends, at, measured = False, False, [], len(main), len(main)
+    seen: set[str] = set()
+    # the look back ends at a line that is not short; it reads the last characters of each line only
+    while True:
+        line = main[main.rfind("\n", 0, at) + 1 : at]
+        last = line[-600:]
+        if _TERMINATED.search(last) or (_GREEK_END.search(last) and _GREEK.search(main[max(0, at - 200) : at])) or _SMILE.search(last[-8:]):
             # a quote that opened in the last sentence and never closed
-            if not garbled and any(s in "“„«「『" for s in open_delimiters(main)) and _is_prose(_last_fragment(main)[-80:]):
-                return CUT, True, False, [], measured, False
+            if not garbled and any(s in "“„«「『" for s in open_delimiters(line)) and _is_prose(_last_fragment(last)[-80:]):
+                return CUT, True, False, [], main[:measured], False
             break
-        fragment = _last_fragment(main)
-        prose = _is_prose(fragment[-160:]) and not main.isalpha() and not _WIDE_TITLE.fullmatch(fragment)
+        fragment = _last_fragment(last)
+        prose = _is_prose(fragment[-160:]) and not (at == len(line) and line.isalpha()) and not _WIDE_TITLE.fullmatch(fragment)
         wide = any(c > "\u2fff" for c in fragment)
         words = len(fragment) // 3 if wide else len(fragment.split())
-        if prose and not garbled and open_delimiters(main):
-            return CUT, True, False, [], measured, False
-        if prose and words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", main):
-            return CUT, True, False, [], measured, False
+        if prose and not garbled and open_delimiters(line):
+            return CUT, True, False, [], main[:measured], False
+        if prose and words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", last):
+            return CUT, True, False, [], main[:measured], False
         open_ |= prose and words >= 4
         stops = True
-        if "\ufffd" not in (fragment.split() or [""])[-1]:  # a damaged word tells nothing
-            ends.append((main, prose))
-        start = main.rfind("\n") + 1
-        if not start or words > 3 or len(main) - start > len(fragment) + 2:
+        if "\ufffd" not in (fragment.split() or [""])[-1] and line[-END_READ:] not in seen:  # a damaged word tells nothing
+            seen.add(line[-END_READ:])
+            ends.append((main[max(0, at - END_READ) : at], prose))
+        start = at - len(line)
+        if not start or words > 3 or len(line) > len(fragment) + 2:
             break
-        main, taken = without_furniture(main[:start])
-        if taken < 0 or not main:
+        at, taken = _furniture_start(main, start)
+        if taken < 0 or not at:
             break
         if taken:
-            measured = main
-    return (ASK if stops else WHOLE), open_, False, ends, measured, not stops
+            measured = at
+    return (ASK if stops else WHOLE), open_, False, ends, main[:measured], not stops
 
 
 class _Grams:

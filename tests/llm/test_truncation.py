@@ -161,3 +161,16 @@ def test_one_stray_sign_does_not_hide_an_end():
     assert X.read_end(stray + "Die Fähre wurde versch�ben", None)[3] == []  # the damaged word itself is not judged
     heavy = "������ ��� ������� " * 20
     assert X.read_end(heavy + "������� ����\n© 2020 Verein", None)[:2] == (X.ASK, True)
+
+
+def test_the_look_back_ends_at_a_line_that_is_not_short():
+    body = "The ferry was moved. The lantern near the harbour was pain"
+    menu = "".join(f"\nItem {w.title()}" for w in WORDS)
+    _, _, _, ends, main, _ = X.read_end(body + menu, None)
+    assert len(ends) == len(WORDS) + 1 and ends[-1][0].endswith("harbour was pain")
+    assert X.read_end("The ferry said “we moved the lantern" + menu, None)[0] == X.CUT
+    footer = "".join(f"\n© 20{i} Some Society" for i in range(10, 40))
+    assert X.without_furniture(body + footer) == (body, 30)
+    _, open_, _, ends, main, _ = X.read_end(body + footer, None)
+    assert main == body and open_ and len(ends) == 1
+    assert [e[0] for e in X.read_end(body + "\nHome" * 1000, None)[3]][-1].endswith("pain")
