@@ -376,13 +376,8 @@ def ingest_entropy_codec(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("file_id").alias("doc_id"), F.round("e", 6).alias("entropy"), C.codec_of(F.col("e")).alias("codec"))
 
 
-@_query(
-    """select count(*) files, count(distinct text) recipes, count(distinct text) filter (text <> '') chunks, cast(sum(octet_length(encode(text))) as bigint) bytes,
-    (select cast(sum(octet_length(encode(t))) as bigint) from (select distinct text t from documents)) stored_bytes from documents where text is not null"""
-)
-def ingest_dedup_summary(spark: SparkSession, d: str) -> DataFrame:
-    """One raw chunk a file: chunks and recipes stored against files read."""
-    plans = _plans(spark, d, ONE_CHUNK, schema.RAW)
+def _dedup_summary(plans: DataFrame) -> DataFrame:
+    """Chunks and recipes stored against files read."""
     kept = store.first_writer_wins(pipeline.plan_objects(plans), F.col("input_ordinal"), store.META_FIELDS)
     files = plans.select(F.lit(0).alias("kind"), F.col("original_size").alias("n"))
     rows = files.unionAll(kept.select("kind", "stored_size"))
@@ -393,9 +388,34 @@ def ingest_dedup_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@_query(
+    """select count(*) files, count(distinct text) recipes, count(distinct text) filter (text <> '') chunks, cast(sum(octet_length(encode(text))) as bigint) bytes,
+    (select cast(sum(octet_length(encode(t))) as bigint) from (select distinct text t from documents)) stored_bytes from documents where text is not null"""
+)
+def ingest_dedup_summary(spark: SparkSession, d: str) -> DataFrame:
+    """One raw chunk a file: chunks and recipes stored against files read."""
+    return _dedup_summary(_plans(spark, d, ONE_CHUNK, schema.RAW))
+
+
+@_query()
+def ingest_chunked_dedup_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The same with content-defined chunks, which texts share in part, and compression; cut points have no SQL."""
+    return _dedup_summary(_plans(spark, d, SMALL))
+
+
+def _estimated_bytes(plans: DataFrame) -> DataFrame:
+    return plans.select(F.col("file_id").alias("doc_id"), "estimated_bytes", "stored_stream_size")
+
+
 @_query("select doc_id, octet_length(encode(text)) + 49 + 36 * (text <> '')::int estimated_bytes, octet_length(encode(text)) stored_stream_size from documents where text is not null")
 def ingest_estimated_bytes(spark: SparkSession, d: str) -> DataFrame:
-    return _plans(spark, d, ONE_CHUNK, schema.RAW).select(F.col("file_id").alias("doc_id"), "estimated_bytes", "stored_stream_size")
+    return _estimated_bytes(_plans(spark, d, ONE_CHUNK, schema.RAW))
+
+
+@_query()
+def ingest_chunked_estimated_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The same with content-defined chunks and compression; sizes of compressed chunks have no SQL."""
+    return _estimated_bytes(_plans(spark, d, SMALL))
 
 
 @_query("select doc_id, text from documents where text is not null")
@@ -407,12 +427,21 @@ def ingest_restore_documents(spark: SparkSession, d: str) -> DataFrame:
     return plans.select(F.col("file_id").alias("doc_id"), "recipe_hash").join(back, "recipe_hash").select("doc_id", "text")
 
 
+def _verified(plans: DataFrame) -> DataFrame:
+    checked = store.verify(store.first_writer_wins(pipeline.plan_objects(plans), F.col("input_ordinal"))).filter(F.col("kind") == schema.CHUNK)
+    return checked.agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("error_class").isNull()).alias("verified"))
+
+
 @_query("select count(*) objects, count(*) verified from (select distinct text t from documents where text <> '')")
 def ingest_verify_objects(spark: SparkSession, d: str) -> DataFrame:
     """All stored chunks decoded and checked against length and hash."""
-    plans = _plans(spark, d, ONE_CHUNK)
-    checked = store.verify(store.first_writer_wins(pipeline.plan_objects(plans), F.col("input_ordinal"))).filter(F.col("kind") == schema.CHUNK)
-    return checked.agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("error_class").isNull()).alias("verified"))
+    return _verified(_plans(spark, d, ONE_CHUNK))
+
+
+@_query()
+def ingest_chunked_verify_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The same with content-defined chunks."""
+    return _verified(_plans(spark, d, SMALL))
 
 
 @_query("select doc_id, true same, case when text = '' then 0 else 1 end not_empty from documents where text is not null")

@@ -247,3 +247,34 @@ def test_spool_and_reader():
     assert large.reader().read(3) == b"abc" and large.into_bytes() == b"abc" * 10 + b"!"
     assert H.digest_reader(io.BytesIO(b"x" * 20_000)) == H.digest(b"x" * 20_000)
     assert temporary_folder("/a").as_posix() == "/a/cairnlake"
+
+
+def test_chunked_queries_against_brute_force(spark, tmp_path):
+    from cairnlake.plans import lake
+
+    r = random.Random(8)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(30_000))
+    texts = [shared, "One line before. " + shared, shared[:20_000] + " another end", shared, "short", "", None, "äöü" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks, recipes, estimates = {}, set(), {}
+    for i, text in enumerate(texts):
+        if text is None:
+            continue
+        data, parts, at = text.encode(), [], 0
+        for offset, length in lake.SMALL.split(data):
+            assert offset == at
+            part, at = data[at : at + length], at + length
+            parts.append((H.digest(part), length))
+            chunks[H.digest(part)] = len(C.compress_auto(part, None)[1])
+        recipe = R.build(len(data), H.digest(data), parts)
+        recipes.add(recipe)
+        estimates[i] = (sum(chunks[h] for h, _ in parts) + len(recipe), len(data))
+    got = {x.doc_id: (x.estimated_bytes, x.stored_stream_size) for x in lake.ingest_chunked_estimated_bytes(spark, str(tmp_path)).collect()}
+    assert got == estimates
+    (s,) = lake.ingest_chunked_dedup_summary(spark, str(tmp_path)).collect()
+    total = sum(len(t.encode()) for t in texts if t)
+    assert (s.files, s.bytes, s.recipes, s.chunks, s.stored_bytes) == (7, total, len(recipes), len(chunks), sum(chunks.values()))
+    (whole,) = lake.ingest_dedup_summary(spark, str(tmp_path)).collect()
+    assert whole.stored_bytes > 2 * s.stored_bytes
+    (v,) = lake.ingest_chunked_verify_objects(spark, str(tmp_path)).collect()
+    assert v.objects == v.verified == len(chunks)
