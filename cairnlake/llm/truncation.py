@@ -1,11 +1,12 @@
 """Texts that were cut off by a field limit or in transfer.
 
-Method: a stack automaton reads the quotes and brackets of a text and says whether its
-last sentence leaves one open; beside it the end is checked for markup, character
+Method: a stack automaton reads quotes, brackets, markup comments and tags of the whole
+text and says what its end leaves open; beside it the end is checked for character
 references, escapes and multibyte sequences that break off, and for a terminator. What
-follows the main content (copyright lines, tags, signatures, "back to top", invitations
-to read on) is taken off first. An end without a terminator alone proves nothing, so two
-baselines over the whole corpus decide:
+follows the main content (menus, footers, tags, signatures, invitations to read on) is
+taken off first; which lines these are is learned from their repetition over the corpus
+(:mod:`cairnlake.llm.furniture`), no phrase is known beforehand. An end without a
+terminator alone proves nothing, so two baselines over the whole corpus decide:
 
 * per source, lengths (in characters and in bytes) at which far more different open
   texts end than at the lengths around them: those are the source's field limits, and a
@@ -16,10 +17,14 @@ baselines over the whole corpus decide:
 
 A stored length beyond that of the text says so directly.
 
+The texts are read twice: once to count words and lines, once to read the ends with the
+furniture known.
+
 Defined results:
 
 * null, empty and blank texts are whole; null source is a source of its own, a null
   ``n_chars`` says nothing;
+* a text of nothing but furniture, or that an invitation to read on ends, is whole;
 * texts that are no prose at their end (numbers, hex, noise, one long run) are whole
   unless their structure breaks off;
 * repeated rows count once in the baselines of limits; an empty table gives empty
@@ -34,148 +39,132 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cairnlake.llm import furniture
 from cairnlake.llm.batches import by_text
+from cairnlake.llm.furniture import BREAK, EDGE, SIGN, STOP, TOKEN, WORD, Counts, Units, Vocabulary
 from cairnlake.runtime import materialize
 
+# parameters of the baselines
 NEAR = 15  # a limit that backs up to a word or a whole character ends texts over so many lengths
 AROUND = 200
 CHAIN = 0.02
 LEAST_PILE = 3
+LEAST_LENGTH = 100  # shorter limits must be SURE: short pages have few lengths
 LEAST_SHARE = 0.15  # of a source's texts that stop in the middle: enough for a pile that is not SURE
 SURE = 20.0  # a pile is no chance: minus the logarithm of how likely the lengths around it make one as large
-LEAST_LENGTH = 100
 CLOSING_SHARE = 0.10
 KNOWN = 5
-END_READ = 200  # characters of an end that the baselines read, at most
+# parameters of what an end looks like
 GARBLED_TAIL = 200
 GARBLED_SHARE = 0.02  # of U+FFFD in the tail; fewer are stray signs
-
-_CLOSERS = {"”": "“", "“": "„", "»": "«", ")": "(", "]": "[", "}": "{", "」": "「", "』": "『"}
-_OPENERS = set(_CLOSERS.values())
-_DELIMITER = re.compile("[“”„«»()\\[\\]{}「」『』]|[.!?。？！…]+(?=\\s)|\n")
+CONTEXT = 60  # characters before broken markup that must be text
+TITLE_WORDS = 3
+SHORT_LINE = 75  # longer lines begin the main content
+
+_CLOSERS = {"”": "“„", "»": "«", ")": "(", "]": "[", "}": "{", "」": "「", "』": "『"}
+_OPENERS = set("“„«([{「『")
+_DELIMITER = re.compile("[“”„«»()\\[\\]{}「」『』\"]|<!--|-->")
+_SENTENCE_END = re.compile("[.!?。？！…][”“\"»’')\\]]*\\s|\n")
+_STOPS = re.compile("[.!?。？！]")
 _TERMINATED = re.compile("[.!?。？！…‽][”“\"»’'‘)\\]}」』*]*$")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _GREEK_END = re.compile(";[”“\"»’')\\]]*$")
 _SMILE = re.compile("(?:[:;]-?[)D(P]|[\U0001f300-\U0001faff☀-➿][️‍]?)$")
-_BROKEN_MARKUP = re.compile(r"<(?:/?[A-Za-z][^<>]{0,200})?$|<!--(?:(?!-->).)*$", re.S)
+#: a tag whose attributes, all but the last one with a value, go on to the end of the text
+_OPEN_TAG = re.compile(r"<(?:/?[A-Za-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))*(?:\s+[\w:-]*(?:\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'<>]*))?)?\s*)?$")
 _BROKEN_REFERENCE = re.compile(r"&(?:#[xX]?[0-9a-fA-F]{0,6}|[A-Za-z]{1,8})$")
 _BROKEN_ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|%[0-9A-F]?$")
+_LONGEST_BROKEN = 9  # characters of the longest reference or escape that can be broken
 _MARK = re.compile("\\s*(?:\\[(?:\\.\\.\\.|…)\\]|\\((?:\\.\\.\\.|…)\\)|…|\\.\\.\\.)$")
 _GARBLED = re.compile("Ã[-¿]|â€|â\x80|Â[^\\w\\s]|[ÐÑ][-¿ŒœŠšŽžƒ]|ã[-¿€‚ƒ]|[ÎÏ][-¿]")
 #: what each byte looks like when UTF-8 was read as Windows-1252; undefined bytes come out as U+FFFD
 _READ_WRONG = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {0xFFFD: 0x9D}
-
-# fixed values: what page furniture looks like, by language
-_FIXED = (
-    "Powered by \\S+|Back to top|Nach oben|Haut de page|Volver arriba|Наверх|ページトップへ|Επιστροφή στην κορυφή|Terms \\| Privacy \\| Accessibility|Share this page"
-    "|(?:This website stores small files on your device\\. )?By continuing you agree to our cookie policy\\.|We use cookies[^\n.]{0,60}\\.[^\n.]{0,40}"
-    "|Cookies help us[^\n.]{0,60}\\. OK|Your privacy matters\\. Manage preferences +Accept|Diese Seite speichert Einstellungen[^\n.]{0,40}\\. Einverstanden"
-    "|Wir verwenden Cookies\\.[^\n.]{0,40}|Nous utilisons des cookies\\.[^\n.]{0,40}|Usamos cookies[^\n.]{0,30}\\.[^\n.]{0,40}|Мы используем файлы cookie\\. Принять"
-    "|当サイトはクッキーを使用します。同意する|Χρησιμοποιούμε cookies\\.[^\n.]{0,40}"
-)
-_FURNITURE = re.compile(
-    f"(?:^|(?<=\\s))(?:(?:{_FIXED})(?: [^\\W\\d_a-z]\\w+){{0,2}}"
-    "|(?:Â|\ufffd)?©[^\n]{0,120}|\ufffd (?:19|20)\\d\\d [^\n]{0,100}|(?:Copyright|\\(c\\)) [^\n]{0,120}|All rights reserved\\.[^\n]{0,60}|Alle Rechte vorbehalten\\.?[^\n]{0,60}"
-    "|Posted by [^\n.]{1,80}|(?:Opening hours|Öffnungszeiten): [^\n]{1,60}"
-    "|(?:Tags|Schlagwörter|Mots-clés ?|Etiquetas|Метки|Ετικέτες|タグ): ?[^\n.]{1,120}"
-    "|Next: [^\n]{1,80}»|Comments \\(\\d+\\)"
-    ")$"
-)
-# fixed values: what comes before a writer's name
-_SIGNATURE = re.compile("(?:^|\\s)(?:—|By|Von|Par|Por|Автор|Από) ([^\n.—]{2,60})$")
-# fixed values: words of consent notices
-_CONSENT = re.compile("cookie|クッキー|speichert Einstellungen|stores small files|privacy matters", re.I)
 _WIDE_TITLE = re.compile("(?:[A-Za-z]+ ?)?[゠-ヿ㐀-鿿ー]{1,8}")  # a name and signs without any inflection
-_INVITATION = re.compile("(?:Read more|Continue reading|Weiterlesen|Mehr lesen|Читать далее|Lire la suite|Leer más|Διαβάστε περισσότερα|続きを読む) ?(?:…|\\.\\.\\.)?$")
 
-_TOKEN = re.compile("[぀-ヿ㐀-鿿]|\\d+(?:[.,]\\d+)*|[^\\W\\d_぀-鿿]+(?:['’-][^\\W\\d_]+)*|[.!?。？！…;|·•»]+|\n|\x00")
-_WORD, _STOP, _LINE, _EDGE = 0, 1, 2, 3
-_LINE_WORDS = 8
+_LINE_WORDS = 8  # longer lines are judged by their last words
 
 _FEATURES = (
-    "what int, uid long, doc_id {}, source string, text_key long, chars long, bytes long, body long, verdict int, open boolean, marked boolean, terminated boolean,"
-    " asks array<struct<line:bigint,pair:bigint,shape:bigint,word:bigint,three:bigint,left:bigint,lower:boolean,prose:boolean>>, key long, total long, closing long"
+    "doc_id {}, source string, text_key long, uid long, chars long, bytes long, body long, main long, verdict int, open boolean, marked boolean, terminated boolean,"
+    " asks array<struct<line:bigint,pair:bigint,shape:bigint,word:bigint,three:bigint,left:bigint,lower:boolean,prose:boolean>>"
 )
 _KEYS = ("line", "pair", "shape", "word", "three", "left")
 _ASK = pa.list_(pa.struct([*((k, pa.int64()) for k in _KEYS), ("lower", pa.bool_()), ("prose", pa.bool_())]))
-DOC, GRAM = 0, 1
+_COUNTED = "what int, key long, " + ", ".join(f"{c} long" for c in furniture.COUNTS)
 WHOLE, CUT, ASK = 0, 1, 2
+_NOTHING = Units()
 
 
-def open_delimiters(text: str) -> list[str]:
-    """The stack of quotes and brackets that the last sentence leaves open.
+def structure(text: str) -> list[tuple[str, int]]:
+    """The stack of quotes, brackets and comments that a text leaves open: signs and places.
 
-    A line break, or a terminator before white space, ends a sentence; what it left open
-    is forgotten, so that one stray sign does not taint the rest of the text.
+    A closing sign takes its nearest opening one off the stack, with what was left open
+    inside it; without one it is stray. A straight quote opens before a word and closes
+    behind one. Within a comment only its end counts.
     """
-    stack: list[str] = []
+    stack: list[tuple[str, int]] = []
     for m in _DELIMITER.finditer(text):
-        sign = m.group()
-        if sign == "\n" or sign[0] in ".!?。？！…":
-            stack.clear()
-        elif sign == "“" and (not stack or stack[-1] != "„"):
-            stack.append(sign)
-        elif sign in _CLOSERS:
-            if stack and stack[-1] == _CLOSERS[sign]:
-                stack.pop()
-            elif sign == "”" and stack and stack[-1] in "“„":
+        sign, at = m.group(), m.start()
+        if stack and stack[-1][0] == "<!--":
+            if sign == "-->":
                 stack.pop()
-        elif sign in _OPENERS:
-            stack.append(sign)
+            continue
+        if sign == '"':
+            opens = (not at or text[at - 1].isspace() or text[at - 1] in _OPENERS) and not text[at + 1 : at + 2].isspace()
+            closes = "" if opens else '"“„'
+        elif sign == "“":  # closes a low quote, opens otherwise
+            closes = "„" if any(s == "„" for s, _ in stack) else ""
+        else:
+            closes = "" if sign in _OPENERS or sign == "<!--" else _CLOSERS.get(sign, "-")
+        if not closes:
+            stack.append((sign, at))
+            continue
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in closes:
+                del stack[i:]
+                break
     return stack
 
 
-def _furniture_start(text: str, end: int) -> tuple[int, int]:
-    """Where ``text[:end]`` ends without the page furniture at its end, and how many parts were taken off; ``-1``: an invitation to read on follows.
-
-    Only the last line is looked at, since no part goes beyond it, so that many parts take no longer than their own length.
-    """
-    taken = 0
-    while True:
-        while end and text[end - 1].isspace():
-            end -= 1
-        tail = text[max(0, end - 400) : end]
-        line = tail[tail.rfind("\n") + 1 :]
-        if _INVITATION.search(line[-60:]):
-            return end, -1
-        if len(line) < len(tail) and len(line) <= 160 and (line.count(" | ") >= 3 or _CONSENT.search(line)):
-            end -= len(line)
-            taken += 1
-            continue
-        m = _FURNITURE.search(line)
-        if not m:
-            m = _SIGNATURE.search(line)
-            if not m or not all(w[0].isupper() for w in m.group(1).split()):
-                return end, taken
-        end -= len(line) - m.start()
-        taken += 1
+def open_delimiters(text: str) -> list[str]:
+    """The quotes and brackets that the last sentence opens and the text leaves open."""
+    begin = _fragment_start(text, 0, len(text))
+    return [sign for sign, at in structure(text) if at >= begin]
 
 
-def without_furniture(text: str) -> tuple[str, int]:
+def _fragment_start(text: str, start: int, end: int) -> int:
+    """Where, behind the last sentence or line end of ``text[start:end]``, its last words begin."""
+    size = 256
+    while True:
+        low = max(start, end - size)
+        at = max((m.end() for m in _SENTENCE_END.finditer(text, low, end)), default=-1)
+        if at >= 0 or low == start:
+            return max(at, start)
+        size *= 4
+
+
+def _broken_at(text: str) -> int:
+    """Where a comment, tag, reference or escape begins that the end of the text breaks off; -1 where none does."""
+    comment = text.rfind("<!--")
+    if comment > text.rfind("-->"):
+        return comment
+    tag = text.rfind("<")
+    if tag >= 0 and text.find(">", tag) < 0 and _OPEN_TAG.match(text, tag):
+        return tag
+    for broken in (_BROKEN_REFERENCE, _BROKEN_ESCAPE):
+        m = broken.search(text, max(0, len(text) - _LONGEST_BROKEN))
+        if m:
+            return m.start()
+    return -1
+
+
+def without_furniture(text: str, units: Units = _NOTHING) -> tuple[str, int]:
     """The text without the page furniture at its end, and how many parts were taken off; ``-1``: an invitation to read on follows."""
-    end, taken = _furniture_start(text, len(text))
-    return text[:end], taken
-
-
-def _last_fragment(text: str) -> str:
-    """What follows the last sentence or line end."""
-    cut = max((m.end() for m in re.finditer("[.!?。？！…][”“\"»’')\\]]*\\s|\n", text[-600:])), default=0)
-    return text[-600:][cut:].strip()
-
-
-def _body_start(text: str) -> int:
-    """Where the first line of the main content begins: behind menus, notices and titles."""
-    at = 0
-    for line in text.split("\n"):
-        long = len(line) > 75 or _TERMINATED.search(line)
-        if long and line.strip() and line.count(" | ") < 3 and not (len(line) <= 160 and _CONSENT.search(line)):
-            return at
-        at += len(line) + 1
-    return 0
+    end, taken, invited, _ = units.strip(text)
+    return text[:end], -1 if invited else taken
 
 
 def _repaired(text: str) -> str | None:
@@ -184,7 +173,7 @@ def _repaired(text: str) -> str | None:
         right = text.translate(_READ_WRONG).encode("latin-1").decode("utf-8", "replace")
     except UnicodeEncodeError:
         return None
-    return right if len(_GARBLED.findall(right)) < 3 and right.count("\ufffd") <= 0.02 * len(right) + 1 else None
+    return right if len(_GARBLED.findall(right)) < 3 and right.count("�") <= 0.02 * len(right) + 1 else None
 
 
 def _is_prose(fragment: str) -> bool:
@@ -193,41 +182,12 @@ def _is_prose(fragment: str) -> bool:
     if not n:
         return False
     words = fragment.split()
-    wide = any(c > "\u2fff" for c in fragment)
+    wide = any(c > "⿿" for c in fragment)
     letters = sum(c.isalpha() or c in " ,'’-“”„«»" for c in fragment)
     capitals = sum(w[0].isupper() for w in words)
     return letters >= 0.75 * n and (wide or max(map(len, words), default=0) <= 24) and (wide or len(words) < 4 or capitals <= 0.6 * len(words))
 
 
-class _Vocabulary:
-    """Token hashes, kept while a partition is read."""
-
-    def __init__(self) -> None:
-        self.at: dict[str, int] = {}
-        self.exact, self.norm, self.shape, self.kind = [], [], [], []
-        for t in ("\x00", "\n"):
-            self.place(t)
-
-    def place(self, token: str) -> int:
-        at = self.at[token] = len(self.exact)
-        h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
-        first = token[0]
-        shape = "0" if first.isdigit() else "A" if first.isupper() else ""
-        self.exact.append(h)
-        self.norm.append(xxhash.xxh64_intdigest("shape " + shape) if shape else h)
-        self.shape.append(xxhash.xxh64_intdigest("shape " + shape) if shape else 0)
-        self.kind.append(_EDGE if token == "\x00" else _LINE if token == "\n" else _STOP if first in ".!?。？！…;|·•»" else _WORD)
-        return at
-
-    def read(self, tokens: list[str]) -> tuple[np.ndarray, ...]:
-        if len(self.at) > 500_000:
-            self.__init__()
-        get, place = self.at.get, self.place
-        index = np.fromiter((p if (p := get(t)) is not None else place(t) for t in tokens), np.int64, len(tokens))
-        u = np.uint64
-        return np.array(self.exact, u)[index], np.array(self.norm, u)[index], np.array(self.shape, u)[index], np.array(self.kind, np.int8)[index]
-
-
 _START = np.uint64(0x5EED)
 
 
@@ -248,7 +208,7 @@ def _shifted(x: np.ndarray, word: np.ndarray, by: int) -> np.ndarray:
 
 def _keys(exact, norm, shape, kind) -> dict[str, np.ndarray]:
     """Keys of each position: pair, pair with the word's shape (0: none), word, three words, and the pair one place to the left."""
-    word = kind == _WORD
+    word = kind == WORD
     before, far = _shifted(norm, word, 1), _shifted(norm, word, 2)
     pair = _mix(before, exact, 1)
     left = np.concatenate([[0], pair[:-1]]) if len(pair) else pair
@@ -263,9 +223,9 @@ def _line_keys(exact, norm, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     One word stands for itself; in longer lines a capitalised word or a number stands for its kind.
     """
-    edge = np.flatnonzero(kind >= _LINE)
+    edge = np.flatnonzero(kind >= BREAK)
     gap = np.diff(edge) - 1
-    inside = np.concatenate([[0], np.cumsum(kind == _STOP)])
+    inside = np.concatenate([[0], np.cumsum(kind == STOP)])
     fits = (gap >= 1) & (gap <= _LINE_WORDS) & (inside[edge[1:]] == inside[edge[:-1]]) if len(edge) > 1 else np.zeros(0, bool)
     start, gap = edge[:-1][fits] + 1, gap[fits]
     key = np.where(gap == 1, exact[start], norm[start])
@@ -275,14 +235,14 @@ def _line_keys(exact, norm, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start + gap - 1, _mix(key, key, 5), gap
 
 
-def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tuple[str, bool]], str, bool]:
+def read_end(text: str, n_chars: int | None, units: Units = _NOTHING) -> tuple[int, bool, bool, list[tuple[str, bool]], str, bool]:
     """(verdict, open, marked, ends, main, terminated): what one text tells about its end; main is its main content.
 
     ``terminated``: it is whole only because it ends with a terminator, where a limit can fall too.
 
     ``ends`` are the ends that the baselines have to judge, with whether they are prose:
-    the end of the text without page furniture and, above short lines such as menu items,
-    the end of the line before them.
+    the last line of the text without page furniture and, above short lines such as menu
+    items, the line before them.
     """
     size, main = len(text), ""
     if n_chars is not None and n_chars > size and n_chars != len(text.encode()) and n_chars != len(text.encode("utf-16-le")) // 2:
@@ -291,156 +251,168 @@ def read_end(text: str, n_chars: int | None) -> tuple[int, bool, bool, list[tupl
     if len(_GARBLED.findall(bare)) >= 3:
         bare = _repaired(bare) or bare
     tail = bare[-GARBLED_TAIL - 3 : -3]
-    garbled = tail.count("\ufffd") > max(1, GARBLED_SHARE * len(tail)) or len(_GARBLED.findall(bare)) >= 3
+    garbled = tail.count("�") > max(1, GARBLED_SHARE * len(tail)) or len(_GARBLED.findall(bare)) >= 3
     if not garbled:
-        if bare.endswith("\ufffd"):
+        if bare.endswith("�"):
             return CUT, True, False, [], main, False
-        for broken in (_BROKEN_MARKUP, _BROKEN_REFERENCE, _BROKEN_ESCAPE):
-            m = broken.search(bare[-240:])
-            if m:
-                tail = bare[: len(bare) - len(bare[-240:]) + m.start()][-60:]
-                plain = sum(c.isalnum() or c in " .,–-\n" for c in tail)
-                if plain >= 0.85 * len(tail) and " " in tail:
-                    return CUT, True, False, [], main, False
-    main, taken = without_furniture(bare)
-    if taken < 0 or not main:
-        return WHOLE, False, False, [], main, False
+        broken = _broken_at(bare)
+        if broken >= 0:
+            before = bare[max(0, broken - CONTEXT) : broken]
+            if " " in before and sum(c.isalnum() or c in " .,–-\n" for c in before) >= 0.85 * len(before):
+                return CUT, True, False, [], main, False
+    end, taken, invited, measured = units.strip(bare)
+    main = bare[:end]
+    # furniture around a title is a page without content of its own
+    title = main[main.rfind("\n") + 1 :]
+    titled = taken and len(title) <= SHORT_LINE and len(title.split()) <= TITLE_WORDS and not _STOPS.search(main)
+    if invited or titled or not main:
+        return WHOLE, False, False, [], bare[:measured], False
     mark = _MARK.search(main)
     if garbled and mark:
-        return ASK, True, True, [], main, False
+        return ASK, True, True, [], bare[:measured], False
     if garbled:
         closed = bool(re.search("[.!?]|ã€‚|ã\x80\x82|。", main[-7:]))
         if closed:
-            return WHOLE, False, False, [], main, True
-        fragment = _last_fragment(main)
+            return WHOLE, False, False, [], bare[:measured], True
+        fragment = main[_fragment_start(main, 0, end) :].strip()
         if not (fragment.isascii() and len(fragment.split()) >= 4 and _is_prose(fragment[-160:])):
-            return ASK, True, False, [], main, False
+            return ASK, True, False, [], bare[:measured], False
     if re.search("[©·|]$", bare):
-        return CUT, True, False, [], main, False
+        return CUT, True, False, [], bare[:measured], False
     if mark:
         rest = main[: mark.start()]
-        fragment = _last_fragment(rest)
+        fragment = rest[_fragment_start(rest, 0, len(rest)) :].strip()
         prose = _is_prose(fragment[-80:]) and len(fragment.split()) >= 2
-        return ASK, prose, True, [(rest, prose)], main, False
-    open_, stops, ends, at, measured = False, False, [], len(main), len(main)
+        return ASK, prose, True, [(rest[rest.rfind("\n") + 1 :], prose)], bare[:measured], False
+    open_, stops, ends, at = False, False, [], end
+    stack = None if garbled else structure(main)
     seen: set[str] = set()
-    # the look back ends at a line that is not short; it reads the last characters of each line only
-    while True:
-        line = main[main.rfind("\n", 0, at) + 1 : at]
-        last = line[-600:]
-        if _TERMINATED.search(last) or (_GREEK_END.search(last) and _GREEK.search(main[max(0, at - 200) : at])) or _SMILE.search(last[-8:]):
+    while True:  # the look back ends at a line that is not short
+        start = main.rfind("\n", 0, at) + 1
+        line = main[start:at]
+        begin = _fragment_start(main, start, at)
+        left = [s for s, p in stack if begin <= p < at] if stack else []
+        fragment = main[begin:at].strip()
+        if _TERMINATED.search(line) or (_GREEK_END.search(line) and _GREEK.search(line)) or _SMILE.search(line):
             # a quote that opened in the last sentence and never closed
-            if not garbled and any(s in "“„«「『" for s in open_delimiters(line)) and _is_prose(_last_fragment(last)[-80:]):
-                return CUT, True, False, [], main[:measured], False
+            if any(s in "“„«「『\"" for s in left) and _is_prose(fragment[-80:]):
+                return CUT, True, False, [], bare[:measured], False
             break
-        fragment = _last_fragment(last)
-        prose = _is_prose(fragment[-160:]) and not (at == len(line) and line.isalpha()) and not _WIDE_TITLE.fullmatch(fragment)
-        wide = any(c > "\u2fff" for c in fragment)
+        prose = _is_prose(fragment[-160:]) and not (not start and line.isalpha()) and not _WIDE_TITLE.fullmatch(fragment)
+        wide = any(c > "⿿" for c in fragment)
         words = len(fragment) // 3 if wide else len(fragment.split())
-        if prose and not garbled and open_delimiters(line):
-            return CUT, True, False, [], main[:measured], False
-        if prose and words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", last):
-            return CUT, True, False, [], main[:measured], False
+        if prose and left:
+            return CUT, True, False, [], bare[:measured], False
+        if prose and words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", line):
+            return CUT, True, False, [], bare[:measured], False
         open_ |= prose and words >= 4
         stops = True
-        if "\ufffd" not in (fragment.split() or [""])[-1] and line[-END_READ:] not in seen:  # a damaged word tells nothing
-            seen.add(line[-END_READ:])
-            ends.append((main[max(0, at - END_READ) : at], prose))
-        start = at - len(line)
+        if "�" not in (fragment.split() or [""])[-1] and line not in seen:  # a damaged word tells nothing
+            seen.add(line)
+            ends.append((line, prose))
         if not start or words > 3 or len(line) > len(fragment) + 2:
             break
-        at, taken = _furniture_start(main, start)
-        if taken < 0 or not at:
+        at, _, invited, closed = units.strip(main, start)
+        if invited or not at:
             break
-        if taken:
-            measured = at
-    return (ASK if stops else WHOLE), open_, False, ends, main[:measured], not stops
-
-
-class _Grams:
-    """Counts by key, added up while a partition is read; handed on early beyond a bound."""
-
-    MOST = 2_000_000
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, keys: np.ndarray, flags: np.ndarray) -> None:
-        if not len(keys):
-            return
-        found, place = np.unique(keys, return_inverse=True)
-        self._keep(found, np.bincount(place, minlength=len(found)).astype(np.int64), np.bincount(place, weights=flags, minlength=len(found)).astype(np.int64))
-        if self.held > self.MOST:
-            self._keep(*self.merged())
+        measured = min(measured, closed) if closed < len(main[:start].rstrip()) else measured
+    return (ASK if stops else WHOLE), open_, False, ends, bare[:measured], not stops
 
-    def _keep(self, keys: np.ndarray, totals: np.ndarray, closings: np.ndarray) -> None:
-        self.parts.append((keys, totals, closings))
-        self.held += len(keys)
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All counts by distinct key; nothing is held after that."""
-        if not self.parts:
-            return (np.zeros(0, np.int64),) * 3
-        keys, totals, closings = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts, self.held = [], 0
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(totals[order], first), np.add.reduceat(closings[order], first)
-
-    def overflow(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The counts, where merging has left more than half the bound; else nothing."""
-        return self.merged() if self.held > self.MOST // 2 and len(self.parts) == 1 else (np.zeros(0, np.int64),) * 3
-
-
-def _features(doc_kind: str, id_type: pa.DataType):
+def _last_words(line: str) -> list[str]:
+    """The last tokens of a line that are no signs: all of them, or more than a line key takes behind a stop."""
+    size = 120
+    while True:
+        at = max(0, len(line) - size)
+        while at and not line[at - 1].isspace():
+            at -= 1
+        words = [w for w in TOKEN.findall(line, at) if w[0].isalnum() or w[0] in ".!?。？！…;|·•»"]
+        if not at and len(words) <= _LINE_WORDS:
+            return words
+        if len(words) > _LINE_WORDS or not at:
+            return [".", *words[-_LINE_WORDS:]]
+        size *= 4
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words, pairs and lines over a partition's texts."""
+    names = ["what", "key", *furniture.COUNTS]
+    v, grams, lines = Vocabulary(), Counts(("total", "closing")), {}
+
+    def rows(what: int, counted: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(counted[0]), 100_000):
+            some = [pa.array(c[at : at + 100_000]) for c in counted]
+            n = len(some[0])
+            yield pa.record_batch([pa.array(np.full(n, what, np.int32)), *some, *[pa.nulls(n, pa.int64())] * (len(names) - 1 - len(some))], names=names)
+
+    for b in by_text(batches):
+        tokens: list[str] = ["\x00"]
+        for text in b.column("text").to_pylist():
+            if text is not None and text.strip():
+                tokens += TOKEN.findall(text)
+                tokens.append("\x00")
+        exact, norm, shape, first, kind, flags = v.read(tokens)
+        for what, counted in furniture.line_counts(exact, norm, first, kind, flags).items():
+            lines.setdefault(what, Counts(tuple(furniture.COUNTS))).add(*counted)
+        said = kind != SIGN
+        exact, norm, shape, kind = exact[said], norm[said], shape[said], kind[said]
+        # the words that something follows: how often is it a stop or a line end
+        k = _keys(exact, norm, shape, kind)
+        at = np.flatnonzero((kind[:-1] == WORD) & (kind[1:] != EDGE))
+        closes = (kind[at + 1] == STOP) | (kind[at + 1] == BREAK)
+        shaped = at[k["shape"][at] != 0]
+        line_end, line, words = _line_keys(exact, norm, kind)
+        line = line[(kind[line_end + 1] == BREAK) | (words >= 3)]  # at the end of a text short lines prove nothing
+        keys = np.concatenate([k["pair"][at], k["word"][at], k["three"][at], k["shape"][shaped], line])
+        flags = np.concatenate([closes, closes, closes, closes[k["shape"][at] != 0], np.ones(len(line), bool)]).astype(np.int64)
+        grams.add(keys, np.ones(len(keys), np.int64), flags)
+        yield from rows(furniture.GRAM, grams.overflow())
+        for what, counts in lines.items():
+            yield from rows(what, counts.overflow())
+    yield from rows(furniture.GRAM, grams.merged())
+    for what, counts in lines.items():
+        yield from rows(what, counts.merged())
+
+
+def _features(doc_kind: str, id_type: pa.DataType, shared, longest: int):
+    """Read the ends of texts; ``shared`` holds the known units, or each row brings its own (column ``known``); the longest has so many words."""
     names = [x.split()[0] for x in _FEATURES.format(doc_kind).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid, count, v, grams = TaskContext.get().partitionId(), 0, _Vocabulary(), _Grams()
+        pid, count, v = TaskContext.get().partitionId(), 0, Vocabulary()
+        units = Units(shared.value if shared is not None else None, longest)
         for b in by_text(batches):
             n = b.num_rows
             texts, stored = b.column("text").to_pylist(), b.column("n_chars").to_pylist()
+            own = b.column("known").to_pylist() if shared is None else [None] * n
             rows, asked = [], []
-            tokens: list[str] = ["\x00"]
-            for text, n_chars in zip(texts, stored):
+            for text, n_chars, known in zip(texts, stored, own):
                 if text is None or not text.strip():
-                    rows.append((0, 0, 0, WHOLE, False, False, False))
+                    rows.append((0, 0, 0, 0, WHOLE, False, False, False))
                     asked.append([])
                     continue
-                verdict, open_, marked, ends, main, terminated = read_end(text, n_chars)
-                rows.append((len(text), len(text.rstrip("\ufffd").encode()), len(main) - _body_start(main), verdict, open_, marked, terminated))
+                if shared is None:
+                    units.classes = {x["key"]: x["class"] for x in known or ()}
+                verdict, open_, marked, ends, main, terminated = read_end(text, n_chars, units)
+                head = units.head(main, SHORT_LINE)
+                bare = units.strip(main)[0]
+                rows.append((len(text), len(text.rstrip("�").encode()), len(main) - head, max(0, bare - head), verdict, open_, marked, terminated))
                 asked.append(ends)
-                tokens += _TOKEN.findall(text)
-                tokens.append("\x00")
-            exact, norm, shape, kind = v.read(tokens)
-            # the words that something follows: how often is it a stop or a line end
-            k = _keys(exact, norm, shape, kind)
-            at = np.flatnonzero((kind[:-1] == _WORD) & (kind[1:] != _EDGE))
-            closes = (kind[at + 1] == _STOP) | (kind[at + 1] == _LINE)
-            shaped = at[k["shape"][at] != 0]
-            line_end, line, words = _line_keys(exact, norm, kind)
-            line = line[(kind[line_end + 1] == _LINE) | (words >= 3)]  # at the end of a text short lines prove nothing
-            keys = np.concatenate([k["pair"][at], k["word"][at], k["three"][at], k["shape"][shaped], line])
-            flags = np.concatenate([closes, closes, closes, closes[k["shape"][at] != 0], np.ones(len(line), bool)])
-            grams.add(keys, flags)
             # the last words of the ends to be judged, with their line where it is short
             last: list[str] = ["\x00"]
             places: list[list[tuple[int, bool, bool]]] = []
             for ends in asked:
                 mine = []
-                for end, prose in ends:
-                    words = _TOKEN.findall(end[max(0, len(end) - 120, end.rfind("\n") + 1) :])
+                for line, prose in ends:
+                    words = _last_words(line)
                     if words and words[-1][0].isalnum():
-                        # a longer line is cut to its last words; more than a line key takes
-                        last += words if len(words) <= _LINE_WORDS and len(end) - end.rfind("\n") <= 120 else [".", *words[-_LINE_WORDS:]]
+                        last += words
                         mine.append((len(last) - 1, words[-1][0].islower(), prose))
                         last.append("\x00")
                 places.append(mine)
-            e, m, h, kinds = v.read(last)
+            e, m, h, _, kinds, _ = v.read(last)
             of_end = {c: x.tolist() for c, x in _keys(e, m, h, kinds).items()}
             lines = dict(zip(*(x.tolist() for x in _line_keys(e, m, kinds)[:2])))
             # a word of up to three letters is often a piece of another one: alone it tells nothing
@@ -449,45 +421,78 @@ def _features(doc_kind: str, id_type: pa.DataType):
                 [{"line": lines.get(j), **{c: None if c == "word" and j in short else x[j] or None for c, x in of_end.items()}, "lower": low, "prose": prose} for j, low, prose in mine]
                 for mine in places
             ]
-            chars, size, body, verdict, open_, marked, terminated = (list(x) for x in zip(*rows)) if rows else ([],) * 7
-            text_key = [xxhash.xxh64_intdigest(t.encode()) - 2**63 if t else None for t in texts]
+            chars, size, body, bare, verdict, open_, marked, terminated = (list(x) for x in zip(*rows))
+            text_key = [_text_key(t) if t else None for t in texts]
             columns = [
-                pa.array(np.full(n, DOC, np.int32)), pa.array((pid << 40) + count + np.arange(n)), b.column("doc_id"), b.column("source"), pa.array(text_key, pa.int64()),
-                pa.array(chars, pa.int64()), pa.array(size, pa.int64()), pa.array(body, pa.int64()), pa.array(verdict, pa.int32()), pa.array(open_, pa.bool_()), pa.array(marked, pa.bool_()), pa.array(terminated, pa.bool_()),
-                pa.array(asks, _ASK), *(pa.nulls(n, pa.int64()) for _ in range(3)),
+                b.column("doc_id"), b.column("source"), pa.array(text_key, pa.int64()), pa.array((pid << 40) + count + np.arange(n)),
+                pa.array(chars, pa.int64()), pa.array(size, pa.int64()), pa.array(body, pa.int64()), pa.array(bare, pa.int64()), pa.array(verdict, pa.int32()), pa.array(open_, pa.bool_()), pa.array(marked, pa.bool_()), pa.array(terminated, pa.bool_()),
+                pa.array(asks, _ASK),
             ]
             count += n
             yield pa.record_batch(columns, names=names)
-            yield from gram_rows(grams.overflow())
-        yield from gram_rows(grams.merged())
 
-    def gram_rows(counted) -> Iterator[pa.RecordBatch]:
-        keys, totals, closings = counted
-        for at in range(0, len(keys), 100_000):
-            k, t, c = (x[at : at + 100_000] for x in (keys, totals, closings))
-            blank = [pa.nulls(len(k), t_) for t_ in (pa.int64(), id_type, pa.string(), *[pa.int64()] * 4, pa.int32(), *[pa.bool_()] * 3, _ASK)]
-            yield pa.record_batch([pa.array(np.full(len(k), GRAM, np.int32)), *blank, pa.array(k), pa.array(t), pa.array(c)], names=names)
+    return run
+
+
+def _text_key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+
+
+def _parts(words: int):
+    """``text_key, key``: the keys under which parts of a text may be known as furniture of so many words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(words=words)
+        for b in by_text(batches):
+            for text in b.column("text").to_pylist():
+                if text:
+                    keys = pa.array(sorted(units.candidates(text)), pa.int64())
+                    yield pa.record_batch([pa.array(np.full(len(keys), _text_key(text))), keys], names=["text_key", "key"])
 
     return run
 
 
-def ends(documents: DataFrame) -> DataFrame:
-    """One row a document with what its end tells, and the counts of words and pairs; written."""
+def ends(documents: DataFrame, most_broadcast: int = furniture.MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
+    """(ends, counts), both written: one row a document with what its end tells, and the counts of words, pairs and lines.
+
+    The furniture is learned from the counts. Up to ``most_broadcast`` units it goes to
+    all workers; beyond that the texts are joined with their own units.
+    """
+    spark: SparkSession = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
+    counts = materialize(documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, _COUNTED), "counts")
+    known = materialize(furniture.units(counts), "furniture")
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
-    return materialize(rows.mapInArrow(_features(kind, to_arrow_type(documents.schema["doc_id"].dataType)), _FEATURES.format(kind)), "ends")
-
-
-def naturalness(read: DataFrame) -> DataFrame:
-    """``uid, source, doc_id, text_key, chars, bytes, body, verdict, open, marked, terminated, broken, broken_prose``, written.
+    many, words = known.agg(F.count(F.lit(1)), F.coalesce(F.max("words"), F.lit(0)).cast("int")).first()
+    id_type, shared = to_arrow_type(documents.schema["doc_id"].dataType), None
+    if many <= most_broadcast:
+        few = known.toPandas()
+        shared = spark.sparkContext.broadcast(dict(zip(few["key"].tolist(), few["class"].tolist())))
+    else:
+        parts = rows.select("text").mapInArrow(_parts(words), "text_key long, key long").join(known, "key")
+        mine = parts.select("text_key", "key", "class").distinct().groupBy("text_key").agg(F.collect_list(F.struct("key", "class")).alias("known"))
+        keyed = rows.mapInArrow(_with_text_key, f"doc_id {kind}, source string, text string, n_chars long, text_key long")
+        rows = keyed.join(mine, "text_key", "left").drop("text_key")
+    features = _features(kind, id_type, shared, words)
+    return materialize(rows.mapInArrow(features, _FEATURES.format(kind)), "ends"), counts
+
+
+def _with_text_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in by_text(batches):
+        # rows without text spread over the partitions
+        keys = [_text_key(t) if t else i for i, t in enumerate(b.column("text").to_pylist())]
+        yield pa.record_batch([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, "text_key"])
+
+
+def naturalness(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``uid, source, doc_id, text_key, chars, bytes, body, main, verdict, open, marked, terminated, broken, broken_prose``, written.
 
     ``broken``: one of the ends stops where hardly any sentence or line does.
     """
-    docs = read.filter(F.col("what") == DOC)
     asks = docs.select("uid", F.explode("asks").alias("a")).select("uid", F.monotonically_increasing_id().alias("ask"), "a.*")
     keys = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("key")) for c in _KEYS])
     keyed = asks.select("uid", "ask", "lower", "prose", F.explode(keys).alias("k")).select("uid", "ask", "lower", "prose", "k.*").filter("key is not null")
-    grams = read.filter(F.col("what") == GRAM).select("key", "total", "closing")
+    grams = counts.filter(F.col("what") == furniture.GRAM).select("key", "total", "closing")
     known = grams.join(keyed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sum("total").alias("total"), F.sum("closing").alias("closing"))
     of = lambda c, kind: F.coalesce(F.max(F.when(F.col("what") == kind, F.col(c))), F.lit(0)).alias(f"{c}_{kind}")
     of_end = keyed.join(known, "key", "left").groupBy("uid", "ask").agg(*[of(c, k) for c in ("total", "closing") for k in _KEYS], F.first("lower").alias("lower"), F.first("prose").alias("prose"))
@@ -499,18 +504,19 @@ def naturalness(read: DataFrame) -> DataFrame:
     piece = F.col("lower") & (F.col("closing_word") >= 0.9 * F.col("total_word")) & (F.col("total_three") < CHAIN * F.col("total_left")) & (F.col("total_line") < KNOWN)
     broken = few | piece
     of_doc = of_end.groupBy("uid").agg(F.max(broken).alias("broken"), F.max(broken & F.col("prose")).alias("broken_prose"))
-    columns = ["uid", "doc_id", "source", "text_key", "chars", "bytes", "body", "verdict", "open", "marked", "terminated"]
+    columns = ["uid", "doc_id", "source", "text_key", "chars", "bytes", "body", "main", "verdict", "open", "marked", "terminated"]
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("broken", "broken_prose")]
     return materialize(docs.select(columns).join(of_doc, "uid", "left").select(*columns, *flags), "broken")
 
 
-UNITS = ("chars", "bytes", "body")
+UNITS = ("chars", "bytes", "body", "main")
 
 
 def limits(natural: DataFrame) -> DataFrame:
     """``source, unit, length, exact`` where a source's texts that stop in the middle pile up.
 
-    Units are characters and bytes of the text and characters of its main content. Counts
+    Units are characters and bytes of the text and characters of its main content without
+    closing furniture and without any. Counts
     different texts by source and length; a window of one source holds its distinct
     lengths, not its rows. ``exact``: the pile is on one length. A pile that is clear
     against the lengths around it counts whatever its share of the source's stops is.
@@ -527,7 +533,7 @@ def limits(natural: DataFrame) -> DataFrame:
     one = (F.col("n") >= LEAST_PILE) & (F.col("n") >= 12 * F.col("far") / width)
     wide = (F.col("near") >= 2 * LEAST_PILE) & (F.col("near") >= 5 * F.col("far") * (2 * NEAR + 1) / width)
     exact = one & (2 * F.col("n") >= F.col("near"))
-    large = F.col("near") >= LEAST_SHARE * F.col("total")
+    large = (F.col("near") >= LEAST_SHARE * F.col("total")) & (F.col("length") >= LEAST_LENGTH)
 
     def sure(n, lengths: int):
         """Chernoff's bound for so many where the lengths around, with one text more, would make ``usual``."""
@@ -536,12 +542,12 @@ def limits(natural: DataFrame) -> DataFrame:
 
     piles = (one & (large | sure(F.col("n"), 1))) | (wide & (large | sure(F.col("near"), 2 * NEAR + 1)))
     counts = counts.withColumn("near", near).withColumn("far", far).withColumn("total", total)
-    return counts.filter(piles & (F.col("length") >= LEAST_LENGTH)).select("source", "unit", "length", exact.alias("exact"))
+    return counts.filter(piles).select("source", "unit", "length", exact.alias("exact"))
 
 
-def judged(read: DataFrame) -> DataFrame:
-    """``doc_id, source, cut`` for every document."""
-    docs = naturalness(read)
+def judged(read: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``doc_id, source, cut`` for every document, of what :func:`ends` read."""
+    docs = naturalness(*read)
     piles = limits(docs)
     for unit in UNITS:
         # a source's distinct pile lengths: far fewer than its rows

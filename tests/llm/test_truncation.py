@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from cairnlake.llm import furniture
 from cairnlake.llm import truncation as X
 
 DOCS = "doc_id long, source string, text string, n_chars long, uid string, cut string, what int"
@@ -82,22 +83,86 @@ def test_automaton(text, open_):
     assert X.open_delimiters(text) == open_
 
 
+#: furniture that no code knows: invented words, and every one of the usual forms
+LINES = (
+    "Zurb Klonk to top", "Made with Grooble", "\N{COPYRIGHT SIGN} {n} {Name} Society · Imprint · Privacy", "Tags: {word}, {word}", "\N{EM DASH} {Name} {Name}", "Flim more …", "Frob all notices. Yes | No | Perhaps",
+    "Every right is {Name} Ltd.",
+)
+
+
+def line(r, form):
+    name = lambda: "".join(r.choice(("ra", "vo", "thel", "min", "kas")) for _ in range(3)).title()
+    while "{Name}" in form:
+        form = form.replace("{Name}", name(), 1)
+    while "{word}" in form:
+        form = form.replace("{word}", r.choice(WORDS), 1)
+    return form.replace("{n}", str(r.randint(1990, 2030)))
+
+
+def furnished(seed=3, n=1200):
+    """Texts with furniture that nothing has seen; every sixth is cut before it, some lost their line breaks."""
+    r = random.Random(seed)
+    rows, cut = [], set()
+    for i in range(n):
+        body = f"{r.choice(WORDS).title()} {r.choice(WORDS)}\n" + " ".join(sentence(r) for _ in range(r.randint(4, 9)))
+        if i % 6 == 0:
+            end = r.randint(120, len(body) - 3)
+            if body[end - 1].isalpha() and body[end].isalpha():  # within a word
+                body = body[:end]
+                cut.add(i)
+        gap = " " if i % 5 == 4 else "\n"
+        for _ in range(r.randint(0, 2)):
+            form = r.choice([f for f in LINES if "…" not in f or i not in cut])
+            body += gap + line(r, form)
+        rows.append((i, f"s{i % 7}", body, None, "u", "c", 1))
+    return rows, cut
+
+
+@pytest.fixture(scope="module")
+def units(spark):
+    rows, _ = furnished()
+    counts = spark.createDataFrame(rows, DOCS).select("text").mapInArrow(X._count, X._COUNTED).cache()
+    few = furniture.units(counts).toPandas()
+    return furniture.Units(dict(zip(few["key"].tolist(), few["class"].tolist())), int(few["words"].max()))
+
+
+def test_furniture_never_seen_before(spark, capsys):
+    rows, want = furnished()
+    got, judged = cut_ids(spark, rows)
+    recall, precision = len(got & want) / len(want), len(got & want) / len(got)
+    with capsys.disabled():
+        print(f" unseen furniture: recall {recall:.3f}, precision {precision:.3f} ", end="")
+    assert recall >= 0.95 and precision >= 0.95
+    # beyond the bound the texts are joined with their own units: the same answers
+    joined = X.judged(X.ends(spark.createDataFrame(rows + [(9000 + i, "s", t, None, "u", "c", 1) for i, t in enumerate((None, "", " "))], DOCS), most_broadcast=0))
+    assert {r.doc_id for r in X.found(joined).collect()} == got
+
+
 @pytest.mark.parametrize(
     ("text", "verdict"),
     [
-        ("The ferry was moved.", X.WHOLE), ("The ferry was mo<a hre", X.CUT), ("The ferry was mo</di", X.CUT), ("The ferry was mo&am", X.CUT), ("The ferry was mo&#82", X.CUT), ("The ferry was mo�", X.CUT),
-        ("The ferry was moved by the crew,", X.CUT), ("The ferry said “we moved", X.CUT), ("The ferry was moved.\n© 2020 Ferry", X.WHOLE), ("The ferry was moved.\n\n© ", X.CUT), ("It runs. Read more …", X.WHOLE),
+        ("The ferry was moved.", X.WHOLE), ("The ferry was mo<a hre", X.CUT), ("The ferry was mo</di", X.CUT), ("The ferry was mo&am", X.CUT), ("The ferry was mo&#82", X.CUT), ("The ferry was mo\ufffd", X.CUT),
+        ("The ferry was moved by the crew,", X.CUT), ("The ferry said “we moved", X.CUT), ("The ferry was moved.\n© 2020 Thelra Society · Imprint · Privacy", X.WHOLE), ("The ferry was moved.\n\n© ", X.CUT), ("It runs. Flim more …", X.WHOLE),
         ("The ferry was moved", X.ASK), ("The ferry was mo [...]", X.ASK), ("It was moved. :)", X.WHOLE), ("Γιατί άνοιξε η αυλή;", X.WHOLE), ("“It cost 5 crowns.", X.CUT),
+        ('The ferry said "we moved', X.CUT), ('The ferry said "we moved it".', X.WHOLE), ("The ferry was moved <!-- and then. " + "It ran. " * 100, X.CUT), ("The ferry was moved <!-- no --> at noon.", X.WHOLE),
+        ('The ferry was mo<a href="/a' + "b" * 500, X.CUT), ("The ferry was x <b and then it was moved again.", X.WHOLE),
     ],
 )
-def test_read_end(text, verdict):
-    assert X.read_end(text, None)[0] == verdict
+def test_read_end(text, verdict, units):
+    assert X.read_end(text, None, units)[0] == verdict
+
+
+def test_structure_over_the_whole_text():
+    assert [s for s, _ in X.structure("( a [ b ) c “d” \"e\" „f“")] == []
+    assert X.structure('a ( b. c "d e. f') == [("(", 2), ('"', 9)]
+    assert X.structure("x <!-- ( “ ") == [("<!--", 2)]
 
 
-def test_furniture():
-    assert X.without_furniture("It ran.\nTags: a, b\n— Rava Thel\nBack to top") == ("It ran.", 3)
-    assert X.without_furniture("сад — нет.") == ("сад — нет.", 0)
-    assert X.without_furniture("It ran.\nRead more …\nBack to top") == ("It ran.\nRead more …", -1)
+def test_furniture(units):
+    assert X.without_furniture("It ran.\nTags: ferry, ladder\n— Rava Thel\nZurb Klonk to top", units) == ("It ran.", 3)
+    assert X.without_furniture("сад — нет.", units) == ("сад — нет.", 0)
+    assert X.without_furniture("It ran.\nFlim more …\nMade with Grooble", units) == ("It ran.", -1)
+    assert X.without_furniture("It ran.\nMade with Grooble") == ("It ran.\nMade with Grooble", 0)  # nothing is known
 
 
 def test_wrongly_read_text_is_repaired():
@@ -108,9 +173,10 @@ def test_wrongly_read_text_is_repaired():
     assert X._repaired("сад — нет") is None
 
 
-def test_notices_behind_the_text():
-    for notice in ("Cookies help us remember your basket. OK", "Nous utilisons des cookies. Tout accepter | Refuser", "Back to top Home"):
-        assert X.without_furniture("It was mo " + notice) == ("It was mo", 1)
+def test_notices_behind_the_text(units):
+    for notice in ("Frob all notices. Yes | No | Perhaps", "Zurb Klonk to top", "Every right is Rathel Ltd."):
+        for gap in (" ", "\n"):
+            assert X.without_furniture("It was painted. It was mo" + gap + notice, units) == ("It was painted. It was mo", 1)
 
 
 def words_of(r, size):
@@ -141,36 +207,36 @@ def test_a_terminated_text_on_the_exact_limit_of_its_source_is_cut(spark):
 def test_a_clear_pile_counts_whatever_its_share(spark):
     """Most texts of a source stop anywhere; two limits hold less than 15 % of the stops each."""
     r = random.Random(6)
-    natural = [("s", i, n, n, n, n, X.CUT, True, False, False, False, False) for i, n in enumerate(r.randint(300, 3000) for _ in range(1500))]
-    limited = [("s", 2000 + i, n, n, n, n, X.CUT, True, False, False, False, False) for i, n in enumerate([800] * 40 + [2000] * 60)]
-    few = [("t", 3000 + i, n, n, n, n, X.CUT, True, False, False, False, False) for i, n in enumerate(r.randint(300, 2300) for _ in range(300))]
-    columns = "source string, text_key long, chars long, bytes long, body long, uid long, verdict int, open boolean, marked boolean, broken boolean, broken_prose boolean, terminated boolean"
+    natural = [("s", i, n, n, n, n, n, X.CUT, True, False, False, False, False) for i, n in enumerate(r.randint(300, 3000) for _ in range(1500))]
+    limited = [("s", 2000 + i, n, n, n, n, n, X.CUT, True, False, False, False, False) for i, n in enumerate([800] * 40 + [2000] * 60)]
+    few = [("t", 3000 + i, n, n, n, n, n, X.CUT, True, False, False, False, False) for i, n in enumerate(r.randint(300, 2300) for _ in range(300))]
+    columns = "source string, text_key long, chars long, bytes long, body long, main long, uid long, verdict int, open boolean, marked boolean, broken boolean, broken_prose boolean, terminated boolean"
     piles = X.limits(spark.createDataFrame(natural + limited + few, columns)).collect()
     assert {(p.source, p.length) for p in piles if p.exact} == {("s", 800), ("s", 2000)}
     assert all(p.source == "s" and min(abs(p.length - 800), abs(p.length - 2000)) <= X.NEAR for p in piles)
 
 
-def test_one_stray_sign_does_not_hide_an_end():
+def test_one_stray_sign_does_not_hide_an_end(units):
     stray = "Die alte Br�cke wurde im Frühjahr gestrichen. " + "Die Uhr am Markt geht seit dem Winter wieder richtig. " * 5
     for cut in ("Die Fähre wurde früh am Morgen verscho", "Паром перенесли рано утр", "Η γέφυρα άνοιξε χωρίς προειδοποί"):
-        for footer in ("", "\nNach oben", "\n© 2020 Verein"):
-            verdict, _, _, ends, main, terminated = X.read_end(stray + cut + footer, None)
+        for footer in ("", "\nZurb Klonk to top", "\n© 2020 Verein Society · Imprint · Privacy"):
+            verdict, _, _, ends, main, terminated = X.read_end(stray + cut + footer, None, units)
             assert verdict == X.ASK and len(ends) == 1 and ends[0][0].endswith(cut) and main.endswith(cut) and not terminated
     for cut in ("Die Fähre wurde mo<a hre", "Die Fähre sagte „wir sind", "Die Fähre wurde mo&am"):
         assert X.read_end(stray + cut, None)[0] == X.CUT
     assert X.read_end(stray + "Die Fähre wurde versch�ben", None)[3] == []  # the damaged word itself is not judged
     heavy = "������ ��� ������� " * 20
-    assert X.read_end(heavy + "������� ����\n© 2020 Verein", None)[:2] == (X.ASK, True)
+    assert X.read_end(heavy + "������� ����\n© 2020 Verein Society · Imprint · Privacy", None, units)[:2] == (X.ASK, True)
 
 
-def test_the_look_back_ends_at_a_line_that_is_not_short():
+def test_the_look_back_ends_at_a_line_that_is_not_short(units):
     body = "The ferry was moved. The lantern near the harbour was pain"
     menu = "".join(f"\nItem {w.title()}" for w in WORDS)
     _, _, _, ends, main, _ = X.read_end(body + menu, None)
     assert len(ends) == len(WORDS) + 1 and ends[-1][0].endswith("harbour was pain")
     assert X.read_end("The ferry said “we moved the lantern" + menu, None)[0] == X.CUT
-    footer = "".join(f"\n© 20{i} Some Society" for i in range(10, 40))
-    assert X.without_furniture(body + footer) == (body, 30)
-    _, open_, _, ends, main, _ = X.read_end(body + footer, None)
+    footer = "".join(f"\n© 20{i} Some Society · Imprint · Privacy" for i in range(10, 40))
+    assert X.without_furniture(body + footer, units) == (body, 30)
+    _, open_, _, ends, main, _ = X.read_end(body + footer, None, units)
     assert main == body and open_ and len(ends) == 1
     assert [e[0] for e in X.read_end(body + "\nHome" * 1000, None)[3]][-1].endswith("pain")
