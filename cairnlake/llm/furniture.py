@@ -112,7 +112,7 @@ class Vocabulary:
 
 
 #: columns of a count beside its key, and how two of them become one
-COUNTS = {"total": np.add, "closing": np.add, "opening": np.add, "contexts": np.bitwise_or, "begin": np.maximum, "info": np.maximum}
+COUNTS = {"total": np.add, "closing": np.add, "opening": np.add, "contexts": np.bitwise_or, "begin": np.maximum, "head": np.maximum, "info": np.maximum}
 
 
 def line_counts(exact, norm, first, kind, flags) -> dict[int, tuple[np.ndarray, ...]]:
@@ -164,12 +164,13 @@ def line_counts(exact, norm, first, kind, flags) -> dict[int, tuple[np.ndarray,
     begin = np.where(words >= 3, two, one)
     some = np.ones(n, np.int64)
     zero = np.zeros(n, np.int64)
-    out = {LINE: (key, some, closing.astype(np.int64), opening.astype(np.int64), bit, begin, info)}
+    head_word = first[start].view(np.int64)
+    out = {LINE: (key, some, closing.astype(np.int64), opening.astype(np.int64), bit, begin, head_word, info)}
     longer = last > start
     starts = np.concatenate([np.full(1, LINES_KEY), one, two[longer]])
     total = np.concatenate([[n], some, some[longer]])
     blank = np.zeros(len(starts), np.int64)
-    out[BEGIN] = (starts, total, blank, blank, blank, blank, blank)
+    out[BEGIN] = (starts, total, *[blank] * 6)
     colon = np.flatnonzero((flags & 16).astype(bool))
     if len(colon):
         line = np.searchsorted(start, colon, side="right") - 1
@@ -182,7 +183,7 @@ def line_counts(exact, norm, first, kind, flags) -> dict[int, tuple[np.ndarray,
         for k in range(LABEL_WORDS):
             label += np.where(k < before, exact[np.minimum(start[line] + k, len(exact) - 1)] * power[k], u(0))
         spread = np.left_shift(u(1), key[line].view(u) % u(64)).view(np.int64)
-        out[LABEL] = (_finish(label, 14), some[line], closing[line].astype(np.int64), (~term[line]).astype(np.int64), spread, zero[line], zero[line])
+        out[LABEL] = (_finish(label, 14), some[line], closing[line].astype(np.int64), (~term[line]).astype(np.int64), spread, zero[line], head_word[line], zero[line])
     return out
 
 
@@ -221,9 +222,9 @@ class Counts:
 
 
 def units(counts: DataFrame) -> DataFrame:
-    """``key, class, words``: the furniture among the counted lines and labels (columns ``what, key`` and those of ``COUNTS``)."""
+    """``key, class, words, head`` (hash of the first word): the furniture among the counted lines and labels (columns ``what, key`` and those of ``COUNTS``)."""
     added = [F.sum(c).alias(c) for c in ("total", "closing", "opening")]
-    lines = counts.filter(F.col("what") == LINE).groupBy("key").agg(*added, F.bit_or("contexts").alias("contexts"), F.max("begin").alias("begin"), F.max("info").alias("info"))
+    lines = counts.filter(F.col("what") == LINE).groupBy("key").agg(*added, F.bit_or("contexts").alias("contexts"), F.max("begin").alias("begin"), F.max("head").alias("head"), F.max("info").alias("info"))
     info = F.col("info")
     lines = lines.filter((F.bit_count("contexts") >= CONTEXTS) & (info.bitwiseAND(4) == 0)).withColumn("words", F.shiftright(info, 3))
     term, closes = info.bitwiseAND(1) == 1, F.col("closing") >= CLOSING * F.col("total")
@@ -236,90 +237,115 @@ def units(counts: DataFrame) -> DataFrame:
     single = (F.col("words") == 1) & (F.col("total") >= SINGLE_SHARE * F.col("alike")) & (F.col("total") >= least)
     lines = lines.join(alike, "begin").filter(single | ((F.col("words") > 1) & (F.col("total") >= SHARE * F.col("alike"))))
     flag = lambda c, bit: F.when(c, bit).otherwise(0)
-    lines = lines.select("key", (flag(closes, CLOSES) + flag(closes & (info.bitwiseAND(2) == 2), INVITES) + flag(opens | ~term, OPENS) + flag(F.col("closing") >= FIRM * F.col("total"), FIRMLY)).alias("class"), "words")
-    labels = counts.filter(F.col("what") == LABEL).groupBy("key").agg(*added, F.bit_or("contexts").alias("contexts"))
+    lines = lines.select("key", (flag(closes, CLOSES) + flag(closes & (info.bitwiseAND(2) == 2), INVITES) + flag(opens | ~term, OPENS) + flag(F.col("closing") >= FIRM * F.col("total"), FIRMLY)).alias("class"), "words", "head")
+    labels = counts.filter(F.col("what") == LABEL).groupBy("key").agg(*added, F.bit_or("contexts").alias("contexts"), F.max("head").alias("head"))
     labels = labels.filter((F.bit_count("contexts") >= CONTEXTS) & (F.col("opening") >= LABEL_OPEN * F.col("total")))
-    labels = labels.select("key", (flag(closes, CLOSES) + LABELS).alias("class"), F.lit(0).cast("bigint").alias("words"))
+    labels = labels.select("key", (flag(closes, CLOSES) + LABELS).alias("class"), F.lit(0).cast("bigint").alias("words"), "head")
     return lines.unionAll(labels)
 
 
 class Units:
-    """The known units: class by key, and the most words that one has."""
-
-    def __init__(self, classes: dict[int, int] | None = None, words: int = 0):
-        self.classes, self.words, self.tokens = classes or {}, words, {}
-
-    def _facts(self, token: str) -> tuple[int, int, int, bool]:
-        facts = self.tokens.get(token)
-        if facts is None:
-            if len(self.tokens) > 100_000:
-                self.tokens.clear()
-            exact, norm, _, first, _, flags = Vocabulary.facts(None, token)
-            facts = self.tokens[token] = exact, norm, first, bool(flags & 1)
+    """The known units, as rows (key, class, words, hash of the first word), and the most words that one may have."""
+
+    MOST_LINES = 50_000
+
+    def __init__(self, rows=(), words: int = 0):
+        self.words, self.tokens, self.most = words, {}, 2 * words + 8  # runs of names count as one word
+        self.know(rows)
+
+    def know(self, rows) -> None:
+        rows = list(rows)
+        self.classes = {key: kind for key, kind, _, _ in rows}
+        self.heads = {head for _, _, _, head in rows}
+        #: first words of what is recognised behind other words of its line
+        self.inner = {head for _, kind, words, head in rows if kind & CLOSES or words >= NOTICE}
+        self.lines: dict[str, int] = {}
+
+    def _facts(self, token: str) -> tuple[int, int, int, bool, int]:
+        if len(self.tokens) > 100_000:
+            self.tokens.clear()
+        exact, norm, _, first, _, flags = Vocabulary.facts(None, token)
+        facts = self.tokens[token] = exact, norm, first, bool(flags & 1), first - (1 << 64) if first >> 63 else first
         return facts
 
-    def _most(self) -> int:
-        """Tokens of the longest unit: runs of names count as one word."""
-        return 2 * self.words + 8
+    def _of(self, tokens: list[str]) -> list[tuple[int, int, int, bool, int]]:
+        get, facts = self.tokens.get, self._facts
+        return [get(t) or facts(t) for t in tokens]
 
-    def _tail(self, text: str, start: int, end: int) -> tuple[list[tuple[str, int]], bool]:
-        """The last tokens of a line, at least as many as a unit has and one more, with their places; whether these are all."""
+    def _tail(self, text: str, start: int, end: int) -> tuple[list[str], int]:
+        """The last tokens of a line, more than a unit has, or all of them, and where they begin."""
         size = 64 + 8 * self.words
         while True:
             at = max(start, end - size)
             while at > start and not text[at - 1].isspace():
                 at -= 1
-            found = [(m.group(), m.start()) for m in TOKEN.finditer(text, at, end)]
-            if at == start or len(found) > self._most():
-                return found, at == start
+            tokens = TOKEN.findall(text, at, end)
+            if at == start or len(tokens) > self.most:
+                return tokens, at
             size *= 2
 
-    def of_line(self, text: str, start: int, end: int) -> int:
-        """The class of a whole line, 0 if it is no unit."""
-        found, whole = self._tail(text, start, end)
-        if not whole or not found:
-            return 0
-        return self.classes.get(self._keys(found)[0], 0) or self._label(found)
-
-    def _keys(self, found: list[tuple[str, int]]) -> list[int]:
-        """The line key of each suffix."""
-        out, rest, before = [0] * len(found), 0, False
-        for i in range(len(found) - 1, -1, -1):
-            _, norm, first, capital = self._facts(found[i][0])
-            out[i] = _finish((first + _PRIME * rest) & _ALL, 11)
+    def _key(self, facts: list[tuple[int, int, int, bool, int]], i: int, rests: list[int]) -> int:
+        """The key of the tokens from the i-th on; ``rests`` are those of :meth:`_rests`."""
+        return _finish((facts[i][2] + _PRIME * rests[i + 1]) & _ALL, 11)
+
+    @staticmethod
+    def _rests(facts: list[tuple[int, int, int, bool, int]], least: int) -> list[int]:
+        """The polynomial of the tokens behind each place, down to ``least``."""
+        out, rest, before = [0] * (len(facts) + 1), 0, False
+        for i in range(len(facts) - 1, least, -1):
+            _, norm, _, capital, _ = facts[i]
             if not (capital and before):
                 rest = (norm + _PRIME * rest) & _ALL
-            before = capital
+            out[i], before = rest, capital
         return out
 
-    def _label(self, found: list[tuple[str, int]], colon: int = -1, length: int = 0) -> int:
+    def of_line(self, text: str, start: int, end: int) -> int:
+        """The class of a whole line, 0 if it is no unit."""
+        m = TOKEN.search(text, start, end)
+        if not m or self._of([m.group()])[0][4] not in self.heads:
+            return 0
+        line = text[start:end]
+        kind = self.lines.get(line)
+        if kind is None:
+            tokens, at = self._tail(text, start, end)
+            if at > start and len(tokens) > self.most:  # longer than any unit; a label may be
+                tokens = TOKEN.findall(text, start, min(end, start + 64 * LABEL_WORDS))
+                kind = self._label(tokens)
+            else:
+                facts = self._of(tokens)
+                kind = self.classes.get(self._key(facts, 0, self._rests(facts, 0)), 0) or self._label(tokens)
+            if len(self.lines) > self.MOST_LINES:
+                self.lines.clear()
+            self.lines[line] = kind
+        return kind
+
+    def _label(self, tokens: list[str], colon: int = -1, length: int = 0) -> int:
         """The class of the label before the first colon of a line, or of the ``length`` tokens before ``colon``."""
         if colon < 0:
-            colon = next((i for i, (t, _) in enumerate(found[: LABEL_WORDS + 1]) if t in _COLONS), -1)
+            colon = next((i for i, t in enumerate(tokens[: LABEL_WORDS + 1]) if t in _COLONS), -1)
             length = colon
-        if not 1 <= length <= LABEL_WORDS or colon >= len(found) - 1:
+        if not 1 <= length <= LABEL_WORDS or colon >= len(tokens) - 1:
             return 0
+        return self.classes.get(self._label_key(tokens[colon - length : colon]), 0)
+
+    def _label_key(self, tokens: list[str]) -> int:
         total = 0
-        for t, _ in reversed(found[colon - length : colon]):
-            total = (self._facts(t)[0] + _PRIME * total) & _ALL
-        return self.classes.get(_finish(total, 14), 0)
+        for facts in reversed(self._of(tokens)):
+            total = (facts[0] + _PRIME * total) & _ALL
+        return _finish(total, 14)
 
     def candidates(self, text: str) -> set[int]:
         """All keys under which a part of a text may be known."""
         out: set[int] = set()
-        at = 0
         for line in text.split("\n"):
-            found = [(m.group(), m.start()) for m in TOKEN.finditer(text, at, at + len(line))]
-            for stop in range(1, len(found) + 1):  # behind a unit of the line another one may stand
-                out.update(self._keys(found[max(0, stop - self._most()) : stop]))
-            for c, (t, _) in enumerate(found):
+            tokens = TOKEN.findall(line)
+            for stop in range(1, len(tokens) + 1):  # behind a unit of the line another one may stand
+                facts = self._of(tokens[max(0, stop - self.most) : stop])
+                rests = self._rests(facts, 0)
+                out.update(self._key(facts, i, rests) for i in range(len(facts)))
+            for c, t in enumerate(tokens):
                 if t in _COLONS:
-                    for n in range(1, min(LABEL_WORDS, c) + 1):
-                        total = 0
-                        for w, _ in reversed(found[c - n : c]):
-                            total = (self._facts(w)[0] + _PRIME * total) & _ALL
-                        out.add(_finish(total, 14))
-            at += len(line) + 1
+                    out.update(self._label_key(tokens[c - n : c]) for n in range(1, min(LABEL_WORDS, c) + 1))
         return out
 
     def strip(self, text: str, end: int | None = None) -> tuple[int, int, bool, int]:
@@ -338,47 +364,52 @@ class Units:
             if not end or not self.classes:
                 return end, taken, invited, measured
             start = text.rfind("\n", 0, end) + 1
-            found, whole = self._tail(text, start, end)
-            if not found:
-                return end, taken, invited, measured
-            keys = self._keys(found)
-            at, kind = end, 0
-            if whole and start:
-                kind = self.classes.get(keys[0], 0) or self._label(found)
-                if kind:
-                    at = start
-            if at == end:
-                at, kind = self._inside(text, found, keys, end)
+            at, kind = end, self.of_line(text, start, end) if start else 0
+            if kind:
+                at = start
+            else:
+                at, kind = self._inside(text, start, end)
             if at == end:
                 return end, taken, invited, measured
             end, taken, invited = at, taken + 1, invited or bool(kind & INVITES)
             if kind & CLOSES:
                 measured = None
 
-    def _inside(self, text: str, found: list[tuple[str, int]], keys: list[int], end: int) -> tuple[int, int]:
+    def _inside(self, text: str, start: int, end: int) -> tuple[int, int]:
         """Where the longest unit behind other words of its line begins, and its class; units of one word may follow it."""
-        while found:
-            n = len(found)
-            for i in range(n):
-                at = found[i][1]
-                if at and not (text[at - 1].isspace() or text[at - 1] in "。！？Â"):
-                    continue
-                kind = self.classes.get(keys[i], 0)
-                if kind & CLOSES and (n - i > 2 or kind & FIRMLY) or kind and n - i >= NOTICE:
+        tokens, begin = self._tail(text, start, end)
+        facts = self._of(tokens)
+        starts = [i for i, f in enumerate(facts) if f[4] in self.inner]
+        if not starts:
+            return end, 0
+        places: list[int] = []
+
+        def place(i: int) -> int:
+            """Where a token begins, if that is at the beginning of a word, else -1."""
+            if not places:
+                places.extend(m.start() for m in TOKEN.finditer(text, begin, end))
+            at = places[i]
+            return at if not at or text[at - 1].isspace() or text[at - 1] in "。！？Â" else -1
+
+        n = len(tokens)
+        while n and starts and starts[0] < n:
+            rests = self._rests(facts[:n], starts[0])
+            for i in starts:
+                if i >= n:
+                    break
+                kind = self.classes.get(self._key(facts, i, rests), 0)
+                if kind and (kind & CLOSES and (n - i > 2 or kind & FIRMLY) or n - i >= NOTICE) and (at := place(i)) >= 0:
                     return (at - 1 if at and text[at - 1] == "Â" else at), kind
-            for i in range(n - 1, 0, -1):
-                token, _ = found[i]
-                if token[-1] in _FINAL:
+            for c in range(n - 2, 0, -1):
+                if tokens[c][-1] in _FINAL:
                     break
-                if token in _COLONS:
-                    for length in range(1, min(LABEL_WORDS, i) + 1):
-                        at = found[i - length][1]
-                        if self._label(found, i, length) & CLOSES and (not at or text[at - 1].isspace()):
+                if tokens[c] in _COLONS:
+                    for length in range(1, min(LABEL_WORDS, c) + 1):
+                        if self._label(tokens[:n], c, length) & CLOSES and (at := place(c - length)) >= 0:
                             return at, CLOSES
-            if not self.classes.get(keys[-1], 0):
+            if facts[n - 1][4] not in self.heads or not self.classes.get(self._key(facts, n - 1, [0] * (n + 1)), 0):
                 break
-            found = found[:-1]
-            keys = self._keys(found)
+            n -= 1
         return end, 0
 
     def head(self, text: str, short: int) -> int:

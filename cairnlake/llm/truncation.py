@@ -70,9 +70,8 @@ _OPENERS = set("“„«([{「『")
 _DELIMITER = re.compile("[“”„«»()\\[\\]{}「」『』\"]|<!--|-->")
 _SENTENCE_END = re.compile("[.!?。？！…][”“\"»’')\\]]*\\s|\n")
 _STOPS = re.compile("[.!?。？！]")
-_TERMINATED = re.compile("[.!?。？！…‽][”“\"»’'‘)\\]}」』*]*$")
+_ENDS, _BEHIND = ".!?。？！…‽", "”“\"»’'‘)]}」』*"
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
-_GREEK_END = re.compile(";[”“\"»’')\\]]*$")
 _SMILE = re.compile("(?:[:;]-?[)D(P]|[\U0001f300-\U0001faff☀-➿][️‍]?)$")
 #: a tag whose attributes, all but the last one with a value, go on to the end of the text
 _OPEN_TAG = re.compile(r"<(?:/?[A-Za-z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))*(?:\s+[\w:-]*(?:\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"'<>]*))?)?\s*)?$")
@@ -80,6 +79,8 @@ _BROKEN_REFERENCE = re.compile(r"&(?:#[xX]?[0-9a-fA-F]{0,6}|[A-Za-z]{1,8})$")
 _BROKEN_ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|%[0-9A-F]?$")
 _LONGEST_BROKEN = 9  # characters of the longest reference or escape that can be broken
 _MARK = re.compile("\\s*(?:\\[(?:\\.\\.\\.|…)\\]|\\((?:\\.\\.\\.|…)\\)|…|\\.\\.\\.)$")
+_MARKS = ("…", "...", "…]", "...]", "…)", "...)")
+_GARBLED_SIGNS = re.compile("[ÃâÂÐÑãÎÏ]")
 _GARBLED = re.compile("Ã[-¿]|â€|â\x80|Â[^\\w\\s]|[ÐÑ][-¿ŒœŠšŽžƒ]|ã[-¿€‚ƒ]|[ÎÏ][-¿]")
 #: what each byte looks like when UTF-8 was read as Windows-1252; undefined bytes come out as U+FFFD
 _READ_WRONG = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)} | {0xFFFD: 0x9D}
@@ -129,6 +130,12 @@ def structure(text: str) -> list[tuple[str, int]]:
     return stack
 
 
+def _terminated(line: str) -> bool:
+    """Whether a line ends with a terminator; the Greek question mark is a semicolon."""
+    last = line.rstrip(_BEHIND)[-1:]
+    return bool(last) and (last in _ENDS or (last == ";" and _GREEK.search(line) is not None)) or _SMILE.search(line[-8:]) is not None
+
+
 def open_delimiters(text: str) -> list[str]:
     """The quotes and brackets that the last sentence opens and the text leaves open."""
     begin = _fragment_start(text, 0, len(text))
@@ -235,8 +242,11 @@ def _line_keys(exact, norm, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start + gap - 1, _mix(key, key, 5), gap
 
 
-def read_end(text: str, n_chars: int | None, units: Units = _NOTHING) -> tuple[int, bool, bool, list[tuple[str, bool]], str, bool]:
-    """(verdict, open, marked, ends, main, terminated): what one text tells about its end; main is its main content.
+def read_end(text: str, n_chars: int | None, units: Units = _NOTHING) -> tuple[int, bool, bool, list[tuple[str, bool]], str, bool, int]:
+    """(verdict, open, marked, ends, main, terminated, inner): what one text tells about its end.
+
+    ``main`` is its main content without closing furniture, ``inner`` the length of that
+    without any furniture.
 
     ``terminated``: it is whole only because it ends with a terminator, where a limit can fall too.
 
@@ -244,46 +254,47 @@ def read_end(text: str, n_chars: int | None, units: Units = _NOTHING) -> tuple[i
     the last line of the text without page furniture and, above short lines such as menu
     items, the line before them.
     """
-    size, main = len(text), ""
+    size, main, end = len(text), "", 0
     if n_chars is not None and n_chars > size and n_chars != len(text.encode()) and n_chars != len(text.encode("utf-16-le")) // 2:
-        return CUT, True, False, [], main, False
+        return CUT, True, False, [], main, False, end
     bare = text.rstrip()
-    if len(_GARBLED.findall(bare)) >= 3:
-        bare = _repaired(bare) or bare
+    misread = not bare.isascii() and _GARBLED_SIGNS.search(bare) is not None and len(_GARBLED.findall(bare)) >= 3
+    if misread and (right := _repaired(bare)):
+        bare, misread = right, False
     tail = bare[-GARBLED_TAIL - 3 : -3]
-    garbled = tail.count("�") > max(1, GARBLED_SHARE * len(tail)) or len(_GARBLED.findall(bare)) >= 3
+    garbled = tail.count("�") > max(1, GARBLED_SHARE * len(tail)) or misread
     if not garbled:
         if bare.endswith("�"):
-            return CUT, True, False, [], main, False
+            return CUT, True, False, [], main, False, end
         broken = _broken_at(bare)
         if broken >= 0:
             before = bare[max(0, broken - CONTEXT) : broken]
             if " " in before and sum(c.isalnum() or c in " .,–-\n" for c in before) >= 0.85 * len(before):
-                return CUT, True, False, [], main, False
+                return CUT, True, False, [], main, False, end
     end, taken, invited, measured = units.strip(bare)
     main = bare[:end]
     # furniture around a title is a page without content of its own
     title = main[main.rfind("\n") + 1 :]
     titled = taken and len(title) <= SHORT_LINE and len(title.split()) <= TITLE_WORDS and not _STOPS.search(main)
     if invited or titled or not main:
-        return WHOLE, False, False, [], bare[:measured], False
-    mark = _MARK.search(main)
+        return WHOLE, False, False, [], bare[:measured], False, end
+    mark = _MARK.search(main) if main.endswith(_MARKS) else None
     if garbled and mark:
-        return ASK, True, True, [], bare[:measured], False
+        return ASK, True, True, [], bare[:measured], False, end
     if garbled:
         closed = bool(re.search("[.!?]|ã€‚|ã\x80\x82|。", main[-7:]))
         if closed:
-            return WHOLE, False, False, [], bare[:measured], True
+            return WHOLE, False, False, [], bare[:measured], True, end
         fragment = main[_fragment_start(main, 0, end) :].strip()
         if not (fragment.isascii() and len(fragment.split()) >= 4 and _is_prose(fragment[-160:])):
-            return ASK, True, False, [], bare[:measured], False
-    if re.search("[©·|]$", bare):
-        return CUT, True, False, [], bare[:measured], False
+            return ASK, True, False, [], bare[:measured], False, end
+    if bare[-1] in "©·|":
+        return CUT, True, False, [], bare[:measured], False, end
     if mark:
         rest = main[: mark.start()]
         fragment = rest[_fragment_start(rest, 0, len(rest)) :].strip()
         prose = _is_prose(fragment[-80:]) and len(fragment.split()) >= 2
-        return ASK, prose, True, [(rest[rest.rfind("\n") + 1 :], prose)], bare[:measured], False
+        return ASK, prose, True, [(rest[rest.rfind("\n") + 1 :], prose)], bare[:measured], False, end
     open_, stops, ends, at = False, False, [], end
     stack = None if garbled else structure(main)
     seen: set[str] = set()
@@ -293,18 +304,18 @@ def read_end(text: str, n_chars: int | None, units: Units = _NOTHING) -> tuple[i
         begin = _fragment_start(main, start, at)
         left = [s for s, p in stack if begin <= p < at] if stack else []
         fragment = main[begin:at].strip()
-        if _TERMINATED.search(line) or (_GREEK_END.search(line) and _GREEK.search(line)) or _SMILE.search(line):
+        if _terminated(line):
             # a quote that opened in the last sentence and never closed
             if any(s in "“„«「『\"" for s in left) and _is_prose(fragment[-80:]):
-                return CUT, True, False, [], bare[:measured], False
+                return CUT, True, False, [], bare[:measured], False, end
             break
         prose = _is_prose(fragment[-160:]) and not (not start and line.isalpha()) and not _WIDE_TITLE.fullmatch(fragment)
         wide = any(c > "⿿" for c in fragment)
         words = len(fragment) // 3 if wide else len(fragment.split())
         if prose and left:
-            return CUT, True, False, [], bare[:measured], False
+            return CUT, True, False, [], bare[:measured], False, end
         if prose and words >= 3 and re.search("[,:;(\\[„“«‚¿¡–—-]$", line):
-            return CUT, True, False, [], bare[:measured], False
+            return CUT, True, False, [], bare[:measured], False, end
         open_ |= prose and words >= 4
         stops = True
         if "�" not in (fragment.split() or [""])[-1] and line not in seen:  # a damaged word tells nothing
@@ -316,7 +327,7 @@ def read_end(text: str, n_chars: int | None, units: Units = _NOTHING) -> tuple[i
         if invited or not at:
             break
         measured = min(measured, closed) if closed < len(main[:start].rstrip()) else measured
-    return (ASK if stops else WHOLE), open_, False, ends, bare[:measured], not stops
+    return (ASK if stops else WHOLE), open_, False, ends, bare[:measured], not stops, end
 
 
 def _last_words(line: str) -> list[str]:
@@ -382,7 +393,7 @@ def _features(doc_kind: str, id_type: pa.DataType, shared, longest: int):
         from pyspark import TaskContext
 
         pid, count, v = TaskContext.get().partitionId(), 0, Vocabulary()
-        units = Units(shared.value if shared is not None else None, longest)
+        units = Units(shared.value if shared is not None else (), longest)
         for b in by_text(batches):
             n = b.num_rows
             texts, stored = b.column("text").to_pylist(), b.column("n_chars").to_pylist()
@@ -394,11 +405,10 @@ def _features(doc_kind: str, id_type: pa.DataType, shared, longest: int):
                     asked.append([])
                     continue
                 if shared is None:
-                    units.classes = {x["key"]: x["class"] for x in known or ()}
-                verdict, open_, marked, ends, main, terminated = read_end(text, n_chars, units)
+                    units.know((x["key"], x["class"], x["words"], x["head"]) for x in known or ())
+                verdict, open_, marked, ends, main, terminated, inner = read_end(text, n_chars, units)
                 head = units.head(main, SHORT_LINE)
-                bare = units.strip(main)[0]
-                rows.append((len(text), len(text.rstrip("�").encode()), len(main) - head, max(0, bare - head), verdict, open_, marked, terminated))
+                rows.append((len(text), len(text.rstrip("�").encode()), len(main) - head, max(0, inner - head), verdict, open_, marked, terminated))
                 asked.append(ends)
             # the last words of the ends to be judged, with their line where it is short
             last: list[str] = ["\x00"]
@@ -467,10 +477,10 @@ def ends(documents: DataFrame, most_broadcast: int = furniture.MOST_BROADCAST) -
     id_type, shared = to_arrow_type(documents.schema["doc_id"].dataType), None
     if many <= most_broadcast:
         few = known.toPandas()
-        shared = spark.sparkContext.broadcast(dict(zip(few["key"].tolist(), few["class"].tolist())))
+        shared = spark.sparkContext.broadcast([r.tolist() for r in few[["key", "class", "words", "head"]].to_numpy()])
     else:
         parts = rows.select("text").mapInArrow(_parts(words), "text_key long, key long").join(known, "key")
-        mine = parts.select("text_key", "key", "class").distinct().groupBy("text_key").agg(F.collect_list(F.struct("key", "class")).alias("known"))
+        mine = parts.distinct().groupBy("text_key").agg(F.collect_list(F.struct("key", "class", "words", "head")).alias("known"))
         keyed = rows.mapInArrow(_with_text_key, f"doc_id {kind}, source string, text string, n_chars long, text_key long")
         rows = keyed.join(mine, "text_key", "left").drop("text_key")
     features = _features(kind, id_type, shared, words)

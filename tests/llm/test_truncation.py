@@ -123,7 +123,7 @@ def units(spark):
     rows, _ = furnished()
     counts = spark.createDataFrame(rows, DOCS).select("text").mapInArrow(X._count, X._COUNTED).cache()
     few = furniture.units(counts).toPandas()
-    return furniture.Units(dict(zip(few["key"].tolist(), few["class"].tolist())), int(few["words"].max()))
+    return furniture.Units(few[["key", "class", "words", "head"]].itertuples(index=False), int(few["words"].max()))
 
 
 def test_furniture_never_seen_before(spark, capsys):
@@ -220,7 +220,7 @@ def test_one_stray_sign_does_not_hide_an_end(units):
     stray = "Die alte Br�cke wurde im Frühjahr gestrichen. " + "Die Uhr am Markt geht seit dem Winter wieder richtig. " * 5
     for cut in ("Die Fähre wurde früh am Morgen verscho", "Паром перенесли рано утр", "Η γέφυρα άνοιξε χωρίς προειδοποί"):
         for footer in ("", "\nZurb Klonk to top", "\n© 2020 Verein Society · Imprint · Privacy"):
-            verdict, _, _, ends, main, terminated = X.read_end(stray + cut + footer, None, units)
+            verdict, _, _, ends, main, terminated, _ = X.read_end(stray + cut + footer, None, units)
             assert verdict == X.ASK and len(ends) == 1 and ends[0][0].endswith(cut) and main.endswith(cut) and not terminated
     for cut in ("Die Fähre wurde mo<a hre", "Die Fähre sagte „wir sind", "Die Fähre wurde mo&am"):
         assert X.read_end(stray + cut, None)[0] == X.CUT
@@ -232,11 +232,11 @@ def test_one_stray_sign_does_not_hide_an_end(units):
 def test_the_look_back_ends_at_a_line_that_is_not_short(units):
     body = "The ferry was moved. The lantern near the harbour was pain"
     menu = "".join(f"\nItem {w.title()}" for w in WORDS)
-    _, _, _, ends, main, _ = X.read_end(body + menu, None)
+    _, _, _, ends, main, *_ = X.read_end(body + menu, None)
     assert len(ends) == len(WORDS) + 1 and ends[-1][0].endswith("harbour was pain")
     assert X.read_end("The ferry said “we moved the lantern" + menu, None)[0] == X.CUT
     footer = "".join(f"\n© 20{i} Some Society · Imprint · Privacy" for i in range(10, 40))
     assert X.without_furniture(body + footer, units) == (body, 30)
-    _, open_, _, ends, main, _ = X.read_end(body + footer, None, units)
+    _, open_, _, ends, main, *_ = X.read_end(body + footer, None, units)
     assert main == body and open_ and len(ends) == 1
     assert [e[0] for e in X.read_end(body + "\nHome" * 1000, None)[3]][-1].endswith("pain")
