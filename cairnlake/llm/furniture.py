@@ -13,7 +13,7 @@ A line is a unit of furniture if
 
 Units that often stand behind the last sentence are *closing* ones: they are recognised
 behind a sentence of the same line too, as in texts whose line breaks were lost, and so
-are other units of at least ``NOTICE`` words. Beside
+are units of at least ``NOTICE`` words that mostly stand before the first sentence. Beside
 whole lines there are labels (``Tags: ...``): first words before a colon after which the
 rest varies and mostly has no full stop.
 
@@ -43,7 +43,7 @@ LABEL_OPEN = 0.5  # of a label's lines that have no full stop
 MOST_BROADCAST = 200_000
 
 GRAM, LINE, BEGIN, LABEL = 1, 2, 3, 4
-CLOSES, INVITES, OPENS, LABELS, FIRMLY = 1, 2, 4, 8, 16
+CLOSES, INVITES, OPENS, LABELS, FIRMLY, LEADS = 1, 2, 4, 8, 16, 32
 
 WORD, STOP, SIGN, BREAK, EDGE = 0, 1, 2, 3, 4
 TOKEN = re.compile("[぀-ヿ㐀-鿿]|\\d+(?:[.,]\\d+)*|[^\\W\\d_぀-鿿]+(?:['’-][^\\W\\d_]+)*|[.!?。？！…;|·•»]+|\n|[^\\w\\s]|_+|\x00")
@@ -112,7 +112,7 @@ class Vocabulary:
 
 
 #: columns of a count beside its key, and how two of them become one
-COUNTS = {"total": np.add, "closing": np.add, "opening": np.add, "contexts": np.bitwise_or, "begin": np.maximum, "head": np.maximum, "info": np.maximum}
+COUNTS = {"total": np.add, "closing": np.add, "opening": np.add, "contexts": np.bitwise_or, "begin": np.maximum, "head": np.maximum, "info": np.maximum, "size": np.maximum}
 
 
 def line_counts(exact, norm, first, kind, flags) -> dict[int, tuple[np.ndarray, ...]]:
@@ -154,7 +154,7 @@ def line_counts(exact, norm, first, kind, flags) -> dict[int, tuple[np.ndarray,
     last_term = np.maximum.reduceat(np.where(term, index, none), head)[group]
     first_term = np.minimum.reduceat(np.where(term, index, n), head)[group]
     closing = ((index > last_term) | final_line) & (last_term >= 0)  # a text without sentences shows no ends
-    opening = index <= first_term
+    opening = (index <= first_term) & (last_term >= 0)
     # what a line follows: the last sentence before it, since other units often come along, or else the line before
     sentence = np.concatenate([[none], np.maximum.accumulate(np.where(term, index, none))[:-1]])
     context = np.where(new, 0, key[np.where(sentence >= head[group], sentence, np.maximum(index - 1, 0))])
@@ -165,12 +165,12 @@ def line_counts(exact, norm, first, kind, flags) -> dict[int, tuple[np.ndarray,
     some = np.ones(n, np.int64)
     zero = np.zeros(n, np.int64)
     head_word = first[start].view(np.int64)
-    out = {LINE: (key, some, closing.astype(np.int64), opening.astype(np.int64), bit, begin, head_word, info)}
+    out = {LINE: (key, some, closing.astype(np.int64), opening.astype(np.int64), bit, begin, head_word, info, last - start + 1)}
     longer = last > start
     starts = np.concatenate([np.full(1, LINES_KEY), one, two[longer]])
     total = np.concatenate([[n], some, some[longer]])
     blank = np.zeros(len(starts), np.int64)
-    out[BEGIN] = (starts, total, *[blank] * 6)
+    out[BEGIN] = (starts, total, *[blank] * 7)
     colon = np.flatnonzero((flags & 16).astype(bool))
     if len(colon):
         line = np.searchsorted(start, colon, side="right") - 1
@@ -183,7 +183,7 @@ def line_counts(exact, norm, first, kind, flags) -> dict[int, tuple[np.ndarray,
         for k in range(LABEL_WORDS):
             label += np.where(k < before, exact[np.minimum(start[line] + k, len(exact) - 1)] * power[k], u(0))
         spread = np.left_shift(u(1), key[line].view(u) % u(64)).view(np.int64)
-        out[LABEL] = (_finish(label, 14), some[line], closing[line].astype(np.int64), (~term[line]).astype(np.int64), spread, zero[line], head_word[line], zero[line])
+        out[LABEL] = (_finish(label, 14), some[line], closing[line].astype(np.int64), (~term[line]).astype(np.int64), spread, zero[line], head_word[line], zero[line], zero[line])
     return out
 
 
@@ -222,9 +222,9 @@ class Counts:
 
 
 def units(counts: DataFrame) -> DataFrame:
-    """``key, class, words, head`` (hash of the first word): the furniture among the counted lines and labels (columns ``what, key`` and those of ``COUNTS``)."""
+    """``key, class, words, head`` (hash of the first word)``, size`` (most tokens)``, begin`` (key of the first words): the furniture among the counted lines and labels (columns ``what, key`` and those of ``COUNTS``)."""
     added = [F.sum(c).alias(c) for c in ("total", "closing", "opening")]
-    lines = counts.filter(F.col("what") == LINE).groupBy("key").agg(*added, F.bit_or("contexts").alias("contexts"), F.max("begin").alias("begin"), F.max("head").alias("head"), F.max("info").alias("info"))
+    lines = counts.filter(F.col("what") == LINE).groupBy("key").agg(*added, F.bit_or("contexts").alias("contexts"), F.max("begin").alias("begin"), F.max("head").alias("head"), F.max("info").alias("info"), F.max("size").alias("size"))
     info = F.col("info")
     lines = lines.filter((F.bit_count("contexts") >= CONTEXTS) & (info.bitwiseAND(4) == 0)).withColumn("words", F.shiftright(info, 3))
     term, closes = info.bitwiseAND(1) == 1, F.col("closing") >= CLOSING * F.col("total")
@@ -237,29 +237,38 @@ def units(counts: DataFrame) -> DataFrame:
     single = (F.col("words") == 1) & (F.col("total") >= SINGLE_SHARE * F.col("alike")) & (F.col("total") >= least)
     lines = lines.join(alike, "begin").filter(single | ((F.col("words") > 1) & (F.col("total") >= SHARE * F.col("alike"))))
     flag = lambda c, bit: F.when(c, bit).otherwise(0)
-    lines = lines.select("key", (flag(closes, CLOSES) + flag(closes & (info.bitwiseAND(2) == 2), INVITES) + flag(opens | ~term, OPENS) + flag(F.col("closing") >= FIRM * F.col("total"), FIRMLY)).alias("class"), "words", "head")
+    lines = lines.select("key", (flag(closes, CLOSES) + flag(closes & (info.bitwiseAND(2) == 2), INVITES) + flag(opens | ~term, OPENS) + flag(F.col("closing") >= FIRM * F.col("total"), FIRMLY) + flag(opens, LEADS)).alias("class"), "words", "head", "size", "begin")
     labels = counts.filter(F.col("what") == LABEL).groupBy("key").agg(*added, F.bit_or("contexts").alias("contexts"), F.max("head").alias("head"))
     labels = labels.filter((F.bit_count("contexts") >= CONTEXTS) & (F.col("opening") >= LABEL_OPEN * F.col("total")))
-    labels = labels.select("key", (flag(closes, CLOSES) + LABELS).alias("class"), F.lit(0).cast("bigint").alias("words"), "head")
+    labels = labels.select("key", (flag(closes, CLOSES) + LABELS).alias("class"), F.lit(0).cast("bigint").alias("words"), "head", F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("begin"))
     return lines.unionAll(labels)
 
 
 class Units:
-    """The known units, as rows (key, class, words, hash of the first word), and the most words that one may have."""
+    """The known units, as rows (those of :func:`units`), and the most tokens that one may have."""
 
-    MOST_LINES = 50_000
+    COLUMNS = ["key", "class", "words", "head", "size", "begin"]
 
-    def __init__(self, rows=(), words: int = 0):
-        self.words, self.tokens, self.most = words, {}, 2 * words + 8  # runs of names count as one word
+    MOST_REMEMBERED = 50_000
+
+    def __init__(self, rows=(), most: int = 0):
+        self.tokens, self.most = {}, most
         self.know(rows)
 
     def know(self, rows) -> None:
         rows = list(rows)
-        self.classes = {key: kind for key, kind, _, _ in rows}
-        self.heads = {head for _, _, _, head in rows}
-        #: first words of what is recognised behind other words of its line
-        self.inner = {head for _, kind, words, head in rows if kind & CLOSES or words >= NOTICE}
+        self.classes = {key: kind for key, kind, *_ in rows}
+        #: first words, with the most tokens of a line that begins with them
+        self.heads: dict[int, int] = {}
+        for _, kind, _, head, size, _ in rows:
+            self.heads[head] = max(self.heads.get(head, 0), 1 << 60 if kind & LABELS else size)
+        #: how that begins which is recognised behind other words of its line: first words, and for longer units the first two
+        inner = [r for r in rows if r[1] & CLOSES or (r[1] & LEADS and r[2] >= NOTICE)]
+        self.inner = {head for _, _, _, head, _, _ in inner}
+        self.short = {head for _, _, words, head, _, _ in inner if words < 3}
+        self.pairs = {begin for _, _, words, _, _, begin in inner if words >= 3}
         self.lines: dict[str, int] = {}
+        self.words: dict[str, bool] = {}
 
     def _facts(self, token: str) -> tuple[int, int, int, bool, int]:
         if len(self.tokens) > 100_000:
@@ -272,16 +281,15 @@ class Units:
         get, facts = self.tokens.get, self._facts
         return [get(t) or facts(t) for t in tokens]
 
-    def _tail(self, text: str, start: int, end: int) -> tuple[list[str], int]:
-        """The last tokens of a line, more than a unit has, or all of them, and where they begin."""
-        size = 64 + 8 * self.words
+    def _tail(self, text: str, start: int, end: int) -> int:
+        """Where the last tokens of a line begin, more than a unit has, or all of them."""
+        size = 64 + 8 * self.most
         while True:
             at = max(start, end - size)
             while at > start and not text[at - 1].isspace():
                 at -= 1
-            tokens = TOKEN.findall(text, at, end)
-            if at == start or len(tokens) > self.most:
-                return tokens, at
+            if at == start or text.count(" ", at, end) > self.most:
+                return at
             size *= 2
 
     def _key(self, facts: list[tuple[int, int, int, bool, int]], i: int, rests: list[int]) -> int:
@@ -302,23 +310,35 @@ class Units:
     def of_line(self, text: str, start: int, end: int) -> int:
         """The class of a whole line, 0 if it is no unit."""
         m = TOKEN.search(text, start, end)
-        if not m or self._of([m.group()])[0][4] not in self.heads:
+        most = self.heads.get(self._of([m.group()])[0][4]) if m else None
+        if most is None or text.count(" ", start, end) >= most:
             return 0
         line = text[start:end]
         kind = self.lines.get(line)
         if kind is None:
-            tokens, at = self._tail(text, start, end)
-            if at > start and len(tokens) > self.most:  # longer than any unit; a label may be
-                tokens = TOKEN.findall(text, start, min(end, start + 64 * LABEL_WORDS))
-                kind = self._label(tokens)
-            else:
-                facts = self._of(tokens)
-                kind = self.classes.get(self._key(facts, 0, self._rests(facts, 0)), 0) or self._label(tokens)
-            if len(self.lines) > self.MOST_LINES:
+            tokens = TOKEN.findall(line)
+            facts = self._of(tokens)
+            kind = self.classes.get(self._key(facts, 0, self._rests(facts, 0)), 0) or self._label(tokens)
+            if len(self.lines) > self.MOST_REMEMBERED:
                 self.lines.clear()
             self.lines[line] = kind
         return kind
 
+    def _begins(self, word: str) -> bool:
+        """Whether what a word begins with may begin a unit."""
+        if len(self.words) > self.MOST_REMEMBERED:
+            self.words.clear()
+        m = TOKEN.search(word)
+        # a mark that wrong decoding leaves before a sign
+        found = self.words[word] = bool(m) and (self._of([m.group()])[0][4] in self.inner or word[0] == "Â")
+        return found
+
+    def _goes_on(self, words: list[str], i: int) -> bool:
+        """Whether a unit may begin with the i-th word and the next one."""
+        word = words[i].lstrip("Â")
+        (_, _, first, _, head), *rest = self._of(TOKEN.findall(f"{word} {' '.join(words[i + 1 : i + 2])}")[:2]) or [(0, 0, 0, False, 0)]
+        return head in self.short or bool(rest) and _finish((first + _PRIME * rest[0][1]) & _ALL, 12) in self.pairs
+
     def _label(self, tokens: list[str], colon: int = -1, length: int = 0) -> int:
         """The class of the label before the first colon of a line, or of the ``length`` tokens before ``colon``."""
         if colon < 0:
@@ -377,7 +397,17 @@ class Units:
 
     def _inside(self, text: str, start: int, end: int) -> tuple[int, int]:
         """Where the longest unit behind other words of its line begins, and its class; units of one word may follow it."""
-        tokens, begin = self._tail(text, start, end)
+        begin = self._tail(text, start, end)
+        known, look = self.words.get, self._begins
+        part = text[begin:end]
+        if not part.isascii():
+            for stop in "。！？":
+                part = part.replace(stop, stop + " ")
+        words = part.split()
+        hits = [i for i, w in enumerate(words) if (look(w) if (k := known(w)) is None else k)]
+        if not any(self._goes_on(words, i) for i in hits):
+            return end, 0
+        tokens = TOKEN.findall(text, begin, end)
         facts = self._of(tokens)
         starts = [i for i, f in enumerate(facts) if f[4] in self.inner]
         if not starts:
@@ -398,7 +428,7 @@ class Units:
                 if i >= n:
                     break
                 kind = self.classes.get(self._key(facts, i, rests), 0)
-                if kind and (kind & CLOSES and (n - i > 2 or kind & FIRMLY) or n - i >= NOTICE) and (at := place(i)) >= 0:
+                if kind and (kind & CLOSES and (n - i > 2 or kind & FIRMLY) or kind & LEADS and n - i >= NOTICE) and (at := place(i)) >= 0:
                     return (at - 1 if at and text[at - 1] == "Â" else at), kind
             for c in range(n - 2, 0, -1):
                 if tokens[c][-1] in _FINAL:

@@ -386,7 +386,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(doc_kind: str, id_type: pa.DataType, shared, longest: int):
-    """Read the ends of texts; ``shared`` holds the known units, or each row brings its own (column ``known``); the longest has so many words."""
+    """Read the ends of texts; ``shared`` holds the known units, or each row brings its own (column ``known``); the longest has so many tokens."""
     names = [x.split()[0] for x in _FEATURES.format(doc_kind).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,10 +405,11 @@ def _features(doc_kind: str, id_type: pa.DataType, shared, longest: int):
                     asked.append([])
                     continue
                 if shared is None:
-                    units.know((x["key"], x["class"], x["words"], x["head"]) for x in known or ())
+                    units.know(tuple(x[c] for c in Units.COLUMNS) for x in known or ())
                 verdict, open_, marked, ends, main, terminated, inner = read_end(text, n_chars, units)
                 head = units.head(main, SHORT_LINE)
-                rows.append((len(text), len(text.rstrip("�").encode()), len(main) - head, max(0, inner - head), verdict, open_, marked, terminated))
+                size = len(text) if text.isascii() else len(text.rstrip("�").encode())
+                rows.append((len(text), size, len(main) - head, max(0, inner - head), verdict, open_, marked, terminated))
                 asked.append(ends)
             # the last words of the ends to be judged, with their line where it is short
             last: list[str] = ["\x00"]
@@ -448,11 +449,11 @@ def _text_key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _parts(words: int):
-    """``text_key, key``: the keys under which parts of a text may be known as furniture of so many words."""
+def _parts(longest: int):
+    """``text_key, key``: the keys under which parts of a text may be known as furniture of so many tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(words=words)
+        units = Units(most=longest)
         for b in by_text(batches):
             for text in b.column("text").to_pylist():
                 if text:
@@ -473,17 +474,17 @@ def ends(documents: DataFrame, most_broadcast: int = furniture.MOST_BROADCAST) -
     counts = materialize(documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, _COUNTED), "counts")
     known = materialize(furniture.units(counts), "furniture")
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
-    many, words = known.agg(F.count(F.lit(1)), F.coalesce(F.max("words"), F.lit(0)).cast("int")).first()
+    many, longest = known.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0)).cast("int")).first()
     id_type, shared = to_arrow_type(documents.schema["doc_id"].dataType), None
     if many <= most_broadcast:
         few = known.toPandas()
-        shared = spark.sparkContext.broadcast([r.tolist() for r in few[["key", "class", "words", "head"]].to_numpy()])
+        shared = spark.sparkContext.broadcast([r.tolist() for r in few[Units.COLUMNS].to_numpy()])
     else:
-        parts = rows.select("text").mapInArrow(_parts(words), "text_key long, key long").join(known, "key")
-        mine = parts.distinct().groupBy("text_key").agg(F.collect_list(F.struct("key", "class", "words", "head")).alias("known"))
+        parts = rows.select("text").mapInArrow(_parts(longest), "text_key long, key long").join(known, "key")
+        mine = parts.distinct().groupBy("text_key").agg(F.collect_list(F.struct(*Units.COLUMNS)).alias("known"))
         keyed = rows.mapInArrow(_with_text_key, f"doc_id {kind}, source string, text string, n_chars long, text_key long")
         rows = keyed.join(mine, "text_key", "left").drop("text_key")
-    features = _features(kind, id_type, shared, words)
+    features = _features(kind, id_type, shared, longest)
     return materialize(rows.mapInArrow(features, _FEATURES.format(kind)), "ends"), counts
 
 

@@ -123,7 +123,7 @@ def units(spark):
     rows, _ = furnished()
     counts = spark.createDataFrame(rows, DOCS).select("text").mapInArrow(X._count, X._COUNTED).cache()
     few = furniture.units(counts).toPandas()
-    return furniture.Units(few[["key", "class", "words", "head"]].itertuples(index=False), int(few["words"].max()))
+    return furniture.Units(few[furniture.Units.COLUMNS].itertuples(index=False), int(few["size"].max()))
 
 
 def test_furniture_never_seen_before(spark, capsys):
