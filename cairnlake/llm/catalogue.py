@@ -45,6 +45,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return spans.report(table(spark, d, "recipes"), _spans(spark, d))
 
 
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    recipes = table(spark, d, "recipes")
+    return spans.clusters(recipes, spans.shared_windows(recipes))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -65,7 +70,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.report(truncation.judged(truncation.ends(table(spark, d, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error_rate, p5_found, p5_spans, p5_report, p6_ids, p7_containers, p7_report, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_error_rate, p5_found, p5_spans, p5_report, p5_clusters, p6_ids, p7_containers, p7_report, p8_found, p8_report)}
 
 _SEEN = """
 keyed as (
@@ -98,6 +103,23 @@ SQL = {
 }
 
 
+_CLUSTERS = """
+places as (select w, recipe_id, min(pos) first_pos from hit group by w, recipe_id),
+lead as (select w, min(recipe_id) lead from places group by w),
+heads as (select places.*, lead from places join lead using (w)),
+edge as (select distinct recipe_id u, lead v from heads where recipe_id > lead),
+both_ways as (select u, v from edge union select v, u from edge),
+reach as (select u id, least(u, v) label from both_ways union select b.v, r.label from reach r join both_ways b on r.id = b.u where r.label < b.v),
+label as (select id recipe_id, min(label) label from reach group by id),
+linked as (select recipe_id, count(*) links from heads group by recipe_id),
+copies as (select h.recipe_id, h.pos from hit h join heads using (w, recipe_id) where h.recipe_id > lead or h.pos > first_pos),
+gone as (select recipe_id, count(*) removable from (select distinct recipe_id, unnest(range(pos, pos + 8)) p from copies) group by recipe_id)
+"""
+
+SQL["p5_clusters"] = f"""with recursive {_SPANS}, {_CLUSTERS} select recipe_id, coalesce(label, recipe_id) as "cluster", coalesce(links, 0) links, coalesce(removable, 0) removable
+    from (select distinct recipe_id from recipes where recipe_id is not null) left join label using (recipe_id) left join linked using (recipe_id) left join gone using (recipe_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

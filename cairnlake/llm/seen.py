@@ -222,15 +222,16 @@ def bloom_answers(tables: list[tuple[DataFrame, str, str]], before: DataFrame, t
 
 
 def false_answers(answers: DataFrame) -> DataFrame:
-    """Exact check: ``tab, seq`` of records answered "seen" whose key did not occur before."""
+    """Exact check: ``tab, seq, key`` of records answered "seen" whose key did not occur before."""
     keyed = answers.filter("key is not null").groupBy("tab", "key").agg(F.min("seq").alias("seq"), F.every("seen").alias("all_seen"))
-    return keyed.filter("all_seen").select("tab", "seq")
+    return keyed.filter("all_seen").select("tab", "seq", "key")
 
 
 def seen_records(answers: DataFrame) -> DataFrame:
     """``tab, seq`` of each record whose key occurred before, once."""
-    rows = answers.filter(F.col("seen") & (F.col("seq") >= 0)).select("tab", "seq")
-    return rows.join(false_answers(answers), ["tab", "seq"], "left_anti").distinct()
+    rows = answers.filter(F.col("seen") & (F.col("seq") >= 0)).select("tab", "seq", "key")
+    # rows without a key were repetitions within their batch, and never wrong
+    return rows.join(false_answers(answers), ["tab", "seq", "key"], "left_anti").select("tab", "seq").distinct()
 
 
 def error_rates(answers: DataFrame, target: float = TARGET) -> DataFrame:

@@ -24,9 +24,39 @@ def brute(rows, span):
     return {(rid, i + k) for rid, i, w in runs if len(where[w]) > 1 for k in range(span)}
 
 
+def brute_clusters(rows, span):
+    """Union-find over shared windows; positions in copies of windows that stand somewhere before."""
+    recipes = {r[0]: r for r in rows if r[0] is not None}
+    where = defaultdict(list)
+    for rid in sorted(recipes):
+        f, hashes = recipes[rid][1], [c[0] for c in recipes[rid][2] or ()]
+        for i in range(len(hashes) - span + 1):
+            where[tuple(hashes[i : i + span])].append((rid, i, ("own", rid) if f is None else f))
+    root = {rid: rid for rid in recipes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links, gone = defaultdict(int), defaultdict(set)
+    for places in where.values():
+        if len({f for *_, f in places}) > 1:
+            for rid in {p[0] for p in places}:
+                links[rid] += 1
+                a, b = find(rid), find(places[0][0])
+                root[max(a, b)] = min(a, b)
+            for rid, i, _ in places[1:]:
+                gone[rid].update(range(i, i + span))
+    return {(rid, find(rid), links[rid], len(gone[rid])) for rid in recipes}
+
+
 def check(spark, rows, span=8):
     df = spark.createDataFrame(rows, SCHEMA)
-    spans = X.covered(X.shared_windows(df, span), span)
+    shared = X.shared_windows(df, span)
+    clusters = [tuple(r) for r in X.clusters(df, shared, span).select("recipe_id", "cluster", "links", "removable").collect()]
+    assert len(clusters) == len(set(clusters)) and set(clusters) == brute_clusters(rows, span)
+    spans = X.covered(shared, span)
     got = [tuple(r) for r in X.found(spans).collect()]
     want = brute(rows, span)
     assert len(got) == len(set(got)) and set(got) == want
@@ -62,6 +92,20 @@ def test_random(spark, seed):
 
 def test_one_window_in_most_recipes(spark, monkeypatch):
     """A window that most recipes contain goes through the broadcast side."""
-    monkeypatch.setattr(X, "HEAVY", 5)
+    monkeypatch.setattr(X, "HEAVY_ROWS", 5)
+    monkeypatch.setattr(X, "MOST_HEAVY", 20)
     rows = [row(i, b"%d" % i, "abcdefghij" + "xyz"[i % 3] * (i % 4)) for i in range(80)]
     check(spark, rows)
+
+
+def test_bands():
+    """Verbatim paragraphs collide in every band; the more rows, the fewer others do."""
+    assert X.recall(1.0, 1, X.ROWS) == 1 and X.recall(0.5, 1, X.ROWS) < 0.1
+    assert X.recall(0.8, 6, 4) > 0.95
+
+
+def test_long_chain_of_links(spark):
+    ids = list(range(1, 200))
+    random.Random(4).shuffle(ids)
+    links = spark.createDataFrame([(max(a, b), min(a, b)) for a, b in zip(ids, ids[1:])] + [(301, 300)], "u long, v long")
+    assert {(r.id, r.label) for r in X.components(links).collect()} == {(i, 1) for i in ids} | {(300, 300), (301, 300)}
