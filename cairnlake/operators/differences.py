@@ -1,16 +1,21 @@
 """Differences between two copies of a keyed table, field by field.
 
-Method: both copies are reduced to one row for each key and brought together by the
-key in a single exchange. Every partition numbers its keys with ordinals that both
-sides share, keeps which side has a key in bitmaps (containers of 65,536 ordinals, each
-held as a sorted array, a bit set or runs, whichever is smallest), takes AND-NOT of the
-bitmaps for the rows missing on a side, and compares the ordinals of their intersection
-column by column.
+Method: only keys, order and a digest of the fields travel first. Each partition reads
+its keys in order and numbers them with ordinals that both sides share; a side's bitmap
+(containers of 65,536 ordinals, each held as a sorted array, a bit set or runs, whichever
+is smallest) says which keys it has. AND-NOT of the bitmaps gives the rows missing on a
+side; the digests of their intersection are compared ordinal by ordinal. Only for keys
+whose digests differ do the fields themselves travel, to be compared column by column
+along the same kind of ordinals; a bitmap of those keys' hashes, bounded in size, keeps
+all other rows at home.
+
+Digests have 64 bits: a difference is missed with a probability of 2**-64 a key.
 
 Defined results:
 
 * of the rows of one key the given order decides; null order values come last, and full
-  ties are broken by the compared values, so that repeated rows change nothing;
+  ties are broken by the digest of the compared values, so that repeated rows change
+  nothing;
 * two nulls are equal, null and a value differ; rows with a null key are skipped;
 * an empty side makes every key of the other ``only_a`` or ``only_b``;
 * columns beside the key, the order and the fields are never read, whatever their names.
@@ -25,8 +30,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cairnlake.runtime import materialize
 
 CONTAINER = 1 << 16
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 27  # slots of the bitmap of differing keys; 16 MB at most
+SLOTS_A_KEY = 16
 
 
 class PresenceBitmap:
@@ -98,73 +108,158 @@ def _differs(x: pa.Array, y: pa.Array) -> np.ndarray:
     return pc.or_(unequal, one_null).to_numpy(zero_copy_only=False)
 
 
+def _ranks(columns: Sequence[str]) -> list[str]:
+    """The columns of the order: for each of its values whether it is null, and the value."""
+    return [c for c in columns if c[0] in "no" and c[1:].isdigit()]
+
+
+def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of one key and side in a batch only the one that stands for it, so that a hot key does not travel."""
+    for b in batches:
+        hashed = b.column("h").to_numpy()
+        ranks = [b.column(c).to_numpy() for c in (*_ranks(b.schema.names), "digest")]
+        order = np.lexsort([*reversed(ranks), b.column("side").to_numpy(), hashed])
+        side, h = b.column("side").to_numpy()[order], hashed[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (side[1:] != side[:-1])]) if len(h) else np.zeros(0, bool)
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        keys = b.column("row_key")
+        other = pc.not_equal(keys.take(pa.array(order)), keys.take(pa.array(head))).to_numpy(zero_copy_only=False)
+        yield b.take(pa.array(order[new | other]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray]]:
+    """Containers of keys that arrive in order: (first ordinal, rows, their ordinals, their sides), the first row a key and side."""
+    held: list[tuple[pa.RecordBatch, np.ndarray]] = []
+    last, side_before, ordinal = None, None, -1
+
+    def block():
+        rows = pa.Table.from_batches([r for r, _ in held]).combine_chunks()
+        at = np.concatenate([o for _, o in held])
+        held.clear()
+        return int(at[0]) // CONTAINER * CONTAINER, rows, at, rows.column("side").to_numpy()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, side = b.column("row_key"), b.column("side").to_numpy()
+        same = pc.equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False) if len(keys) > 1 else np.zeros(0, bool)
+        new = np.concatenate([[last is None or keys[0] != last], ~same])
+        first = new | np.concatenate([[side[0] != side_before], side[1:] != side[:-1]])
+        ordinals = ordinal + np.cumsum(new)
+        last, side_before, ordinal = keys[-1], side[-1], int(ordinals[-1])
+        rows, ordinals = b.filter(pa.array(first)), ordinals[first]
+        while len(ordinals):
+            now = held[0][1][0] if held else ordinals[0]
+            cut = int(np.searchsorted(ordinals, (now // CONTAINER + 1) * CONTAINER))
+            if cut:
+                held.append((rows.slice(0, cut), ordinals[:cut]))
+            rows, ordinals = rows.slice(cut), ordinals[cut:]
+            if len(ordinals):
+                yield block()
+    if held:
+        yield block()
+
+
+def _sides(first: int, at: np.ndarray, side: np.ndarray) -> tuple[dict[int, PresenceBitmap], dict[int, np.ndarray]]:
+    """Each side's bitmap of a container, and the row of each ordinal."""
+    have, row = {}, {}
+    for s in (0, 1):
+        mine = np.flatnonzero(side == s)
+        present = np.zeros(CONTAINER, bool)
+        present[at[mine] - first] = True
+        have[s] = PresenceBitmap.of(present, first)
+        row[s] = np.zeros(CONTAINER, np.int64)
+        row[s][at[mine] - first] = mine
+    return have, row
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys missing on a side (``only_a``, ``only_b``) and keys whose digests differ (null)."""
+    for first, rows, at, side in _blocks(batches):
+        have, row = _sides(first, at, side)
+        both = have[0].intersect(have[1]).ordinals() - first
+        digest = rows.column("digest").to_numpy()
+        unequal = both[digest[row[0][both]] != digest[row[1][both]]]
+        found = [(have[s].and_not(have[1 - s]).ordinals() - first, s, name) for s, name in ((0, "only_a"), (1, "only_b"))]
+        for ordinals, s, name in (*found, (unequal, 0, None)):
+            if len(ordinals):
+                keys = rows.column("row_key").combine_chunks().take(pa.array(row[s][ordinals]))
+                yield pa.record_batch([keys, pa.array([name] * len(keys), pa.string())], names=["row_key", "field"])
+
+
 def _compare(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Names of the fields that differ, for keys that both sides have."""
     names = list(fields)
 
-    def block(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches).combine_chunks()
-        keys = rows.column("row_key").combine_chunks()
-        side = {s: rows.column(s).combine_chunks() for s in "ab"}
-        have = {s: PresenceBitmap.of(c.is_valid().to_numpy(zero_copy_only=False)) for s, c in side.items()}
-
-        def out(ordinals: np.ndarray, field: str) -> pa.RecordBatch:
-            taken = keys.take(pa.array(ordinals))
-            return pa.record_batch([taken, pa.array([field] * len(taken), pa.string())], names=["row_key", "field"])
-
-        for field, mine, other in (("only_a", "a", "b"), ("only_b", "b", "a")):
-            if len(missing := have[mine].and_not(have[other]).ordinals()):
-                yield out(missing, field)
-        both = have["a"].intersect(have["b"]).ordinals()
-        if not len(both):
-            return
-        at = pa.array(both)
-        left, right = side["a"].take(at), side["b"].take(at)
-        for field in names:
-            if (unequal := _differs(left.field(field), right.field(field))).any():
-                yield out(both[unequal], field)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            while batch.num_rows:  # blocks end where containers end
-                part = batch.slice(0, CONTAINER - n)
-                batch = batch.slice(part.num_rows)
-                held.append(part)
-                n += part.num_rows
-                if n == CONTAINER:
-                    yield from block(held)
-                    held, n = [], 0
-        if held:
-            yield from block(held)
+        for first, rows, at, side in _blocks(batches):
+            have, row = _sides(first, at, side)
+            both = have[0].intersect(have[1]).ordinals() - first
+            left, right = (rows.take(pa.array(row[s][both])).combine_chunks() for s in (0, 1))
+            keys = left.column("row_key").combine_chunks() if len(both) else None
+            for name in names if len(both) else ():
+                unequal = _differs(left.column(f"f_{name}").combine_chunks(), right.column(f"f_{name}").combine_chunks())
+                if unequal.any():
+                    taken = keys.filter(pa.array(unequal))
+                    yield pa.record_batch([taken, pa.array([name] * len(taken), pa.string())], names=["row_key", "field"])
 
     return compare
 
 
-def aligned_copies(a: DataFrame, b: DataFrame, key: Column, fields: dict[str, Column], order: Sequence[Column]) -> DataFrame:
-    """One row for each key: ``row_key, a, b`` with each side's representative fields or null.
+def _with_digest(df: DataFrame, side: int, key: Column, digests: dict[str, Column], order: Sequence[Column], fields: dict[str, Column] | None = None) -> DataFrame:
+    """``row_key, h, side``, the order as ``n0, o0, ...``, ``digest`` and the fields."""
+    ranks = [x for i, o in enumerate(order) for x in (o.isNull().cast("byte").alias(f"n{i}"), F.coalesce(o.cast("long"), F.lit(0)).alias(f"o{i}"))]
+    nulls = sum((c.isNull().cast("long") * (1 << i) for i, c in enumerate(digests.values())), F.lit(0).cast("long"))
+    digest = F.xxhash64(nulls, *digests.values()).alias("digest")
+    kept = [c.alias(f"f_{n}") for n, c in (fields or {}).items()]
+    return df.select(key.alias("row_key"), F.xxhash64(key).alias("h"), F.lit(side).cast("byte").alias("side"), *ranks, digest, *kept).filter("row_key is not null")
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    """Both sides of a key in one partition, in order."""
+    rows = rows.mapInArrow(_first_of_batch, rows.schema).drop("h")
+    return rows.repartition("row_key").sortWithinPartitions("row_key", "side", *_ranks(rows.columns), "digest")
+
+
+def _among(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``h`` falls into a slot that one of ``keys`` takes; no row of theirs is lost.
 
-    ``order``'s smallest row represents a key. The two minima are combined before the
-    exchange, so a key that holds a third of all rows arrives as one row per map task.
+    The bitmap has some slots a key, up to a bound: beyond it more rows pass, none is lost.
     """
+    spark = rows.sparkSession
+    slots = 1 << max(LEAST_SLOTS.bit_length() - 1, min(MOST_SLOTS.bit_length() - 1, (SLOTS_A_KEY * keys.count()).bit_length()))
+    slot = lambda h: h.bitwiseAND(F.lit(slots - 1).cast("long"))
+    taken = keys.select(slot(F.xxhash64("row_key")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    words = taken.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()  # a word at most for each 64 slots
+    bitmap = np.zeros(slots // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
 
-    def side(df: DataFrame, mine: str) -> DataFrame:
-        ranks = [x for i, o in enumerate(order) for x in (o.isNull().alias(f"n{i}"), o.alias(f"o{i}"))]
-        row = F.struct(*ranks, F.struct(*[c.alias(n) for n, c in fields.items()]).alias("v"))
-        return df.select(key.alias("row_key"), row.alias(mine)).filter("row_key is not null")
+    @F.arrow_udf(T.BooleanType())
+    def passes(h: pa.Array) -> pa.Array:
+        at = h.to_numpy() & (slots - 1)
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    rows = side(a, "a").unionByName(side(b, "b"), allowMissingColumns=True)
-    return rows.groupBy("row_key").agg(F.min("a").alias("a"), F.min("b").alias("b")).select("row_key", F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+    return rows.filter(passes("h"))
 
 
-def differences(a: DataFrame, b: DataFrame, key: Column, fields: dict[str, Column], order: Sequence[Column]) -> DataFrame:
+def differences(a: DataFrame, b: DataFrame, key: Column, fields: dict[str, Column], order: Sequence[Column], digests: dict[str, Column] | None = None) -> DataFrame:
     """Rows ``row_key, field``: field is ``only_a``, ``only_b`` or the name of a differing field.
 
-    ``fields`` maps names to the expressions compared, ``order`` names the row that
-    stands for a key. Wide payloads are best compared by a digest.
+    ``fields`` maps names to the expressions compared; ``digests`` may give a cheaper
+    expression for the digest of one (of the same values). ``order``, of numbers, names
+    the row that stands for a key.
     """
-    aligned = aligned_copies(a, b, key, fields, order)
-    kind = aligned.schema["row_key"].dataType.simpleString()
-    return aligned.mapInArrow(_compare(list(fields)), f"row_key {kind}, field string")
+    digests = fields | (digests or {})
+    kind = a.select(key.alias("row_key")).schema["row_key"].dataType.simpleString()
+    keyed = [_with_digest(x, side, key, digests, order) for side, x in enumerate((a, b))]
+    rows = keyed[0].unionAll(keyed[1])
+    first = materialize(_aligned(rows).mapInArrow(_presence, f"row_key {kind}, field string"), "presence")
+    differ = first.filter("field is null").select("row_key")
+    few = [_among(differ, x) for x in (_with_digest(x, side, key, digests, order, fields) for side, x in enumerate((a, b)))]
+    valued = few[0].unionAll(few[1]).join(differ, "row_key", "left_semi")
+    found = _aligned(valued).mapInArrow(_compare(list(fields)), f"row_key {kind}, field string")
+    return first.filter("field is not null").unionAll(found)
 
 
 def normalized_codec(name: str = "codec") -> Column:
@@ -176,7 +271,7 @@ def object_differences(objects: DataFrame, mirror: DataFrame) -> DataFrame:
     """Differences of the object records of two stores by hash: ``row_key`` (hash), ``field``."""
     fields = {n: F.col(n) for n in ("pack_id", "kind", "size", "stored_size")}
     fields |= {"codec": normalized_codec(), "content": F.sha2("content", 256), "created_at": F.col("created_at")}
-    return differences(objects, mirror, F.col("hash"), fields, [F.col("created_at"), F.col("put_seq")])
+    return differences(objects, mirror, F.col("hash"), fields, [F.col("created_at"), F.col("put_seq")], {"content": F.col("content")})
 
 
 def summary_differences(summaries: DataFrame) -> DataFrame:

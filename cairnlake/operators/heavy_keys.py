@@ -89,23 +89,29 @@ def scan_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             runs = np.zeros(1, int)
         entries, size, records = (np.add.reduceat(x.astype(np.int64), runs) for x in (new_row, weight, new_record))
         ends = np.concatenate([runs[1:], [batch.num_rows]]) - 1
-        tabs, keys = (batch.column(x).take(pa.array(runs)).to_pylist() for x in ("tab", "key"))
-        lo, hi = batch.column("record").take(pa.array(runs)).to_pylist(), batch.column("record").take(pa.array(ends)).to_pylist()
-        done, open_ = [], []
-        for i in range(len(runs)):
-            if i == 0 and held is not None and not new_key[0]:
-                held[2] += entries[0]
-                held[3] += size[0]
-                held[4] += records[0]
-                held[6] = hi[0]
-                continue
-            if held is not None:
-                done.append(held)
-                open_.append(first)
-                first = False
-            held = [tabs[i], keys[i], entries[i], size[i], records[i], lo[i], hi[i]]
-        if done:
-            yield states(done, open_)
+        n = len(runs)
+        at = lambda column, places, i, j: batch.column(column).take(pa.array(places[i:j]))  # noqa: B023, E731
+        one = lambda i: [*(at(c, runs, i, i + 1)[0].as_py() for c in ("tab", "key")), entries[i], size[i], records[i], *(at("record", p, i, i + 1)[0].as_py() for p in (runs, ends))]  # noqa: B023, E731
+        begin = 0
+        if held is not None and not new_key[0]:  # the key of the batch before goes on
+            held[2:5] = held[2] + entries[0], held[3] + size[0], held[4] + records[0]
+            held[6] = one(0)[6]
+            begin = 1
+        if begin == n:
+            continue
+        if held is not None:
+            yield states([held], [first])
+            first = False
+        elif n > 1:  # the partition's first key, which may have begun before it
+            yield states([one(0)], [True])
+            first, begin = False, 1
+        if begin < n - 1:
+            # keys that begin and end in this batch: no Python object each
+            longs = [pa.array(x[begin : n - 1]) for x in (entries, size, records)]
+            blank = [pa.array(np.full(n - 1 - begin, pid, np.int32)), pa.array(np.zeros(n - 1 - begin, bool))]
+            columns = [*blank, at("tab", runs, begin, n - 1), at("key", runs, begin, n - 1), *longs, at("record", runs, begin, n - 1), at("record", ends, begin, n - 1)]
+            yield pa.record_batch(columns, names=_NAMES)
+        held = one(n - 1)
     if held is not None:
         yield states([held], [True])
 
