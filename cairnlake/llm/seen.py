@@ -14,7 +14,8 @@ any bucket, without its key.
 
 Defined results:
 
-* a null key or null sequence number is never seen and is no earlier key;
+* a null key or null sequence number is never seen and is no earlier key; a negative
+  sequence number is one like others;
 * rows delivered twice (same sequence number and key) are one row; the copy does not make
   the other one seen;
 * keys are compared byte for byte; shortened keys are keys of their own, as is an empty one;
@@ -39,7 +40,7 @@ KEYS_PER_BUCKET = 1_000_000
 TARGET = 0.001
 PROBES = 4096
 MOST_PARTITIONS = 10_000  # beyond it, a partition streams several buckets one after the other
-BEFORE_ALL = -1
+BEFORE_ALL = -(1 << 63)  # the place of keys that came before every record
 
 _LANES = 8
 
@@ -132,7 +133,7 @@ def _local_repetitions(p: Plan) -> Callable:
             head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
             same = pc.equal(key.take(pa.array(order)), key.take(pa.array(order[head]))).to_numpy(zero_copy_only=False)
             repeated = np.zeros(n, bool)
-            repeated[order] = same & (s > s[head]) & (s >= 0)
+            repeated[order] = same & (s > s[head])
             anywhere = seq.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             spread = np.where(repeated, anywhere, h.view(np.uint64))
             bucket = first_bucket[tab] + (spread % count[tab].astype(np.uint64)).astype(np.int64)
@@ -181,7 +182,7 @@ def _through_filters(p: Plan) -> Callable:
                 if not b.num_rows:
                     continue
                 seq, h = b.column("seq").to_numpy(), b.column("h").to_numpy().view(np.uint64)
-                copy = np.concatenate([[before == (seq[0], h[0])], (seq[1:] == seq[:-1]) & (h[1:] == h[:-1]) & (seq[1:] >= 0)])
+                copy = np.concatenate([[before == (seq[0], h[0])], (seq[1:] == seq[:-1]) & (h[1:] == h[:-1])])
                 before = (seq[-1], h[-1])
                 if copy.any():
                     b = b.filter(pa.array(~copy))
@@ -211,7 +212,7 @@ def bloom_answers(tables: list[tuple[DataFrame, str, str]], before: DataFrame, t
     least = max(map(partitions, rows))
     p = plan(rows, least, target)
     for i in range(len(tables)):
-        rows.append(first.select(F.lit(i).alias("tab"), F.lit(BEFORE_ALL).cast("long").alias("seq"), "key"))
+        rows.append(first.select(F.lit(i).alias("tab"), F.expr(f"cast({BEFORE_ALL} as long)").alias("seq"), "key"))
     keyed = rows[0]
     for r in rows[1:]:
         keyed = keyed.unionAll(r)
@@ -229,7 +230,7 @@ def false_answers(answers: DataFrame) -> DataFrame:
 
 def seen_records(answers: DataFrame) -> DataFrame:
     """``tab, seq`` of each record whose key occurred before, once."""
-    rows = answers.filter(F.col("seen") & (F.col("seq") >= 0)).select("tab", "seq", "key")
+    rows = answers.filter(F.col("seen") & (F.col("seq") > BEFORE_ALL)).select("tab", "seq", "key")
     # rows without a key were repetitions within their batch, and never wrong
     return rows.join(false_answers(answers), ["tab", "seq", "key"], "left_anti").select("tab", "seq").distinct()
 

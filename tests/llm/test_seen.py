@@ -56,6 +56,24 @@ def test_hot_key_and_false_answers(spark, target):
         assert rate[0].wrong_records > 10
 
 
+def test_seeds_of_duplicated_deliveries(spark):
+    """Filters that err in a tenth of their answers, rows delivered twice in other batches, shared, negative and damaged values."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for seed in range(4):
+            r = random.Random(seed)
+            key = lambda: r.choice((b"hot", b"", b"%d" % r.randint(0, 900), bytes([r.randint(0, 255)]) * 31, None))  # noqa: B023, E731
+            tables = []
+            for _ in range(2):
+                rows = [(r.choice((None, r.randint(-300, 1500))), key(), "k", "t", "h") for _ in range(1500)]
+                rows += r.sample(rows, 400)
+                r.shuffle(rows)
+                tables.append(rows)
+            check(spark, *tables, [b"hot", b"5", b"77", b"77"] if seed % 2 else [], target=0.1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_filter():
     keys = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(20_000)], np.uint64)
     bloom = X.BlockedBloom(20_000, 0.01)
