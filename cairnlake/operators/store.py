@@ -1,16 +1,25 @@
-"""The object store: lookups, insert-ignore, upsert, deletion, snapshots.
+"""The object store: lookups, verified puts, insert-ignore, upsert, deletion, commits.
 
 A store is a set of immutable DataFrames; every change gives a new one. On disk it is a
-folder of snapshots and a pointer file that is replaced as a whole, so a change is seen
-entirely or not at all. There is one writer at a time.
+folder of commits and a manifest that is replaced as a whole, so a change is seen
+entirely or not at all. A commit writes what is new and nothing else: added objects
+(content apart from the rest), hashes that are gone (tombstones) and cache rows, each
+with the commit's version. A reader takes an object unless a later version has its
+tombstone, and of a file's cache rows the latest. ``compact`` writes the state as one
+commit, ``vacuum`` removes what no manifest names any more. There is one writer at a
+time; a second one is refused when it commits.
+
+The Merkle index is stored too: ``rebuild_merkle`` writes leaves, nodes and meta values
+with the commit, and deletions rebuild a stored index in the same commit.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +27,10 @@ from pyspark.sql import functions as F
 
 from cairnlake import errors, schema
 from cairnlake.functions import codec as C
+from cairnlake.functions.batches import by_bytes
 from cairnlake.functions.hashing import digest
+from cairnlake.operators import merkle
+from cairnlake.runtime import materialize
 
 _FIELDS = [f.name for f in schema.OBJECTS.fields]
 META_FIELDS = ["hash", "kind", "size", "stored_size", "codec", "created_at"]
@@ -31,10 +43,20 @@ def first_writer_wins(rows: DataFrame, order: Column, fields: list[str] | None =
     return rows.filter("hash is not null").groupBy("hash").agg(F.min(row).alias("r")).select("r.v.*")
 
 
+def unseen(objects: DataFrame, new: DataFrame, order: Column) -> DataFrame:
+    """The rows of ``new`` whose hash ``objects`` lacks; of equal new hashes the smallest order.
+
+    What is stored is met by the new hashes first, which are few: if they fit a broadcast,
+    the stored hashes do not move.
+    """
+    wanted = first_writer_wins(new, order)
+    known = objects.select("hash").join(new.select("hash").distinct(), "hash", "left_semi")
+    return wanted.join(known, "hash", "left_anti").select(_FIELDS)
+
+
 def insert_ignore(objects: DataFrame, new: DataFrame, order: Column) -> DataFrame:
     """``objects`` and the rows of ``new`` whose hash it lacks; of equal new hashes the smallest order. Nothing is verified."""
-    wanted = first_writer_wins(new, order)
-    return objects.select(_FIELDS).unionAll(wanted.join(objects.select("hash"), "hash", "left_anti").select(_FIELDS))
+    return objects.select(_FIELDS).unionAll(unseen(objects, new, order))
 
 
 def upsert_cache(cache: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
@@ -142,6 +164,68 @@ def audit(objects: DataFrame) -> DataFrame:
     return once.unionAll(counted.select(F.explode(F.create_map(*[x for n in tests for x in (F.lit(n), F.col(n))])).alias("rule", "violations")))
 
 
+def unix_timestamp() -> int:
+    """Whole seconds since 1970."""
+    return max(0, int(time.time()))
+
+
+_STORED = "hash binary, kind int, size long, stored_size long, codec string, content binary, created_at long, error_class string"
+
+
+def prepare_objects(rows: DataFrame, kind: int, codec: str, created_at: int = 0) -> DataFrame:
+    """Records of content (columns ``hash, bytes``) as they are stored, with ``error_class``.
+
+    Content that does not have its hash, or that is null, is refused (``HashMismatch``);
+    content that ``codec`` shortens by less than two per cent is stored raw. Other columns
+    stay beside the records.
+    """
+    if kind not in schema.KINDS:
+        raise errors.InvalidConfig(f"unknown kind: {kind}")
+    others = [c for c in rows.columns if c not in ("hash", "bytes")]
+
+    def one(hash_: bytes | None, data: bytes | None) -> tuple:
+        try:
+            if data is None or digest(data) != hash_:
+                raise errors.HashMismatch
+            used, stored = C.compress_or_raw(codec, data)
+            return kind, len(data), len(stored), used, stored, created_at, None
+        except errors.LakeError as e:
+            return kind, None, None, None, None, created_at, type(e).__name__
+
+    names = [x.split()[0] for x in _STORED.split(", ")][1:]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "bytes"):
+            made = [one(h, d) for h, d in zip(b.column("hash").to_pylist(), b.column("bytes").to_pylist())]
+            columns = [pa.array(c, t) for c, t in zip(zip(*made), types)]
+            yield pa.record_batch([*(b.column(c) for c in others), b.column("hash"), *columns], names=[*others, "hash", *names])
+
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.select(*others, "hash", F.col("bytes").cast("binary").alias("bytes")).mapInArrow(run, (kept + ", " if kept else "") + _STORED)
+
+
+_META, _CONTENT = "hash binary, kind int, size long, stored_size long, codec string, created_at long, version long", "hash binary, content binary, version long"
+_GONE, _CACHE = "hash binary, version long", "file_hash binary, recipe_hash binary, updated_at long, gone boolean, version long"
+_PARTS = {"meta": _META, "content": _CONTENT, "gone": _GONE, "cache": _CACHE}
+_INDEX = {"leaves": "hash binary, pos long", "nodes": "level long, pos long, hash binary", "values": "key string, value string"}
+
+
+@dataclass(frozen=True)
+class Pending:
+    """What a store has beyond its last commit."""
+
+    added: DataFrame | None = None  # objects
+    gone: DataFrame | None = None  # hash
+    cache: DataFrame | None = None  # file_hash, recipe_hash, updated_at, gone, n (number of the change)
+    changes: int = 0
+    rebuild: bool = False
+
+    def with_cache(self, rows: DataFrame, gone: bool) -> Pending:
+        rows = rows.select("file_hash", "recipe_hash", "updated_at", F.lit(gone).alias("gone"), F.lit(self.changes).alias("n"))
+        return replace(self, cache=rows if self.cache is None else self.cache.unionAll(rows), changes=self.changes + 1)
+
+
 @dataclass(frozen=True)
 class Store:
     """One state of a store."""
@@ -152,7 +236,11 @@ class Store:
     namespace: str | None = None
     read_only: bool = False
     merkle: bool = True
-    snapshot: str | None = None
+    version: int = 0
+    commits: tuple = ()
+    index: str | None = None
+    records: DataFrame | None = None  # the objects without content
+    pending: Pending = field(default_factory=Pending)
 
     @classmethod
     def empty(cls, spark: SparkSession, **options) -> Store:
@@ -162,47 +250,83 @@ class Store:
     @classmethod
     def from_dataframes(cls, objects: DataFrame, cache: DataFrame, **options) -> Store:
         schema.namespace(options.get("namespace"))
-        return cls(objects, cache, **options)
+        return cls(objects, cache, pending=Pending(added=objects.select(_FIELDS)).with_cache(cache, False), **options)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, namespace: str | None = None, read_only: bool = False, merkle: bool = True) -> Store:
         """The last committed state in ``path``, or an empty store."""
-        prefix = schema.namespace(namespace)
-        pointer = _read_text(spark, f"{path}/{prefix}current.json")
+        pointer = _read_text(spark, f"{path}/{schema.namespace(namespace)}current.json")
         if pointer is None:
             if read_only:
                 raise errors.InvalidConfig(f"no store in {path}")
             return cls.empty(spark, path=path, namespace=namespace, merkle=merkle)
-        snap = json.loads(pointer)["snapshot"]
-        meta = spark.read.parquet(f"{path}/{snap}/objects_meta")
-        content = spark.read.parquet(f"{path}/{snap}/objects_content")
+        found = json.loads(pointer)
+        commits = tuple((c["name"], tuple(c["parts"])) for c in found["commits"])
+
+        def part(name: str) -> DataFrame | None:
+            places = [f"{path}/{c}/{name}" for c, parts in commits if name in parts]
+            return spark.read.schema(_PARTS[name]).parquet(*places) if places else None
+
+        blank = lambda s: spark.createDataFrame([], s)
+        meta, content, gone, rows = (part(name) for name in _PARTS)
+        records = blank(_META) if meta is None else meta
+        if gone is not None:
+            last = gone.groupBy("hash").agg(F.max("version").alias("gone_at"))
+            records = records.join(last, "hash", "left").filter("gone_at is null or version >= gone_at").drop("gone_at")
         # content lies apart, and is joined only by plans that use it
-        objects = meta.join(content, "hash", "left").select(_FIELDS)
-        return cls(objects, spark.read.parquet(f"{path}/{snap}/cache"), path, namespace, read_only, merkle, snap)
+        objects = records.join(blank(_CONTENT) if content is None else content, ["hash", "version"], "left").select(_FIELDS)
+        cache = blank(_CACHE) if rows is None else rows
+        latest = F.max(F.struct("version", "recipe_hash", "updated_at", "gone")).alias("r")
+        cache = cache.groupBy("file_hash").agg(latest).filter("not r.gone").select("file_hash", "r.recipe_hash", "r.updated_at")
+        return cls(objects, cache, path, namespace, read_only, merkle, found["version"], commits, found.get("index"), records.select(META_FIELDS))
 
     def meta(self) -> DataFrame:
-        """The object table without payloads; for a committed store only that part is read."""
-        if self.path and self.snapshot:
-            return self.objects.sparkSession.read.parquet(f"{self.path}/{self.snapshot}/objects_meta")
-        return self.objects.select(META_FIELDS)
+        """The object table without payloads; of what is committed only that part is read."""
+        return self.objects.select(META_FIELDS) if self.records is None else self.records
 
     def _writable(self) -> None:
         if self.read_only:
             raise errors.InvalidConfig("the store is read-only")
 
     def put_objects(self, new: DataFrame, order: Column) -> Store:
+        """With those records whose hash is not stored; nothing is verified."""
+        self._writable()
+        added = unseen(self.meta(), new, order)
+        pending = replace(self.pending, added=added if self.pending.added is None else self.pending.added.unionAll(added))
+        return replace(self, objects=self.objects.select(_FIELDS).unionAll(added), records=self.meta().unionAll(added.select(META_FIELDS)), pending=pending)
+
+    def _put(self, rows: DataFrame, kind: int, codec: str, order: Column, created_at: int | None) -> Store:
         self._writable()
-        return replace(self, objects=insert_ignore(self.objects, new, order), snapshot=None)
+        made = materialize(prepare_objects(rows.withColumn("input_order", order), kind, codec, unix_timestamp() if created_at is None else created_at), "prepared")
+        bad = made.filter("error_class is not null").orderBy("hash").select("hash", "error_class").first()
+        if bad is not None:
+            raise getattr(errors, bad["error_class"], errors.Integrity)(bytes(bad["hash"] or b"").hex())
+        return self.put_objects(made, F.col("input_order"))
+
+    def put_chunks(self, rows: DataFrame, codec: str = schema.ZSTD, order: Column | None = None, created_at: int | None = None) -> Store:
+        """With chunks (columns ``hash, bytes``), each checked against its hash; one that does not match raises, and nothing is put."""
+        return self._put(rows, schema.CHUNK, codec, F.lit(0) if order is None else order, created_at)
+
+    def put_recipes(self, rows: DataFrame, codec: str = schema.RAW, order: Column | None = None, created_at: int | None = None) -> Store:
+        """With recipes, as :meth:`put_chunks`."""
+        return self._put(rows, schema.RECIPE, codec, F.lit(0) if order is None else order, created_at)
 
     def put_cache(self, new: DataFrame, order: list[str]) -> Store:
         self._writable()
-        return replace(self, cache=upsert_cache(self.cache, new, order), snapshot=None)
+        last = upsert_cache(new.sparkSession.createDataFrame([], schema.CACHE), new, order)
+        return replace(self, cache=upsert_cache(self.cache, new, order), pending=self.pending.with_cache(last, False))
 
     def delete_objects(self, hashes: DataFrame) -> Store:
-        """Without these objects, and without any cache row that dangles then."""
+        """Without these objects, and without any cache row that dangles then; a stored Merkle index is rebuilt with the commit."""
         self._writable()
-        left = self.objects.join(hashes.select("hash").distinct(), "hash", "left_anti").select(_FIELDS)
-        return replace(self, objects=left, cache=without_dangling(self.cache, left), snapshot=None)
+        gone = hashes.select("hash").filter("hash is not null").distinct()
+        without = lambda df: df.join(gone, "hash", "left_anti")
+        left, records = without(self.objects).select(_FIELDS), without(self.meta()).select(META_FIELDS)
+        p = self.pending
+        pending = replace(
+            p, added=None if p.added is None else without(p.added).select(_FIELDS), gone=gone if p.gone is None else p.gone.unionAll(gone), rebuild=p.rebuild or (self.merkle and self.index is not None)
+        ).with_cache(dangling(self.cache, records), True)
+        return replace(self, objects=left, records=records, cache=without_dangling(self.cache, records), pending=pending)
 
     def transaction(self, change: Callable[[Store], Store]) -> Store:
         """The committed result of ``change``; where it raises, the last committed state stays as it was."""
@@ -213,20 +337,94 @@ class Store:
         if not self.merkle:
             raise errors.Integrity("the Merkle index is disabled")
 
+    def rebuild_merkle(self) -> Store:
+        """The next commit writes the index of its objects."""
+        self._writable()
+        self.require_merkle()
+        return replace(self, pending=replace(self.pending, rebuild=True))
+
+    def merkle_index(self):
+        """The stored index: its leaves may be stale where objects were put since."""
+        self.require_merkle()
+        if self.index is None:
+            raise errors.MissingMeta("root_hash")
+        spark = self.objects.sparkSession
+        leaves, nodes, values = (spark.read.schema(s).parquet(f"{self.path}/{self.index}/{name}") for name, s in _INDEX.items())
+        root, count = merkle.summary(values)
+        return merkle.Index(leaves, nodes, count, root)
+
     def commit(self) -> Store:
-        """Write this state as a snapshot, then swing the pointer to it."""
+        """Write what is new since the last commit, then swing the manifest to it."""
         self._writable()
         if not self.path:
             raise errors.InvalidConfig("the store has no path")
+        p, version = self.pending, self.version + 1
+        at = F.lit(version).cast("long").alias("version")
+        rows: dict[str, DataFrame] = {}
+        if p.added is not None:
+            added = materialize(p.added, "added")  # a plan that reads the store is evaluated once
+            rows["meta"] = added.select(*META_FIELDS, at).sortWithinPartitions("hash")
+            rows["content"] = added.filter("content is not null").select("hash", "content", at)
+        if p.gone is not None:
+            rows["gone"] = p.gone.distinct().select("hash", at)
+        if p.cache is not None:
+            last = p.cache.groupBy("file_hash").agg(F.max(F.struct("n", "recipe_hash", "updated_at", "gone")).alias("r"))
+            rows["cache"] = last.select("file_hash", "r.recipe_hash", "r.updated_at", "r.gone", at)
+        return self._write(rows, self.commits, version)
+
+    def _write(self, rows: dict[str, DataFrame], before: tuple, version: int) -> Store:
         spark, prefix = self.objects.sparkSession, schema.namespace(self.namespace)
-        snap = f"{prefix}snapshot-{uuid.uuid4().hex}"
-        at = f"{self.path}/{snap}"
-        self.objects.select(META_FIELDS).sortWithinPartitions("hash").write.parquet(f"{at}/objects_meta")
-        self.objects.filter("content is not null").select("hash", "content").write.parquet(f"{at}/objects_content")
-        self.cache.write.parquet(f"{at}/cache")
-        _replace_text(spark, f"{self.path}/{prefix}current.json", json.dumps({"snapshot": snap}))
+        pointer = f"{self.path}/{prefix}current.json"
+        name, parts = f"{prefix}commit-{version:08d}-{uuid.uuid4().hex}", []
+        for part, df in rows.items():
+            df.write.parquet(f"{self.path}/{name}/{part}")
+            if spark.read.schema(_PARTS[part]).parquet(f"{self.path}/{name}/{part}").isEmpty():
+                _delete(spark, f"{self.path}/{name}/{part}")
+            else:
+                parts.append(part)
+        commits = [*({"name": c, "parts": list(had)} for c, had in before), *([{"name": name, "parts": parts}] if parts else [])]
+        manifest = {"version": version, "commits": commits, "index": self.index}
+        if self.pending.rebuild:
+            manifest["index"] = self._write_index(manifest)
+        found = _read_text(spark, pointer)
+        if (json.loads(found)["version"] if found else 0) != self.version:
+            raise errors.Integrity("another writer has committed")
+        _replace_text(spark, pointer, json.dumps(manifest))
         return Store.open(spark, self.path, self.namespace, self.read_only, self.merkle)
 
+    def _write_index(self, manifest: dict) -> str:
+        spark, prefix = self.objects.sparkSession, schema.namespace(self.namespace)
+        index = merkle.build(self.meta())
+        name = f"{prefix}index-{manifest['version']:08d}-{uuid.uuid4().hex}"
+        for part, df in zip(_INDEX, (index.leaves, index.nodes, index.meta(spark))):
+            df.write.parquet(f"{self.path}/{name}/{part}")
+        return name
+
+    def compact(self) -> Store:
+        """The committed state written again as one commit, so that readers meet no tombstones."""
+        self._writable()
+        at = F.lit(self.version + 1).cast("long").alias("version")
+        content = self.objects.filter("content is not null").select("hash", "content", at)
+        cache = self.cache.select("file_hash", "recipe_hash", "updated_at", F.lit(False).alias("gone"), at)
+        return self._write({"meta": self.meta().select(*META_FIELDS, at).sortWithinPartitions("hash"), "content": content, "cache": cache}, (), self.version + 1)
+
+    def vacuum(self) -> list[str]:
+        """Delete the commits and indexes of this namespace that the manifest does not name; readers of older states lose them."""
+        self._writable()
+        spark, prefix = self.objects.sparkSession, schema.namespace(self.namespace)
+        kept = {c for c, _ in self.commits} | {self.index}
+        fs, root = _fs(spark, self.path)
+        names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory())
+        gone = [n for n in names if n.startswith((f"{prefix}commit-", f"{prefix}index-")) and n not in kept]
+        for n in gone:
+            _delete(spark, f"{self.path}/{n}")
+        return gone
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -142,3 +142,85 @@ def test_transaction_and_scan(spark, tmp_path):
     s = s.transaction(lambda x: x.put_objects(objects(spark, obj(b"b"), obj(b"c")), F.col("n")).delete_objects(spark.createDataFrame([(digest(b"a"),)], "hash binary")))
     rows = store.all_objects(s.objects).collect()
     assert [bytes(r.hash) for r in rows] == sorted([digest(b"b"), digest(b"c")]) and {bytes(r.bytes) for r in rows} == {b"b", b"c"}
+
+
+def folders(path):
+    return {p.name for p in path.iterdir() if p.is_dir()}
+
+
+def rows_in(spark, path, part):
+    return sum(spark.read.parquet(str(p)).count() for p in path.glob(f"commit-*/{part}"))
+
+
+def test_a_commit_writes_what_is_new(spark, tmp_path):
+    path = str(tmp_path)
+    hashes = lambda *data: spark.createDataFrame([(digest(d),) for d in data], "hash binary")
+    content = lambda s: {bytes(r.content) for r in s.objects.collect()}
+    s = store.Store.open(spark, path).put_objects(objects(spark, *[obj(b"%d" % i) for i in range(50)]), F.col("n")).commit()
+    s = s.put_objects(objects(spark, obj(b"7"), obj(b"new")), F.col("n")).commit()
+    assert rows_in(spark, tmp_path, "meta") == rows_in(spark, tmp_path, "content") == 51 and s.objects.count() == 51
+    s = s.delete_objects(hashes(b"7", b"new", b"nowhere")).commit()
+    assert rows_in(spark, tmp_path, "content") == 51 and s.objects.count() == s.meta().count() == 49
+    s = s.transaction(lambda x: x.put_objects(objects(spark, obj(b"7"), obj(b"8")), F.col("n")).delete_objects(hashes(b"8")).put_objects(objects(spark, obj(b"9"), obj(b"8")), F.col("n")))
+    assert content(s) == {b"%d" % i for i in range(50)} and rows_in(spark, tmp_path, "content") == 53
+    assert s.transaction(lambda x: x).version == 5 and len(folders(tmp_path)) == 4  # nothing new, nothing written
+    want = content(s)
+    small = store.Store.open(spark, path).compact()
+    assert len(small.commits) == 1 and content(small) == want
+    with pytest.raises(errors.Integrity):
+        s.put_objects(objects(spark, obj(b"late")), F.col("n")).commit()  # the state it began with is no longer the last
+    assert len(small.vacuum()) == 5 and content(store.Store.open(spark, path)) == want and len(folders(tmp_path)) == 1
+
+
+def test_cache_over_commits(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "file_hash binary, recipe_hash binary, updated_at long, n long")
+    r1, r2 = recipe(file=b"1"), recipe(file=b"2")
+    s = store.Store.open(spark, str(tmp_path)).put_objects(objects(spark, obj(r1, 2), obj(r2, 2)), F.col("n"))
+    s = s.put_cache(rows((b"f", digest(r1), 1, 1), (b"g", digest(r1), 1, 1)), ["n"]).commit()
+    s = s.put_cache(rows((b"f", digest(r2), 2, 1)), ["n"]).commit()
+    got = lambda x: {bytes(r.file_hash): bytes(r.recipe_hash) for r in x.cache.collect()}
+    assert got(s) == {b"f": digest(r2), b"g": digest(r1)}
+    s = s.delete_objects(spark.createDataFrame([(digest(r1),)], "hash binary"))
+    assert got(s) == got(s.commit()) == {b"f": digest(r2)}
+
+
+def test_verified_puts(spark):
+    content = lambda *d: spark.createDataFrame([(digest(x), x) for x in d], "hash binary, bytes binary")
+    s = store.Store.empty(spark).put_chunks(content(b"a" * 900, b"short", b""), created_at=5).put_recipes(content(recipe((b"short", 5))))
+    got = {bytes(r.hash): (r.kind, r.codec, r.size, r.created_at) for r in s.objects.collect()}
+    assert got[digest(b"a" * 900)] == (1, "zstd", 900, 5) and got[digest(b"short")] == (1, "raw", 5, 5) and got[digest(b"")] == (1, "raw", 0, 5)
+    assert len(got) == 4 and got[digest(recipe((b"short", 5)))][:2] == (2, "raw")
+    assert {r.error_class for r in store.verify(s.objects).collect()} == {None}
+    bad = spark.createDataFrame([(digest(b"x"), b"y", 1), (digest(b"z"), None, 2), (digest(b"ok"), b"ok", 3)], "hash binary, bytes binary, n int")
+    with pytest.raises(errors.HashMismatch):
+        s.put_chunks(bad)
+    assert [r.error_class for r in store.prepare_objects(bad, schema.CHUNK, "zstd").orderBy("n").collect()] == ["HashMismatch", "HashMismatch", None]
+    assert store.prepare_objects(bad.limit(0), schema.CHUNK, "zstd").count() == 0
+    assert [r.error_class for r in store.prepare_objects(bad.filter("n = 3"), schema.CHUNK, "lz4").collect()] == ["InvalidCodec"]
+    with pytest.raises(errors.InvalidConfig):
+        store.prepare_objects(bad, 7, "zstd")
+
+
+def test_stored_merkle_index(spark, tmp_path):
+    from cairnlake.operators import merkle
+
+    path, some = str(tmp_path), [b"%d" % i for i in range(9)]
+    s = store.Store.open(spark, path).put_objects(objects(spark, *map(obj, some)), F.col("n"))
+    with pytest.raises(errors.MissingMeta):
+        s.commit().merkle_index()
+    s = store.Store.open(spark, path).rebuild_merkle().commit()
+    index = s.merkle_index()
+    assert index.leaf_count == 9 and index.root == merkle.build(s.meta()).root
+    later = s.put_objects(objects(spark, obj(b"new")), F.col("n")).commit()
+    assert later.merkle_index().root == index.root  # puts leave it stale
+    assert {r.state for r in merkle.staleness(later.merkle_index().leaves, later.meta()).collect()} == {"unindexed"}
+    gone = later.delete_objects(spark.createDataFrame([(digest(b"3"),)], "hash binary")).commit()
+    assert gone.merkle_index().leaf_count == 9 and gone.merkle_index().root == merkle.build(gone.meta()).root != index.root
+    assert merkle.staleness(gone.merkle_index().leaves, gone.meta()).count() == 0
+    assert all(r.valid for r in merkle.verified(merkle.prove(gone.merkle_index(), gone.meta()), gone.merkle_index().root, 9).collect())
+    closed = store.Store.open(spark, path, merkle=False)
+    for call in (closed.merkle_index, closed.rebuild_merkle):
+        with pytest.raises(errors.Integrity):
+            call()
+    kept = closed.delete_objects(spark.createDataFrame([(digest(b"4"),)], "hash binary")).commit()
+    assert kept.index == gone.index  # nothing is rebuilt where the index is disabled
