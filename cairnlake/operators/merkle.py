@@ -161,26 +161,61 @@ def staleness(index_leaves: DataFrame, objects: DataFrame) -> DataFrame:
     )
 
 
+def _beside(base: int, size: int, steps: int):
+    """Siblings of the positions in one block, over ``steps`` levels; ``size`` is the number of nodes at the lowest."""
+
+    def run(wanted: pa.Table, nodes: pa.Table) -> pa.Table:
+        if not wanted.num_rows:
+            return pa.table({"pos": pa.array([], pa.int64()), "siblings": pa.array([], pa.list_(pa.binary()))})
+        at, level, place = wanted.column("pos").to_numpy(), nodes.column("level").to_numpy(), nodes.column("pos").to_numpy()
+        order = np.lexsort([place, level])
+        hashes = nodes.column("hash").combine_chunks().take(pa.array(order))
+        level, place = level[order], place[order]
+        index = np.zeros((len(at), steps), np.int64)
+        for j in range(steps):
+            mine = at >> j
+            beside = mine ^ 1
+            beside = np.where(beside >= -(-size >> j), mine, beside)  # the last node of an odd level is its own sibling
+            first = int(np.searchsorted(level, base - 1 + j))
+            index[:, j] = first + beside - place[first]  # a block's nodes of one level are neighbours
+        offsets = np.arange(len(at) + 1, dtype=np.int32) * steps
+        return pa.table({"pos": pa.array(at), "siblings": pa.ListArray.from_arrays(pa.array(offsets), hashes.take(pa.array(index.ravel())))})
+
+    return run
+
+
+def _siblings(index: Index, positions: DataFrame, step: int = 0) -> DataFrame:
+    """``pos, siblings`` of distinct positions at level ``16 * step - 1``, up to the root.
+
+    A position meets its block of 65,536 neighbours, which holds its siblings of sixteen
+    levels; those above are found once for each block, so that no node near the root is
+    a join key of many targets.
+    """
+    base = BLOCK_BITS * step
+    size = -(-index.leaf_count >> base)
+    steps = min(BLOCK_BITS, depth(index.leaf_count) - base)
+    if steps <= 0:
+        return positions.select("pos", F.array().cast("array<binary>").alias("siblings"))
+    every = index.nodes.filter(F.col("level").between(base - 1, base + steps - 2))
+    if step == 0:
+        every = every.unionAll(index.leaves.select(F.lit(-1).cast("long").alias("level"), "pos", "hash"))
+    high = F.expr(f"shiftright(pos, cast({BLOCK_BITS + base - 1} - level as int))").alias("block")
+    own = F.shiftright("pos", BLOCK_BITS).alias("block")
+    both = positions.select(own, "pos").groupBy("block").cogroup(every.select(high, "level", "pos", "hash").groupBy("block"))
+    found = both.applyInArrow(_beside(base, size, steps), "pos long, siblings array<binary>")
+    if base + steps >= depth(index.leaf_count):
+        return found
+    above = _siblings(index, positions.select(F.shiftright("pos", BLOCK_BITS).alias("pos")).distinct(), step + 1)
+    above = above.select(F.col("pos").alias("block"), F.col("siblings").alias("higher"))
+    return found.join(above, F.shiftright(found["pos"], BLOCK_BITS) == F.col("block")).select("pos", F.concat("siblings", "higher").alias("siblings"))
+
+
 def prove(index: Index, targets: DataFrame) -> DataFrame:
     """``hash, leaf_pos, siblings`` for each distinct target; both are null where it is no leaf."""
     wanted = targets.select("hash").filter("hash is not null").distinct()
-    placed = wanted.join(index.leaves, "hash", "left")
-    steps = depth(index.leaf_count)
-    every = index.nodes.unionAll(index.leaves.select(F.lit(-1).cast("long").alias("level"), "pos", "hash"))
-    sizes = [-(-index.leaf_count >> k) for k in range(steps)]
-    level = F.explode(F.array(*[F.struct(F.lit(k - 1).cast("long").alias("level"), F.lit(n).cast("long").alias("size")) for k, n in enumerate(sizes)])) if steps else None
-    found = placed.filter("pos is not null")
-    if level is None:
-        proofs = found.select("hash", F.array().cast("array<binary>").alias("siblings"))
-    else:
-        at = found.select("hash", "pos", level.alias("l")).select("hash", F.col("l.level").alias("level"), F.col("l.size").alias("size"), F.expr("shiftright(pos, cast(l.level + 1 as int))").alias("at"))
-        beside = F.col("at").bitwiseXOR(F.lit(1))
-        # the last node of an odd level is its own sibling
-        needed = at.select("hash", "level", F.when(beside >= F.col("size"), F.col("at")).otherwise(beside).alias("pos"))
-        rows = needed.join(every.withColumnRenamed("hash", "sibling"), ["level", "pos"])
-        ordered = F.sort_array(F.collect_list(F.struct("level", "sibling")))  # one entry a level
-        proofs = rows.groupBy("hash").agg(F.transform(ordered, lambda x: x["sibling"]).alias("siblings"))
-    return placed.withColumnRenamed("pos", "leaf_pos").join(proofs, "hash", "left").select("hash", "leaf_pos", "siblings")
+    placed = materialize(wanted.join(index.leaves, "hash", "left"), "placed")
+    proofs = _siblings(index, placed.select("pos").filter("pos is not null"))
+    return placed.join(proofs, "pos", "left").select("hash", F.col("pos").alias("leaf_pos"), "siblings")
 
 
 def verify(target: bytes, leaf_pos: int, siblings: list[bytes], root: bytes, leaf_count: int, compat: bool = False) -> bool:
