@@ -1,21 +1,23 @@
 """Differences between two copies of a keyed table, field by field.
 
-Method: only keys, order and a digest of the fields travel first. Each partition reads
-its keys in order and numbers them with ordinals that both sides share; a side's bitmap
-(containers of 65,536 ordinals, each held as a sorted array, a bit set or runs, whichever
-is smallest) says which keys it has. AND-NOT of the bitmaps gives the rows missing on a
-side; the digests of their intersection are compared ordinal by ordinal. Only for keys
-whose digests differ do the fields themselves travel, to be compared column by column
-along the same kind of ordinals; a bitmap of those keys' hashes, bounded in size, keeps
-all other rows at home.
-
-Digests have 64 bits: a difference is missed with a probability of 2**-64 a key.
+Method: only digests travel first, of the key (128 bits), of the fields (64 bits), and the
+order. Each partition reads them in order and numbers the keys with ordinals that both
+sides share; a side's bitmap (containers of 65,536 ordinals, each held as a sorted array,
+a bit set or runs, whichever is smallest) says which keys it has. AND-NOT of the bitmaps
+finds the keys missing on a side; the digests of their intersection are compared ordinal
+by ordinal. The keys found are a bitmap of hash slots, bounded in size, that keeps all
+other rows at home: only for these do keys and fields themselves travel, to be compared in
+the same way, now field by field. A slot that another key shares brings that key along,
+which then shows no difference.
+
+A difference is missed only where two keys agree in 128 bits, or the fields of one key
+differ and agree in 64.
 
 Defined results:
 
-* of the rows of one key the given order decides; null order values come last, and full
-  ties are broken by the digest of the compared values, so that repeated rows change
-  nothing;
+* of the rows of one key the given order decides; null order values come last (the
+  largest long counts as null), and full ties are broken by the digest of the compared
+  values, so that repeated rows change nothing;
 * two nulls are equal, null and a value differ; rows with a null key are skipped;
 * an empty side makes every key of the other ``only_a`` or ``only_b``;
 * columns beside the key, the order and the fields are never read, whatever their names.
@@ -30,13 +32,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cairnlake.runtime import materialize
 
 CONTAINER = 1 << 16
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 27  # slots of the bitmap of differing keys; 16 MB at most
-SLOTS_A_KEY = 16
+SLOTS_A_KEY = 64
 
 
 class PresenceBitmap:
@@ -108,26 +109,35 @@ def _differs(x: pa.Array, y: pa.Array) -> np.ndarray:
     return pc.or_(unequal, one_null).to_numpy(zero_copy_only=False)
 
 
-def _ranks(columns: Sequence[str]) -> list[str]:
-    """The columns of the order: for each of its values whether it is null, and the value."""
-    return [c for c in columns if c[0] in "no" and c[1:].isdigit()]
+def _rank(columns: Sequence[str]) -> list[str]:
+    """The columns that tell which of a key's rows stands for it."""
+    return [*(c for c in columns if c[0] == "o" and c[1:].isdigit()), "digest"]
+
 
+def _changes(b: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Where a value of these columns, none of them null, differs from the row above; the first row is no change."""
+    out = np.zeros(b.num_rows, bool)
+    for name in names if b.num_rows > 1 else ():
+        c = b.column(name)
+        out[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return out
 
-def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _first_of_batch(key: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of the rows of one key and side in a batch only the one that stands for it, so that a hot key does not travel."""
-    for b in batches:
-        hashed = b.column("h").to_numpy()
-        ranks = [b.column(c).to_numpy() for c in (*_ranks(b.schema.names), "digest")]
-        order = np.lexsort([*reversed(ranks), b.column("side").to_numpy(), hashed])
-        side, h = b.column("side").to_numpy()[order], hashed[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (side[1:] != side[:-1])]) if len(h) else np.zeros(0, bool)
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-        keys = b.column("row_key")
-        other = pc.not_equal(keys.take(pa.array(order)), keys.take(pa.array(head))).to_numpy(zero_copy_only=False)
-        yield b.take(pa.array(order[new | other]))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray]]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ranks = [b.column(c).to_numpy() for c in _rank(b.schema.names)]
+            b = b.take(pa.array(np.lexsort([*reversed(ranks), b.column("side").to_numpy(), b.column("h").to_numpy()])))
+            new = _changes(b, [*key, "side"])
+            new[:1] = True
+            yield b.filter(pa.array(new))
+
+    return run
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray]]:
     """Containers of keys that arrive in order: (first ordinal, rows, their ordinals, their sides), the first row a key and side."""
     held: list[tuple[pa.RecordBatch, np.ndarray]] = []
     last, side_before, ordinal = None, None, -1
@@ -141,12 +151,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table,
     for b in batches:
         if not b.num_rows:
             continue
-        keys, side = b.column("row_key"), b.column("side").to_numpy()
-        same = pc.equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False) if len(keys) > 1 else np.zeros(0, bool)
-        new = np.concatenate([[last is None or keys[0] != last], ~same])
+        side, new = b.column("side").to_numpy(), _changes(b, key)
+        value = lambda i: tuple(b.column(c)[i].as_py() for c in key)  # noqa: B023, E731
+        new[0] = value(0) != last
         first = new | np.concatenate([[side[0] != side_before], side[1:] != side[:-1]])
         ordinals = ordinal + np.cumsum(new)
-        last, side_before, ordinal = keys[-1], side[-1], int(ordinals[-1])
+        last, side_before, ordinal = value(b.num_rows - 1), side[-1], int(ordinals[-1])
         rows, ordinals = b.filter(pa.array(first)), ordinals[first]
         while len(ordinals):
             now = held[0][1][0] if held else ordinals[0]
@@ -173,74 +183,82 @@ def _sides(first: int, at: np.ndarray, side: np.ndarray) -> tuple[dict[int, Pres
     return have, row
 
 
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys missing on a side (``only_a``, ``only_b``) and keys whose digests differ (null)."""
-    for first, rows, at, side in _blocks(batches):
+_KEY = ("h", "h2")
+
+
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h`` of the keys that a side lacks or whose digests differ."""
+    for first, rows, at, side in _blocks(batches, _KEY):
         have, row = _sides(first, at, side)
         both = have[0].intersect(have[1]).ordinals() - first
-        digest = rows.column("digest").to_numpy()
-        unequal = both[digest[row[0][both]] != digest[row[1][both]]]
-        found = [(have[s].and_not(have[1 - s]).ordinals() - first, s, name) for s, name in ((0, "only_a"), (1, "only_b"))]
-        for ordinals, s, name in (*found, (unequal, 0, None)):
-            if len(ordinals):
-                keys = rows.column("row_key").combine_chunks().take(pa.array(row[s][ordinals]))
-                yield pa.record_batch([keys, pa.array([name] * len(keys), pa.string())], names=["row_key", "field"])
+        digest, h = (rows.column(c).to_numpy() for c in ("digest", "h"))
+        found = [row[s][have[s].and_not(have[1 - s]).ordinals() - first] for s in (0, 1)]
+        found.append(row[0][both[digest[row[0][both]] != digest[row[1][both]]]])
+        yield pa.record_batch([pa.array(h[np.concatenate(found)])], names=["h"])
 
 
 def _compare(fields: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Names of the fields that differ, for keys that both sides have."""
+    """``row_key, field``: sides that lack a key, and names of the fields that differ."""
     names = list(fields)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, rows, at, side in _blocks(batches):
+        for first, rows, at, side in _blocks(batches, ("row_key",)):
             have, row = _sides(first, at, side)
+            keys = rows.column("row_key").combine_chunks()
+
+            def out(places: np.ndarray, field: str) -> pa.RecordBatch:
+                return pa.record_batch([keys.take(pa.array(places)), pa.array([field] * len(places), pa.string())], names=["row_key", "field"])  # noqa: B023
+
+            for s, name in ((0, "only_a"), (1, "only_b")):
+                missing = have[s].and_not(have[1 - s]).ordinals() - first
+                if len(missing):
+                    yield out(row[s][missing], name)
             both = have[0].intersect(have[1]).ordinals() - first
+            if not len(both):
+                continue
             left, right = (rows.take(pa.array(row[s][both])).combine_chunks() for s in (0, 1))
-            keys = left.column("row_key").combine_chunks() if len(both) else None
-            for name in names if len(both) else ():
+            for name in names:
                 unequal = _differs(left.column(f"f_{name}").combine_chunks(), right.column(f"f_{name}").combine_chunks())
                 if unequal.any():
-                    taken = keys.filter(pa.array(unequal))
-                    yield pa.record_batch([taken, pa.array([name] * len(taken), pa.string())], names=["row_key", "field"])
+                    yield out(row[0][both[unequal]], name)
 
     return compare
 
 
-def _with_digest(df: DataFrame, side: int, key: Column, digests: dict[str, Column], order: Sequence[Column], fields: dict[str, Column] | None = None) -> DataFrame:
-    """``row_key, h, side``, the order as ``n0, o0, ...``, ``digest`` and the fields."""
-    ranks = [x for i, o in enumerate(order) for x in (o.isNull().cast("byte").alias(f"n{i}"), F.coalesce(o.cast("long"), F.lit(0)).alias(f"o{i}"))]
+def _rows(df: DataFrame, side: int, key: Column, digests: dict[str, Column], order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """``h, side``, the order as ``o0, ...``, ``digest`` and ``values``."""
+    ranks = [F.coalesce(o.cast("long"), F.lit(2**63 - 1)).alias(f"o{i}") for i, o in enumerate(order)]
     nulls = sum((c.isNull().cast("long") * (1 << i) for i, c in enumerate(digests.values())), F.lit(0).cast("long"))
     digest = F.xxhash64(nulls, *digests.values()).alias("digest")
-    kept = [c.alias(f"f_{n}") for n, c in (fields or {}).items()]
-    return df.select(key.alias("row_key"), F.xxhash64(key).alias("h"), F.lit(side).cast("byte").alias("side"), *ranks, digest, *kept).filter("row_key is not null")
+    kept = [c.alias(n) for n, c in values.items()]
+    return df.filter(key.isNotNull()).select(F.xxhash64(key).alias("h"), F.lit(side).cast("byte").alias("side"), *ranks, digest, *kept)
 
 
-def _aligned(rows: DataFrame) -> DataFrame:
+def _aligned(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Both sides of a key in one partition, in order."""
-    rows = rows.mapInArrow(_first_of_batch, rows.schema).drop("h")
-    return rows.repartition("row_key").sortWithinPartitions("row_key", "side", *_ranks(rows.columns), "digest")
+    rows = rows.mapInArrow(_first_of_batch(key), rows.schema)
+    return rows.repartition(*key).sortWithinPartitions(*key, "side", *_rank(rows.columns))
 
 
-def _among(keys: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of ``rows`` whose ``h`` falls into a slot that one of ``keys`` takes; no row of theirs is lost.
+def _among(found: DataFrame, rows: Sequence[DataFrame]) -> list[DataFrame]:
+    """Those of ``rows`` whose ``h`` falls into a slot that one of ``found`` takes; no row of theirs is lost.
 
     The bitmap has some slots a key, up to a bound: beyond it more rows pass, none is lost.
     """
-    spark = rows.sparkSession
-    slots = 1 << max(LEAST_SLOTS.bit_length() - 1, min(MOST_SLOTS.bit_length() - 1, (SLOTS_A_KEY * keys.count()).bit_length()))
-    slot = lambda h: h.bitwiseAND(F.lit(slots - 1).cast("long"))
-    taken = keys.select(slot(F.xxhash64("row_key")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    spark = found.sparkSession
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SLOTS_A_KEY * found.count()).bit_length()))
+    taken = found.select(F.col("h").bitwiseAND(F.lit(slots - 1).cast("long")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
     words = taken.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()  # a word at most for each 64 slots
     bitmap = np.zeros(slots // 64, np.int64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(bitmap)
 
-    @F.arrow_udf(T.BooleanType())
-    def passes(h: pa.Array) -> pa.Array:
-        at = h.to_numpy() & (slots - 1)
-        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("h").to_numpy() & (slots - 1)
+            yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
 
-    return rows.filter(passes("h"))
+    return [r.mapInArrow(passes, r.schema) for r in rows]
 
 
 def differences(a: DataFrame, b: DataFrame, key: Column, fields: dict[str, Column], order: Sequence[Column], digests: dict[str, Column] | None = None) -> DataFrame:
@@ -252,14 +270,11 @@ def differences(a: DataFrame, b: DataFrame, key: Column, fields: dict[str, Colum
     """
     digests = fields | (digests or {})
     kind = a.select(key.alias("row_key")).schema["row_key"].dataType.simpleString()
-    keyed = [_with_digest(x, side, key, digests, order) for side, x in enumerate((a, b))]
-    rows = keyed[0].unionAll(keyed[1])
-    first = materialize(_aligned(rows).mapInArrow(_presence, f"row_key {kind}, field string"), "presence")
-    differ = first.filter("field is null").select("row_key")
-    few = [_among(differ, x) for x in (_with_digest(x, side, key, digests, order, fields) for side, x in enumerate((a, b)))]
-    valued = few[0].unionAll(few[1]).join(differ, "row_key", "left_semi")
-    found = _aligned(valued).mapInArrow(_compare(list(fields)), f"row_key {kind}, field string")
-    return first.filter("field is not null").unionAll(found)
+    sides = lambda values: [_rows(x, side, key, digests, order, values) for side, x in enumerate((a, b))]
+    brief = sides({"h2": F.xxhash64(F.lit(CONTAINER), key)})
+    unlike = materialize(_aligned(brief[0].unionAll(brief[1]), _KEY).mapInArrow(_unlike, "h long"), "unlike")
+    few = _among(unlike, sides({"row_key": key, **{f"f_{n}": c for n, c in fields.items()}}))
+    return _aligned(few[0].unionAll(few[1]), ("row_key",)).mapInArrow(_compare(list(fields)), f"row_key {kind}, field string")
 
 
 def normalized_codec(name: str = "codec") -> Column:
