@@ -40,6 +40,7 @@ KEYS_PER_BUCKET = 1_000_000
 TARGET = 0.001
 PROBES = 4096
 MOST_PARTITIONS = 10_000  # beyond it, a partition streams several buckets one after the other
+MOST_BROADCAST = 500_000  # wrong answers that are broadcast; more are joined
 BEFORE_ALL = -(1 << 63)  # the place of keys that came before every record
 
 _LANES = 8
@@ -231,8 +232,11 @@ def false_answers(answers: DataFrame) -> DataFrame:
 def seen_records(answers: DataFrame) -> DataFrame:
     """``tab, seq`` of each record whose key occurred before, once."""
     rows = answers.filter(F.col("seen") & (F.col("seq") > BEFORE_ALL)).select("tab", "seq", "key")
+    wrong = materialize(false_answers(answers), "wrong")  # the target share of the keys, at most
+    if wrong.count() <= MOST_BROADCAST:
+        wrong = F.broadcast(wrong)
     # rows without a key were repetitions within their batch, and never wrong
-    return rows.join(false_answers(answers), ["tab", "seq", "key"], "left_anti").select("tab", "seq").distinct()
+    return rows.join(wrong, ["tab", "seq", "key"], "left_anti").select("tab", "seq").distinct()
 
 
 def error_rates(answers: DataFrame, target: float = TARGET) -> DataFrame:
