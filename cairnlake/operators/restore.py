@@ -15,6 +15,10 @@ from cairnlake.functions.hashing import digest
 from cairnlake.operators.pipeline import BATCH_BYTES
 from cairnlake.operators.store import verify
 from cairnlake.operators.transforms import Registry
+from cairnlake.runtime import materialize
+from cairnlake.sources.paths import write_file
+
+ENTRIES_A_PART = 10_000
 
 
 @dataclass(frozen=True)
@@ -66,19 +70,36 @@ def load_recipes(wanted: DataFrame, objects: DataFrame, limits: Limits = Limits(
 _RESTORED = "recipe_hash binary, bytes binary, error_class string"
 
 
-def restore(wanted: DataFrame, objects: DataFrame, registry: Registry | None = None, limits: Limits = Limits()) -> DataFrame:
-    """``recipe_hash, bytes, error_class``: the original bytes of each distinct wanted recipe.
+def read_stored_streams(wanted: DataFrame, objects: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``recipe_hash, bytes, error_class``: the stored stream of each distinct wanted recipe, before any decoder."""
+    loaded, parts = _parts(wanted, objects, limits)
+    return _finished(loaded, parts, None)
 
-    Hashes are resolved against records first; chunk contents join last, and one file's
-    chunks meet in one row, which the limits bound. A chunk's kind is checked before its
-    length; the decoder is looked up after the chunks.
+
+def _with_content(entries: DataFrame, objects: DataFrame) -> DataFrame:
+    """``entries`` with ``kind, bytes, object_error`` of their chunks.
+
+    A chunk in many entries would bring its content so many times into one task: its
+    entries are spread over as many parts as they fill by ``ENTRIES_A_PART``, and each
+    part gets the content once. The counts come from the entries, before content is read.
     """
-    registry = registry or Registry()
+    counts = materialize(entries.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "uses")
+    parts = F.ceil(F.col("n") / ENTRIES_A_PART).cast("int")
+    used = counts.select("hash", parts.alias("parts"))
+    read = verify(objects.join(used.select("hash"), "hash", "left_semi")).select("hash", "kind", "bytes", F.col("error_class").alias("object_error"))
+    hot = used.filter("parts > 1")  # each has more than ENTRIES_A_PART entries
+    if hot.isEmpty():
+        return entries.join(read, "hash", "left")
+    many = entries.join(hot, "hash", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("recipe_hash", "ordinal"), F.col("parts").cast("long")), F.lit(0))).drop("parts")
+    copies = read.join(hot, "hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("long")))).drop("parts")
+    return many.join(copies, ["hash", "part"], "left").drop("part")
+
+
+def _parts(wanted: DataFrame, objects: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """The wanted recipes, and ``recipe_hash, parts``: the content of their chunks in order, or what is wrong with them."""
     loaded = load_recipes(wanted, objects, limits)
     entries = loaded.filter("r.error_class is null").select("recipe_hash", F.posexplode("r.chunks").alias("ordinal", "c")).select("recipe_hash", "ordinal", "c.hash", "c.len")
-    needed = objects.join(entries.select("hash").distinct(), "hash", "left_semi")
-    read = verify(needed).select("hash", "kind", "bytes", F.col("error_class").alias("object_error"))
-    joined = entries.join(read, "hash", "left")
+    joined = _with_content(materialize(entries, "entries"), objects)
     error = (
         F.when(F.col("kind").isNull(), errors.ObjectNotFound.__name__)
         .when(F.col("object_error").isNotNull(), F.col("object_error"))
@@ -86,7 +107,23 @@ def restore(wanted: DataFrame, objects: DataFrame, registry: Registry | None = N
         .when(F.octet_length("bytes") != F.col("len"), errors.RecipeChunkLengthMismatch.__name__)
     )
     part = F.struct("ordinal", error.alias("error_class"), F.when(error.isNull(), F.col("bytes")).alias("bytes"))
-    parts = joined.groupBy("recipe_hash").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return loaded, joined.groupBy("recipe_hash").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+
+
+def restore(wanted: DataFrame, objects: DataFrame, registry: Registry | None = None, limits: Limits = Limits()) -> DataFrame:
+    """``recipe_hash, bytes, error_class``: the original bytes of each distinct wanted recipe.
+
+    Hashes are resolved against records first; chunk contents join last, and one file's
+    chunks meet in one row, which the limits bound. A chunk's kind is checked before its
+    length; the decoder is looked up after the chunks, and stops where its output is
+    longer than the file.
+    """
+    loaded, parts = _parts(wanted, objects, limits)
+    return _finished(loaded, parts, registry or Registry())
+
+
+def _finished(loaded: DataFrame, parts: DataFrame, registry: Registry | None) -> DataFrame:
+    """The restored files, or without a registry their stored streams."""
     rows = loaded.join(parts, "recipe_hash", "left").select("recipe_hash", "r.error_class", "r.original_file_size", "r.original_file_hash", "r.transform_id", "r.transform_version", "parts")
 
     def finish(error_class, size, file_hash, tid, tver, parts):
@@ -96,9 +133,12 @@ def restore(wanted: DataFrame, objects: DataFrame, registry: Registry | None = N
             if p["error_class"]:
                 return None, p["error_class"]
         try:
-            decode = registry.decoder(tid, tver)
+            stored = [p["bytes"] for p in parts or ()]
+            if registry is None:
+                return b"".join(stored), None
+            registry.decoder(tid, tver)
             try:
-                data = decode(b"".join(p["bytes"] for p in parts or ()))
+                data = registry.decode(tid, tver, b"".join(stored), size)
             except Exception as e:
                 raise errors.OriginalFileMismatch from e
             if len(data) != size or digest(data) != file_hash:
@@ -127,20 +167,10 @@ def write_files(restored: DataFrame, folder: str) -> DataFrame:
 
     Each file is written under another name first and then renamed, so none is ever partial.
     """
-    import os
-    import uuid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
         for b in batches:
-            paths = []
-            for h, data in zip(b.column("recipe_hash").to_pylist(), b.column("bytes").to_pylist()):
-                path = os.path.join(folder, h.hex())
-                temporary = f"{path}.{uuid.uuid4().hex}"
-                with open(temporary, "wb") as f:
-                    f.write(data)
-                os.replace(temporary, path)
-                paths.append(path)
+            paths = [write_file(f"{folder.rstrip('/')}/{h.hex()}", data.as_py()) for h, data in zip(b.column("recipe_hash").to_pylist(), b.column("bytes"))]
             yield pa.record_batch([b.column("recipe_hash"), pa.array(paths, pa.string())], names=["recipe_hash", "path"])
 
     return restored.filter("error_class is null").select("recipe_hash", "bytes").mapInArrow(run, "recipe_hash binary, path string")

@@ -10,15 +10,16 @@ suite 1 adds a tag to the index and to every 256 KiB of payload.
 The labels that separate the hashes and keys of a format family are parameters
 (:class:`Labels`), so packs of other writers can be read with theirs.
 
-``spark.read.format("sealedpack")`` reads the directory and payloads of packs by path;
-each partition takes a range of the directory and reads only its payloads. Options:
-``path`` (a file, a folder or a glob), ``tag``, ``secret`` and ``slot`` in hexadecimal,
-``verify`` (default true), ``pushdown`` (default false) and the labels (``label_pack_id`` and so on).
+``spark.read.format("sealedpack")`` reads the directory and payloads of packs by path or
+URI; each partition takes ranges of bytes and reads only the payloads that begin there.
+Options: ``path`` (a file, a folder or a glob), ``tag``, ``secret`` and ``slot`` in
+hexadecimal, ``verify`` (default true), ``errors`` (``raise``, the default, or ``column``:
+a pack that cannot be read is one row with its ``error_class``), ``partitionbytes``,
+``pushdown`` (default false) and the labels (``label_pack_id`` and so on).
 """
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import os
 import struct
@@ -35,6 +36,7 @@ from cairnlake.functions import codec as C
 from cairnlake.functions import recipe as R
 from cairnlake.functions.crypto import FrameKey
 from cairnlake.functions.hashing import digest
+from cairnlake.sources.paths import list_files, open_file, write_file
 
 # fixed values of the format
 HEADER, REVISION, PLAIN, SEALED = 140, 1, 0, 1
@@ -300,16 +302,24 @@ def reseal(pack: bytes, key: FrameKey, tag: bytes, source_tag: bytes = DEFAULT_T
 
 
 SCHEMA = "path string, pack_id binary, encrypted boolean, root_recipe binary, object_count long, hash binary, kind int, codec string, size long, stored_size long, payload_offset long, content binary, error_class string"
-PER_PARTITION = 4096
+BYTES_PER_PARTITION = 128 << 20
+#: bytes and objects of one pack, at most: a pack is one value of a row, and its index is bounded
+MOST_PACK, MOST_PACKED = 1 << 30, (MAX_INDEX - schema.HASH_BYTES) // _RECORD.size
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+class _Ranges(InputPartition):
+    """Byte ranges of packs: (path, start, stop)."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class SealedReader(DataSourceReader):
-    """Reads ranges of directories."""
+    """Reads the entries whose payload begins in ranges of bytes.
+
+    Planning lists files and their sizes only; every task reads the directories of its
+    own packs. Small packs share a partition.
+    """
 
     def __init__(self, options: dict):
         self.options = options
@@ -322,41 +332,52 @@ class SealedReader(DataSourceReader):
         labels = Labels(**{f.name: hexed("label_" + f.name, f.default) for f in fields(Labels)})
         return hexed("tag", DEFAULT_TAG), key, labels
 
-    def _open(self, path: str):
-        tag, key, labels = self._settings()
-        with open(path, "rb") as f:
-            head = f.read(HEADER)
-            length = struct.unpack_from("<Q", head, 20)[0] if len(head) == HEADER else 0
-            index = f.read(min(length, MAX_STORED_INDEX + 16))
-        return read_directory(os.path.getsize(path), head, index, tag, key, labels), key, labels
-
     def partitions(self) -> list[InputPartition]:
-        path = self.options["path"].removeprefix("file://")
-        paths = sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))
-        if not paths:
-            raise errors.InvalidConfig("no pack at " + path)
-        out = []
-        for p in paths:
-            n = len(self._open(p)[0].entries)
-            out += [_Range(p, a, min(n, a + PER_PARTITION)) for a in range(0, n, PER_PARTITION)]
-        return out
-
-    def read(self, part: _Range) -> Iterator[tuple]:
-        d, key, labels = self._open(part.path)
+        found = list_files(self.options["path"])
+        if not found:
+            raise errors.InvalidConfig("no pack at " + self.options["path"])
+        most = int(self.options.get("partitionbytes", BYTES_PER_PARTITION))
+        out, ranges, held = [], [], 0
+        for path, size in found:
+            for start in range(0, max(1, size), most):
+                stop = min(max(1, size), start + most)
+                if ranges and held + stop - start > most:
+                    out.append(_Ranges(ranges))
+                    ranges, held = [], 0
+                ranges.append((path, start, stop))
+                held += stop - start
+        return [*out, _Ranges(ranges)]
+
+    def read(self, part: _Ranges) -> Iterator[tuple]:
+        tag, key, labels = self._settings()
         check = str(self.options.get("verify", "true")).lower() == "true"
-        with open(part.path, "rb") as f:
-            for e in d.entries[part.start : part.stop]:
-                if self.wanted is not None and e.hash != self.wanted:
-                    continue
-                f.seek(e.offset)
-                content, error = None, None
+        raises = str(self.options.get("errors", "raise")).lower() != "column"
+        for path, start, stop in part.ranges:
+            with open_file(path) as f:
+                size = f.size()
                 try:
-                    content = open_payload(d, e, f.read(e.stored + (16 * frames(e.stored) if d.encrypted else 0)), key, labels)
-                    if check:
-                        decode(e, content)
+                    head = f.read(HEADER)
+                    length = struct.unpack_from("<Q", head, 20)[0] if len(head) == HEADER else 0
+                    d = read_directory(size, head, f.read(min(length, MAX_STORED_INDEX + 16)), tag, key, labels)
                 except errors.LakeError as x:
-                    content, error = None, type(x).__name__
-                yield (part.path, d.pack_id, d.encrypted, d.root, len(d.entries), e.hash, e.kind, e.codec, e.decoded, e.stored, e.offset, content, error)
+                    if raises:
+                        raise
+                    if start == 0:
+                        yield (path, *[None] * 11, type(x).__name__)
+                    continue
+                for e in d.entries:
+                    # an empty payload may begin where the file ends
+                    if not start <= min(e.offset, size - 1) < stop or (self.wanted is not None and e.hash != self.wanted):
+                        continue
+                    f.seek(e.offset)
+                    content, error = None, None
+                    try:
+                        content = open_payload(d, e, f.read(e.stored + (16 * frames(e.stored) if d.encrypted else 0)), key, labels)
+                        if check:
+                            decode(e, content)
+                    except errors.LakeError as x:
+                        content, error = None, type(x).__name__
+                    yield (path, d.pack_id, d.encrypted, d.root, len(d.entries), e.hash, e.kind, e.codec, e.decoded, e.stored, e.offset, content, error)
 
 
 class PushdownReader(SealedReader):
@@ -387,9 +408,13 @@ class SealedPack(DataSource):
 def packs(closures, tag: bytes = DEFAULT_TAG, key: FrameKey | None = None, labels: Labels = Labels()):
     """``root_recipe, pack, error_class``: one pack for each root of ``closures`` (root_recipe, hash, kind, size, codec, content).
 
-    The objects of one pack meet in one group; the format bounds a pack's index.
+    The objects of one pack meet in one group. Roots that have too many objects or bytes
+    for a pack are told from the lengths alone; their content never meets.
     """
     import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from cairnlake.runtime import materialize
 
     def one(rows: pa.Table) -> pa.Table:
         root, pack, failed = rows.column("root_recipe")[0].as_py(), None, None
@@ -399,26 +424,20 @@ def packs(closures, tag: bytes = DEFAULT_TAG, key: FrameKey | None = None, label
             failed = type(e).__name__
         return pa.table({"root_recipe": pa.array([root], pa.binary()), "pack": pa.array([pack], pa.binary()), "error_class": pa.array([failed], pa.string())})
 
-    return closures.groupBy("root_recipe").applyInArrow(one, "root_recipe binary, pack binary, error_class string")
+    sizes = closures.groupBy("root_recipe").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+    large = materialize(sizes.filter((F.col("n") > MOST_PACKED) | (F.col("bytes") > MOST_PACK)).select("root_recipe"), "large")
+    fit = closures if large.isEmpty() else closures.join(large, "root_recipe", "left_anti")
+    made = fit.groupBy("root_recipe").applyInArrow(one, "root_recipe binary, pack binary, error_class string")
+    return made.unionAll(large.select("root_recipe", F.lit(None).cast("binary").alias("pack"), F.lit(InvalidSealed.__name__).alias("error_class")))
 
 
 def write_packs(built, folder: str):
     """Write packs into ``folder`` (shared by all executors); each is renamed into place. Returns ``root_recipe, path``."""
-    import uuid
-
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
         for b in batches:
-            paths = []
-            for root, pack in zip(b.column("root_recipe").to_pylist(), b.column("pack").to_pylist()):
-                path = os.path.join(folder, root.hex() + ".pack")
-                temporary = os.path.join(folder, "." + uuid.uuid4().hex)
-                with open(temporary, "wb") as f:
-                    f.write(pack)
-                os.replace(temporary, path)
-                paths.append(path)
+            paths = [write_file(f"{folder.rstrip('/')}/{root.hex()}.pack", pack) for root, pack in zip(b.column("root_recipe").to_pylist(), (x.as_py() for x in b.column("pack")))]
             yield pa.record_batch([b.column("root_recipe"), pa.array(paths, pa.string())], names=["root_recipe", "path"])
 
     return built.filter("error_class is null").select("root_recipe", "pack").mapInArrow(run, "root_recipe binary, path string")

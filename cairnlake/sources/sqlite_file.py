@@ -2,53 +2,74 @@
 
 ``spark.read.format("sqlitestore")`` reads one table of one or more files with the
 standard library's driver. Options: ``path`` (a file, a folder or a glob), ``table``
-(objects, file_recipe_cache, merkle_leaves, merkle_nodes or merkle_meta), ``namespace``
-and ``partitions`` (ranges of row ids for each file, default 1).
+(objects, file_recipe_cache, merkle_leaves, merkle_nodes or merkle_meta), ``namespace``,
+``columns`` (names, separated by commas; only these are read, so that payloads stay where
+they are) and ``partitions`` (ranges of row ids for each file, default 1). The driver
+opens local files only, so stores lie in a folder that all executors mount.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import sqlite3
 from collections.abc import Iterator
 
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cairnlake import schema
 from cairnlake.errors import InvalidConfig
+from cairnlake.sources.paths import list_files
 
 TABLES = {"objects": schema.OBJECTS, "file_recipe_cache": schema.CACHE, "merkle_leaves": schema.LEAVES, "merkle_nodes": schema.NODES, "merkle_meta": schema.META}
 
 
+def _columns(options: dict) -> T.StructType:
+    """The columns asked for, of the table asked for."""
+    name = options.get("table", "objects")
+    if name not in TABLES:
+        raise InvalidConfig("unknown table " + name)
+    known = {f.name: f for f in TABLES[name].fields}
+    wanted = [c.strip() for c in options.get("columns", ",".join(known)).split(",")]
+    if not set(wanted) <= known.keys():
+        raise InvalidConfig("unknown columns in " + ", ".join(wanted))
+    return T.StructType([known[c] for c in wanted])
+
+
 class _Rows(InputPartition):
-    def __init__(self, path: str, part: int, parts: int):
-        self.path, self.part, self.parts = path, part, parts
+    """Row ids from ``first`` to before ``stop``; null where a table has no rows to tell them."""
+
+    def __init__(self, path: str, first: int, stop: int):
+        self.path, self.first, self.stop = path, first, stop
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
-        self.table = options.get("table", "objects")
-        if self.table not in TABLES:
-            raise InvalidConfig("unknown table " + self.table)
-        self.name = schema.namespace(options.get("namespace")) + self.table
+        self.columns = [f.name for f in _columns(options).fields]
+        self.name = schema.namespace(options.get("namespace")) + options.get("table", "objects")
+
+    @staticmethod
+    def _connect(path: str) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
     def partitions(self) -> list[InputPartition]:
-        path = self.options["path"].removeprefix("file://")
-        paths = sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))
-        if not paths:
-            raise InvalidConfig("no file at " + path)
-        parts = max(1, int(self.options.get("partitions", "1")))
-        return [_Rows(p, i, parts) for p in paths for i in range(parts)]
+        found = list_files(self.options["path"])
+        if not found:
+            raise InvalidConfig("no file at " + self.options["path"])
+        parts, out = max(1, int(self.options.get("partitions", "1"))), []
+        for path, _ in found:
+            with self._connect(path) as c:  # both ends of the table's tree
+                least, most = c.execute(f'SELECT (SELECT min(rowid) FROM "{self.name}"), (SELECT max(rowid) FROM "{self.name}")').fetchone()
+            if least is None:
+                continue
+            step = max(1, -(-(most - least + 1) // parts))
+            out += [_Rows(path, first, first + step) for first in range(least, most + 1, step)]
+        return out or [_Rows(found[0][0], 0, 0)]
 
     def read(self, part: _Rows) -> Iterator[tuple]:
-        columns = [f.name for f in TABLES[self.table].fields]
-        with sqlite3.connect(f"file:{part.path}?mode=ro", uri=True) as connection:
-            query = f'SELECT {", ".join(columns)} FROM "{self.name}"'
-            if part.parts > 1:
-                query += f" WHERE abs(rowid) % {part.parts} = {part.part}"
-            for row in connection.execute(query):
+        with self._connect(part.path) as c:
+            query = f'SELECT {", ".join(self.columns)} FROM "{self.name}" WHERE rowid >= ? AND rowid < ?'
+            for row in c.execute(query, (part.first, part.stop)):
                 yield tuple(bytes(v) if isinstance(v, memoryview) else v for v in row)
 
 
@@ -60,7 +81,7 @@ class SqliteStore(DataSource):
         return "sqlitestore"
 
     def schema(self):
-        return TABLES[self.options.get("table", "objects")]
+        return _columns(dict(self.options))
 
     def reader(self, schema) -> DataSourceReader:
         return SqliteReader(dict(self.options))

@@ -197,21 +197,73 @@ def test_selection():
         failing("skip", 11, quick_check=lambda *_: False), failing("enc", 12, boom), failing("dec", 13, decode=boom), failing("ver", 14, decode=lambda d: d[1:]), failing("same", 15),
         failing("half", 16, lambda d: d[: len(d) // 2], lambda _: data), failing("small", 17, lambda d: d[:9], lambda _: data), failing("tie", 18, lambda d: d[:9], lambda _: data), failing("off", 19, enabled=False),
     )
-    chosen, stream, report = T.select(data, None, cases, T.Selection(pipeline=config))
-    assert chosen == (17, 1) and stream == data[:9]
+    every = {"min_size": 0, "allow_ext": None, "pipeline": config}
+    found = T.select(data, None, cases, T.Selection(**every))
+    report = found.report
+    assert found.transform == (17, 1) and found.stream.into_bytes() == data[:9] and found.plan["stored_stream_size"] == 9
     assert [r["outcome"] for r in report] == ["Skipped", "EncodeFailed", "DecodeFailed", "VerificationFailed", "InsufficientGain", "LargerCandidate", "Selected", "LargerCandidate"]
     assert set(r["outcome"] for r in report) <= set(T.OUTCOMES)
-    assert T.select(data, None, cases, T.Selection(enabled=False))[0] == T.NONE
-    assert T.select(data, None, cases, T.Selection(max_size=5))[2] == []
-    none = T.select(data, None, cases[4:5], T.Selection(pipeline=config, max_in_memory=5, allow_spill=False))
-    assert none[0] == T.NONE and none[2][0]["outcome"] == "BufferUnavailable"
+    assert T.select(data, None, cases, T.Selection(enabled=False)).transform == T.NONE
+    assert T.select(data, None, cases, T.Selection(max_size=5)).report == []
+    none = T.select(data, None, cases[4:5], T.Selection(**every, max_in_memory=5))
+    assert none.transform == T.NONE and none.report[0]["outcome"] == "BufferUnavailable" and none.plan["stored_stream_size"] == len(data)
+    # the gate: too small, an extension that is not allowed, an allowed one, and content that begins like a known container
+    outcome = lambda d, e, **k: T.select(d, e, (failing("small", 17, lambda x: x[:1], lambda _: d),), T.Selection(pipeline=config, **k)).report[0]["outcome"]
+    big = b"%PDF" + bytes(40_000)
+    assert [outcome(data, "png"), outcome(big[4:], "txt"), outcome(big[4:], "PNG"), outcome(big, None)] == ["Skipped", "Skipped", "Selected", "Selected"]
+    assert outcome(big[4:], "txt", allow_ext=("txt",)) == outcome(data, "png", min_size=5) == "Selected"
+
+
+def test_selected_stream_beyond_memory(tmp_path):
+    data = bytes(50_000)
+    case = (T.Transform(1005, 1, "half", lambda d: d[:20_000], lambda _: data),)
+    found = T.select(data, "png", case, T.Selection(max_in_memory=100, spill_folder=str(tmp_path)))
+    assert found.transform == (1005, 1) and not found.stream.in_memory and len(list(tmp_path.iterdir())) == 1
+    assert found.stream.into_bytes() == data[:20_000] and not list(tmp_path.iterdir())
+
+
+def test_decoders_stop():
+    """A stream that unpacks to more than its file has is refused before all of it is unpacked."""
+    import lzma
+    import tracemalloc
+
+    import zstandard
+
+    huge = bytes(64 << 20)
+    registry = T.Registry(T.OWN)
+    streams = {T.OWN_FIRST_ID + 1: zstandard.ZstdCompressor().compress(huge), T.OWN_FIRST_ID + 2: lzma.compress(huge, preset=0)}
+    del huge
+    for id_, stream in streams.items():
+        tracemalloc.start()
+        with pytest.raises(errors.FileReadLimitExceeded):
+            registry.decode(id_, 1, stream, 1000)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 32 << 20
+    assert registry.decode(0, 0, b"abc", 3) == b"abc"
+    with pytest.raises(errors.FileReadLimitExceeded):
+        registry.decode(0, 0, b"abc", 2)
+
+
+def test_hot_chunk_and_stored_streams(spark, monkeypatch):
+    """A chunk that every file has comes to as many parts as its entries fill."""
+    monkeypatch.setattr(X, "ENTRIES_A_PART", 3)
+    splitter = Splitter(2, 2, 2)
+    files = spark.createDataFrame([(i, b"ab" * 5 + b"%02d" % i, None) for i in range(8)], "file_id long, bytes binary, extension string")
+    p = P.plan_files(files, P.Config(splitter))
+    objects = store.first_writer_wins(P.plan_objects(p), F.col("input_ordinal"))
+    back = X.restore(p.select("recipe_hash"), objects).collect()
+    assert sorted(bytes(r.bytes) for r in back) == [b"ab" * 5 + b"%02d" % i for i in range(8)]
+    stored_ = X.read_stored_streams(p.select("recipe_hash"), objects.filter(F.col("hash") != H.digest(b"07"))).collect()
+    assert sorted((bytes(r.bytes) if r.bytes else None, r.error_class) for r in stored_ if r.bytes) == [(b"ab" * 5 + b"%02d" % i, None) for i in range(7)]
+    assert [r.error_class for r in stored_ if not r.bytes] == ["ObjectNotFound"]
 
 
 def test_transformed_ingest(spark):
     import zlib
 
     data = zlib.compress(b"some text that repeats " * 3000, 6)
-    p = T.plan_with_selection(spark.createDataFrame([(1, data, "bin")], "file_id long, bytes binary, extension string"))
+    p = T.plan_with_selection(spark.createDataFrame([(1, data, "bin")], "file_id long, bytes binary, extension string"), bounds=T.Selection(min_size=0, allow_ext=None))
     row = p.first()
     assert row.transform_id >= T.OWN_FIRST_ID
     objects = store.first_writer_wins(P.plan_objects(p), F.col("input_ordinal"))
@@ -236,17 +288,20 @@ def test_codec_columns(spark):
     assert bad.d.error_class == "Decompress"
 
 
-def test_spool_and_reader():
+def test_spool_and_reader(tmp_path):
     import io
 
     from cairnlake.functions.spool import Spool, temporary_folder
 
-    small, large = Spool(b"abc", 10), Spool(b"abc" * 10, 10)
-    assert small.in_memory and not large.in_memory and len(large) == 30
+    small, large, unbounded = Spool(b"abc", 10, tmp_path), Spool(b"abc" * 10, 10, tmp_path), Spool(b"abc" * 10, 10)
+    assert small.in_memory and not large.in_memory and len(large) == 30 and unbounded.in_memory
     large.write(b"!")
-    assert large.reader().read(3) == b"abc" and large.into_bytes() == b"abc" * 10 + b"!"
+    with large.reader() as one, large.reader() as other:
+        assert one.read(3) == other.read(3) == b"abc"
+    assert large.into_bytes() == b"abc" * 10 + b"!" and not list(tmp_path.iterdir())
+    assert unbounded.into_bytes() == b"abc" * 10 and small.into_bytes() == b"abc"
     assert H.digest_reader(io.BytesIO(b"x" * 20_000)) == H.digest(b"x" * 20_000)
-    assert temporary_folder("/a").as_posix() == "/a/cairnlake"
+    assert [temporary_folder(x, "/r") and temporary_folder(x, "/r").as_posix() for x in ("/a", "b/c", "", None)] == ["/a", "/r/b/c", None, None]
 
 
 def test_chunked_queries_against_brute_force(spark, tmp_path):

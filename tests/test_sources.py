@@ -141,7 +141,7 @@ def test_cipher():
     assert okm.hex().startswith("3cb25f25faacd57a90434f64d0362f2a")
 
 
-def test_pack_source(spark, tmp_path):
+def test_pack_source(spark, tmp_path, monkeypatch):
     spark.dataSource.register(S.SealedPack)
     roots = []
     rows = []
@@ -157,6 +157,19 @@ def test_pack_source(spark, tmp_path):
     read = spark.read.format("sealedpack").load(str(tmp_path))
     assert read.count() == 9 and read.filter("error_class is null").count() == 9
     assert {bytes(r.root_recipe) for r in read.select("root_recipe").distinct().collect()} == set(roots)
+    # ranges of bytes cut a pack between its entries, and planning opens none
+    cut = spark.read.format("sealedpack").option("partitionbytes", "60").load(str(tmp_path))
+    assert cut.rdd.getNumPartitions() > 9 and sorted(bytes(r.hash) for r in cut.collect()) == sorted(bytes(r.hash) for r in read.collect())
+    torn = tmp_path / "torn"
+    torn.mkdir()
+    (torn / "a.pack").write_bytes(next(tmp_path.glob("*.pack")).read_bytes()[:-1])
+    (torn / "b.pack").write_bytes(next(tmp_path.glob("*.pack")).read_bytes())
+    with pytest.raises(Exception, match="InvalidSealed"):
+        spark.read.format("sealedpack").load(str(torn)).count()
+    assert sorted(str(r.error_class) for r in spark.read.format("sealedpack").option("errors", "column").load(f"file://{torn}/?.pack").collect()) == ["InvalidSealed", "None", "None", "None"]
+    monkeypatch.setattr(S, "MOST_PACKED", 2)
+    assert {(r.pack, r.error_class) for r in S.packs(closures).collect()} == {(None, "InvalidSealed")}
+    monkeypatch.undo()
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for option in ("true", "false"):
         one = spark.read.format("sealedpack").option("pushdown", option).load(str(tmp_path)).filter(F.col("hash") == F.lit(rows[0][1]))
@@ -179,6 +192,11 @@ def test_sqlite(spark, tmp_path):
     rows = load(partitions="4").collect()
     assert len(rows) == 50 and {bytes(r.hash) for r in rows} == {digest(bytes([i])) for i in range(50)}
     assert load(table="file_recipe_cache").count() == 0
+    few = load(partitions="7", columns="created_at, hash")
+    assert few.columns == ["created_at", "hash"] and few.rdd.getNumPartitions() == 7 and few.filter("created_at = 5").count() == 50
+    for bad in ({"table": "nothing"}, {"columns": "hash,nothing"}):
+        with pytest.raises(Exception, match="InvalidConfig|unknown"):
+            load(**bad).count()
 
 
 def test_files(spark, tmp_path):
