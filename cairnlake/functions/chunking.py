@@ -31,6 +31,8 @@ def _gear_table() -> np.ndarray:
 
 
 GEAR = _gear_table()
+REACH = 63  # bytes before a place that its hash mixes
+WINDOW = 1 << 20  # bytes hashed at once, at eight bytes of memory each
 
 
 @dataclass(frozen=True)
@@ -51,14 +53,22 @@ class Splitter:
         n = len(data)
         if n <= self.min_size:
             return [(0, n)] if n else []
-        h = GEAR[np.frombuffer(data, np.uint8)]
-        for k in (1, 2, 4, 8, 16, 32):
-            shifted = h.copy()
-            shifted[k:] += h[:-k] << np.uint64(k)
-            h = shifted
         bits = max(1, int(round(np.log2(self.avg_size))))
         # a harder test before the average, an easier one behind it; the high bits mix the most bytes
-        hard, easy = (np.flatnonzero(h >> np.uint64(64 - min(63, b)) == 0) for b in (bits + 1, max(1, bits - 1)))
+        tests = [np.uint64(64 - min(63, b)) for b in (bits + 1, max(1, bits - 1))]
+        found: list[list[np.ndarray]] = [[], []]
+        whole = np.frombuffer(data, np.uint8)
+        for at in range(0, n, WINDOW):
+            first = max(0, at - REACH)
+            h = GEAR[whole[first : at + WINDOW]]
+            for k in (1, 2, 4, 8, 16, 32):
+                shifted = h.copy()
+                shifted[k:] += h[:-k] << np.uint64(k)
+                h = shifted
+            h = h[at - first :]
+            for places, shift in zip(found, tests):
+                places.append(np.flatnonzero(h >> shift == 0) + at)
+        hard, easy = (np.concatenate(x) for x in found)
         out, start = [], 0
         while n - start > self.min_size:
             least, usual, most = start + self.min_size, start + self.avg_size, min(n, start + self.max_size)

@@ -127,16 +127,17 @@ def check_object(hash_: bytes, kind: int, size: int, codec: str, stored: bytes)
         return None, type(e).__name__
 
 
-def verify(objects: DataFrame) -> DataFrame:
-    """``hash, kind, bytes, error_class``: decoded content, or why there is none."""
+def verify(objects: DataFrame, *beside: str) -> DataFrame:
+    """``hash, kind, bytes, error_class``: decoded content, or why there is none; columns named in ``beside`` stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [check_object(*r) for r in zip(*(b.column(c).to_pylist() for c in ("hash", "kind", "size", "codec", "content")))]
-            data, error = zip(*rows) if rows else ((), ())
-            yield pa.record_batch([b.column("hash"), b.column("kind"), pa.array(data, pa.binary()), pa.array(error, pa.string())], names=["hash", "kind", "bytes", "error_class"])
+        for b in by_bytes(batches, "content"):
+            data, error = zip(*[check_object(*r) for r in zip(*(b.column(c).to_pylist() for c in ("hash", "kind", "size", "codec", "content")))])
+            columns = [*(b.column(c) for c in beside), b.column("hash"), b.column("kind"), pa.array(data, pa.binary()), pa.array(error, pa.string())]
+            yield pa.record_batch(columns, names=[*beside, "hash", "kind", "bytes", "error_class"])
 
-    return objects.select("hash", "kind", "size", "codec", "content").mapInArrow(run, "hash binary, kind int, bytes binary, error_class string")
+    kept = "".join(f"`{c}` {objects.schema[c].dataType.simpleString()}, " for c in beside)
+    return objects.select(*beside, "hash", "kind", "size", "codec", "content").mapInArrow(run, kept + "hash binary, kind int, bytes binary, error_class string")
 
 
 def strict(verified: DataFrame) -> DataFrame:

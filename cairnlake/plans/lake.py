@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +10,9 @@ from cairnlake.functions import codec as C
 from cairnlake.functions import hashing as H
 from cairnlake.functions import recipe as R
 from cairnlake.functions.chunking import ONE_CHUNK, Splitter, chunk_spans
+from cairnlake.functions.crypto import FrameKey
 from cairnlake.operators import closure, merkle, pipeline, restore, store, transforms
-from cairnlake.runtime import materialize, table
+from cairnlake.runtime import materialize, scratch, table
 from cairnlake.sources import sealed
 from cairnlake.sources.files import extension, text_files
 
@@ -351,20 +349,17 @@ def _closures(plans: DataFrame) -> DataFrame:
     return rows.unionAll(roots).dropDuplicates(["root_recipe", "hash"])
 
 
-@_query("select doc_id, octet_length(encode(text)) bytes, true covers, true bounded from documents where text <> ''")
+@_query("select doc_id, octet_length(encode(text)) bytes, md5(text) joined, 0 outside from documents where text <> ''")
 def ingest_chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of every text: contiguous, covering, within bounds but for the last."""
-    files = _files(spark, d)
+    """Chunks of every text put together again in order, and how many of them but the last lie outside the bounds."""
+    plans = _plans(spark, d, SMALL, schema.RAW).filter(F.size("chunks") > 0)
     along = Window.partitionBy("file_id").orderBy("ordinal")  # one file's chunks
-    spans = chunk_spans(files, SMALL)
-    checked = spans.withColumn("next", F.lead("offset").over(along))
-    joined = checked.groupBy("file_id").agg(
-        F.sum("length").alias("covered"), F.bool_and(F.col("next").isNull() | (F.col("next") == F.col("offset") + F.col("length"))).alias("contiguous"), F.min("offset").alias("start"),
-        F.bool_and((F.col("length") <= SMALL.max_size) & (F.col("next").isNull() | (F.col("length") >= SMALL.min_size))).alias("bounded"),
-    )
-    sizes = files.select("file_id", F.octet_length("bytes").cast("long").alias("bytes"))
-    covers = (F.col("covered") == F.col("bytes")) & F.col("contiguous") & (F.col("start") == 0)
-    return joined.join(sizes, "file_id").select(F.col("file_id").alias("doc_id"), "bytes", covers.alias("covers"), "bounded")
+    spans = chunk_spans(_files(spark, d), SMALL).withColumn("last", F.lead("ordinal").over(along).isNull())
+    inside = F.col("length").between(F.when(F.col("last"), 1).otherwise(SMALL.min_size), SMALL.max_size)
+    outside = spans.groupBy("file_id").agg(F.count_if(~inside).alias("outside"))
+    joined = F.aggregate("chunks", F.lit(b""), lambda all_, c: F.concat(all_, c["payload"]))
+    rows = plans.select("file_id", joined.alias("joined")).join(outside, "file_id")
+    return rows.select(F.col("file_id").alias("doc_id"), F.octet_length("joined").cast("long").alias("bytes"), F.md5("joined").alias("joined"), "outside")
 
 
 _ENTROPY = "list_aggregate(regexp_extract_all(hex(encode(text)[1:65536]), '..'), 'entropy')"
@@ -418,13 +413,30 @@ def ingest_chunked_estimated_bytes(spark: SparkSession, d: str) -> DataFrame:
     return _estimated_bytes(_plans(spark, d, SMALL))
 
 
-@_query("select doc_id, text from documents where text is not null")
+def _restored(plans: DataFrame, objects: DataFrame, limits: restore.Limits = restore.Limits()) -> DataFrame:
+    """``doc_id, text, error_class`` of every file."""
+    back = restore.restore(plans.select("recipe_hash"), objects, limits=limits).select("recipe_hash", F.decode("bytes", "UTF-8").alias("text"), "error_class")
+    return plans.select(F.col("file_id").alias("doc_id"), "recipe_hash").join(back, "recipe_hash", "left").select("doc_id", "text", "error_class")
+
+
+_ALL_TEXTS = "select doc_id, text, cast(null as varchar) error_class from documents where text is not null"
+
+
+@_query(_ALL_TEXTS)
 def ingest_restore_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every text, chunked, compressed, stored once, and restored from the stored objects alone."""
     plans = _plans(spark, d, SMALL)
-    objects = materialize(store.first_writer_wins(pipeline.plan_objects(plans), F.col("input_ordinal")), "objects")
-    back = restore.restore(plans.select("recipe_hash"), objects).filter("error_class is null").select("recipe_hash", F.decode("bytes", "UTF-8").alias("text"))
-    return plans.select(F.col("file_id").alias("doc_id"), "recipe_hash").join(back, "recipe_hash").select("doc_id", "text")
+    return _restored(plans, materialize(store.first_writer_wins(pipeline.plan_objects(plans), F.col("input_ordinal")), "objects"))
+
+
+@_query(
+    """select doc_id, case when octet_length(encode(text)) <= 1000 then text end as text, case when octet_length(encode(text)) > 1000 then 'FileReadLimitExceeded' end error_class
+    from documents where text is not null"""
+)
+def restore_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The same where files of more than 1,000 bytes are over a limit: they are refused, not left out."""
+    plans = _plans(spark, d, SMALL)
+    return _restored(plans, materialize(store.first_writer_wins(pipeline.plan_objects(plans), F.col("input_ordinal")), "objects"), restore.Limits(original=1000))
 
 
 def _verified(plans: DataFrame) -> DataFrame:
@@ -432,10 +444,25 @@ def _verified(plans: DataFrame) -> DataFrame:
     return checked.agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.col("error_class").isNull()).alias("verified"))
 
 
-@_query("select count(*) objects, count(*) verified from (select distinct text t from documents where text <> '')")
+@_query(
+    """select doc_id, case when n_chars is null or n_chars < 0 then 'Integrity' when n_chars <> octet_length(encode(text)) then 'ObjectLengthMismatch' end error_class
+    from documents where text is not null"""
+)
 def ingest_verify_objects(spark: SparkSession, d: str) -> DataFrame:
-    """All stored chunks decoded and checked against length and hash."""
-    return _verified(_plans(spark, d, ONE_CHUNK))
+    """Texts as raw objects of the length that the table states for them: the lengths in characters are wrong for many."""
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("content"), F.col("n_chars").cast("long").alias("size"))
+    claimed = rows.select("doc_id", H.sha3_256("content").alias("hash"), F.lit(schema.CHUNK).alias("kind"), "size", F.lit(schema.RAW).alias("codec"), "content")
+    return store.verify(claimed, "doc_id").select("doc_id", "error_class")
+
+
+@_query(
+    """select doc_id, octet_length(encode(text)) size, octet_length(encode(text)) stored_size, cast(null as varchar) error_class from documents where text is not null and text = trim(text, ' ')
+    union all select doc_id, null, null, 'HashMismatch' from documents where text is not null and text <> trim(text, ' ')"""
+)
+def store_put_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Texts put under the hash of their trimmed form: what has blanks at an end does not have that hash."""
+    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", H.sha3_256(F.encode(F.trim("text"), "UTF-8")).alias("hash"), F.encode("text", "UTF-8").alias("bytes"))
+    return store.prepare_objects(rows, schema.CHUNK, schema.RAW).select("doc_id", "size", "stored_size", "error_class")
 
 
 @_query()
@@ -444,16 +471,13 @@ def ingest_chunked_verify_objects(spark: SparkSession, d: str) -> DataFrame:
     return _verified(_plans(spark, d, SMALL))
 
 
-@_query("select doc_id, true same, case when text = '' then 0 else 1 end not_empty from documents where text is not null")
+@_query("select doc_id, md5(text) raw, md5(text) zstd, md5(text) brotli, md5(text) auto from documents where text is not null")
 def ingest_codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every text through each codec and back, and through the automatic choice."""
     rows = _files(spark, d).filter("bytes is not null")
-    same = F.lit(True)
-    for c in (schema.RAW, schema.ZSTD, schema.BROTLI):
-        same = same & (C.decompressed(F.lit(c), C.compressed(F.lit(c), "bytes")["bytes"])["bytes"] == F.col("bytes"))
-    packed = rows.withColumn("auto", C.compressed(F.lit("auto"), "bytes")).withColumn("same", same)
-    back = C.decompressed(F.col("auto.codec"), F.col("auto.bytes"))["bytes"] == F.col("bytes")
-    return packed.select(F.col("file_id").alias("doc_id"), (F.col("same") & back).alias("same"), F.when(F.octet_length("bytes") > 0, 1).otherwise(0).alias("not_empty"))
+    codecs = {c: F.lit(c) for c in (schema.RAW, schema.ZSTD, schema.BROTLI, pipeline.AUTO)}
+    packed = rows.select("file_id", *[C.compressed(c, "bytes").alias(n) for n, c in codecs.items()])
+    return packed.select(F.col("file_id").alias("doc_id"), *[F.md5(C.decompressed(F.col(n)["codec"], F.col(n)["bytes"])["bytes"]).alias(n) for n in codecs])
 
 
 @_query(
@@ -468,19 +492,28 @@ def object_frame_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def sealed_accounting(spark: SparkSession, d: str) -> DataFrame:
-    """For each text's pack: its size, payload, recipe and container bytes; compressed index sizes have no SQL."""
+    """For each text's pack: its bytes, those of recipes, payloads and container, and what it adds to the packs of earlier texts.
+
+    A text that no pack could be made for has its error. Compressed sizes have no SQL.
+    """
     plans = _plans(spark, d, SMALL)
-    packs = sealed.packs(_closures(plans)).filter("error_class is null").select("root_recipe", F.octet_length("pack").cast("long").alias("pack_bytes"))
-    rows = _closures(plans).select("root_recipe", "kind", F.octet_length("content").cast("long").alias("n"))
-    held = rows.groupBy("root_recipe").agg(F.sum("n").alias("payload_bytes"), F.sum(F.when(F.col("kind") == schema.RECIPE, F.col("n"))).alias("recipe_bytes"))
-    # a Brotli chunk is transcoded, so the container's share is taken from the pack alone where sizes differ
-    return packs.join(held, "root_recipe").select(_hex("root_recipe"), "pack_bytes", "payload_bytes", "recipe_bytes")
+    built = materialize(sealed.packs(_closures(plans)), "packs")
+    entries = materialize(sealed.directories(built.filter("error_class is null").select("root_recipe", "pack")), "entries")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("stored_size")).otherwise(0))
+    held = entries.groupBy("root_recipe").agg(of(schema.RECIPE).alias("recipe_bytes"), of(schema.CHUNK).alias("chunk_bytes"))
+    order = plans.groupBy(F.col("recipe_hash").alias("root_recipe")).agg(F.min("file_id").alias("first_file"))
+    # a chunk counts for the first text that has it: one minimum a chunk, however many have it
+    first = entries.join(order, "root_recipe").groupBy("hash").agg(F.min(F.struct("first_file", "root_recipe", "stored_size")).alias("f"))
+    new = first.groupBy("f.root_recipe").agg(F.sum("f.stored_size").alias("new_bytes"))
+    sizes = built.select("root_recipe", F.octet_length("pack").cast("long").alias("pack_bytes"), "error_class").join(order, "root_recipe").join(held, "root_recipe", "left").join(new, "root_recipe", "left")
+    overhead = F.col("pack_bytes") - F.col("recipe_bytes") - F.col("chunk_bytes")
+    return sizes.select(_hex("root_recipe"), F.col("first_file").alias("doc_id"), "pack_bytes", "recipe_bytes", "chunk_bytes", overhead.alias("container_bytes"), F.coalesce("new_bytes", F.lit(0)).alias("new_bytes"), "error_class")
 
 
 @_query()
 def ingest_selection_report(spark: SparkSession, d: str) -> DataFrame:
     """What became of each transform on each text; zlib and lzma sizes have no SQL."""
-    return transforms.selection_report(_files(spark, d)).select(F.col("file_id").alias("doc_id"), "transform_id", "estimated_bytes", "outcome")
+    return transforms.selection_report(_files(spark, d), bounds=transforms.Selection(min_size=0, allow_ext=None)).select(F.col("file_id").alias("doc_id"), "transform_id", "estimated_bytes", "outcome")
 
 
 @_query(
@@ -512,20 +545,48 @@ def gate_check(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "ext", C.is_compressed_extension("ext").alias("compressed"), transforms.magic_match("raw").alias("magic"), gate.alias("gate"))
 
 
-@_query("select doc_id, text from documents where text is not null")
-def sealed_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """A sealed pack for every text, and the text restored from the pack's bytes alone."""
+@_query(
+    """with x as (select doc_id, octet_length(raw) size, lower(nullif(regexp_extract(url, '\\.([^./]+)$', 1), '')) ext, hex(raw) h from documents where raw is not null)
+    select doc_id, size between 256 and 1048576 and (coalesce(ext in ('html', 'htm'), false)
+      or h like '89504E470D0A1A0A%' or h like '1F8B%' or h like '504B0304%' or h like '25504446%' or h like '556E697479465300%') tried from x"""
+)
+def selection_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Which received bodies a selection tries: within the sizes, of an allowed extension or beginning like a known container."""
+    files = table(spark, d, "documents").filter("raw is not null").select(F.col("doc_id").alias("file_id"), F.col("raw").alias("bytes"), extension("url").alias("extension"))
+    bounds = transforms.Selection(min_size=256, max_size=1 << 20, allow_ext=("html", "htm"))
+    tried = transforms.selection_report(files, transforms.OWN[1:2], bounds)
+    rows = files.select("file_id").join(tried.select("file_id", "outcome"), "file_id", "left")
+    return rows.select(F.col("file_id").alias("doc_id"), F.coalesce(F.col("outcome") != "Skipped", F.lit(False)).alias("tried"))
+
+
+def _through_packs(spark: SparkSession, d: str, key: FrameKey | None, tag: bytes) -> DataFrame:
+    """A sealed pack for every text in a folder, read by its format, and the texts restored from what was read."""
     plans = _plans(spark, d, SMALL)
-    packs = sealed.packs(_closures(plans))
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for root, pack in zip(b.column("root_recipe").to_pylist(), b.column("pack").to_pylist()):
-                x = sealed.parse(pack)
-                read = {e.hash: sealed.decode(e, sealed.open_payload(x, e, sealed.raw_payload(x, e, pack), None)) for e in x.entries}
-                texts.append(b"".join(read[h] for h, _ in R.parse(read[root], root).chunks).decode())
-            yield pa.record_batch([b.column("root_recipe"), pa.array(texts, pa.string())], names=["root_recipe", "text"])
-
-    back = packs.filter("error_class is null").select("root_recipe", "pack").mapInArrow(unpack, "root_recipe binary, text string")
-    return plans.select(F.col("file_id").alias("doc_id"), F.col("recipe_hash").alias("root_recipe")).join(back, "root_recipe").select("doc_id", "text")
+    folder = scratch(spark, "sealed")
+    sealed.write_packs(sealed.packs(_closures(plans), tag, key), folder).write.format("noop").mode("overwrite").save()
+    spark.dataSource.register(sealed.SealedPack)
+    options = {"tag": tag.hex()} | ({"secret": key.secret.hex(), "slot": key.slot.hex()} if key else {})
+    read = spark.read.format("sealedpack").options(errors="column", **options).load(folder)
+    objects = read.filter("error_class is null").select("hash", "kind", "size", "stored_size", "codec", "content", F.lit(0).cast("long").alias("created_at"), "path")
+    return _restored(plans, materialize(store.first_writer_wins(objects, F.col("path")), "objects"))
+
+
+@_query(_ALL_TEXTS)
+def sealed_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text through a plain pack; what a pack lacks shows as an error."""
+    return _through_packs(spark, d, None, sealed.DEFAULT_TAG)
+
+
+@_query(_ALL_TEXTS)
+def sealed_encrypted_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text through an encrypted pack."""
+    return _through_packs(spark, d, FrameKey(b"a secret of 32 bytes for queries", b"slot of 16 bytes"), b"tag of this lake")
+
+
+@_query(f"with {_ST} select lower(hex(hash)) hash_hex, row_number() over (order by hash) - 1 pos from st where hash not in (select hash from object_deletions where hash is not null)")
+def merkle_after_delete(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of a store's own index after a deletion was committed, which rebuilds it."""
+    path = scratch(spark, "store")
+    objects = store.Store.from_dataframes(_stored(spark, d), table(spark, d, "file_recipe_cache"), path=path).rebuild_merkle().commit()
+    left = objects.transaction(lambda s: s.delete_objects(table(spark, d, "object_deletions")))
+    return left.merkle_index().leaves.select(_hex(), "pos")

@@ -52,7 +52,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BYTES_PER_PARTITION = 256 << 20
-MOST_PARTITIONS = 20_000
+MOST_PARTITIONS = 200_000
 
 
 def partitions(df: DataFrame) -> int:
@@ -102,9 +102,8 @@ def release(spark: SparkSession) -> None:
         return
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` into the shared folder and return the written table."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder, deleted with the intermediate tables."""
     prepare(spark)
     path = f"{shared_dir(spark)}/cairnlake/{tag}-{uuid.uuid4().hex}"
     app = spark.sparkContext.applicationId
@@ -112,8 +111,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         _written[app] = []
         atexit.register(release, spark)
     _written[app].append(path)
+    return path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` into the shared folder and return the written table."""
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(cpus: int = 8, shuffle: int = 8, memory: str = "4g", name: str = "cairnlake") -> SparkSession:

@@ -302,7 +302,7 @@ def reseal(pack: bytes, key: FrameKey, tag: bytes, source_tag: bytes = DEFAULT_T
 
 
 SCHEMA = "path string, pack_id binary, encrypted boolean, root_recipe binary, object_count long, hash binary, kind int, codec string, size long, stored_size long, payload_offset long, content binary, error_class string"
-BYTES_PER_PARTITION = 128 << 20
+BYTES_PER_PARTITION, PACKS_PER_PARTITION = 128 << 20, 1000
 #: bytes and objects of one pack, at most: a pack is one value of a row, and its index is bounded
 MOST_PACK, MOST_PACKED = 1 << 30, (MAX_INDEX - schema.HASH_BYTES) // _RECORD.size
 
@@ -341,7 +341,7 @@ class SealedReader(DataSourceReader):
         for path, size in found:
             for start in range(0, max(1, size), most):
                 stop = min(max(1, size), start + most)
-                if ranges and held + stop - start > most:
+                if ranges and (held + stop - start > most or len(ranges) >= PACKS_PER_PARTITION):
                     out.append(_Ranges(ranges))
                     ranges, held = [], 0
                 ranges.append((path, start, stop))
@@ -431,6 +431,21 @@ def packs(closures, tag: bytes = DEFAULT_TAG, key: FrameKey | None = None, label
     return made.unionAll(large.select("root_recipe", F.lit(None).cast("binary").alias("pack"), F.lit(InvalidSealed.__name__).alias("error_class")))
 
 
+def directories(built):
+    """``root_recipe, hash, kind, codec, size, stored_size`` of the entries of packs (root_recipe, pack), as their directories say."""
+    import pyarrow as pa
+
+    from cairnlake.functions.batches import by_bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "pack"):
+            rows = [(root, e.hash, e.kind, e.codec, e.decoded, e.stored) for root, pack in zip(b.column("root_recipe").to_pylist(), b.column("pack").to_pylist()) for e in parse(pack).entries]
+            types = (pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["root_recipe", "hash", "kind", "codec", "size", "stored_size"])
+
+    return built.mapInArrow(run, "root_recipe binary, hash binary, kind int, codec string, size long, stored_size long")
+
+
 def write_packs(built, folder: str):
     """Write packs into ``folder`` (shared by all executors); each is renamed into place. Returns ``root_recipe, path``."""
     import pyarrow as pa

@@ -333,3 +333,13 @@ def test_chunked_queries_against_brute_force(spark, tmp_path):
     assert whole.stored_bytes > 2 * s.stored_bytes
     (v,) = lake.ingest_chunked_verify_objects(spark, str(tmp_path)).collect()
     assert v.objects == v.verified == len(chunks)
+
+
+def test_windows_do_not_change_cut_points(monkeypatch):
+    from cairnlake.functions import chunking
+
+    data = random.Random(3).randbytes(300_000)
+    whole = Splitter(256, 1024, 4096).split(data)
+    for window in (64, 1000, 70_001):
+        monkeypatch.setattr(chunking, "WINDOW", window)
+        assert Splitter(256, 1024, 4096).split(data) == whole
