@@ -117,6 +117,24 @@ def brotli_window_bits(first: int) -> int:
     return 17 if n == 0 else 8 + n
 
 
+#: fixed values: dictionary sizes of LZMA streams
+DICT_SIZE_MIN, DICT_SIZE_MAX = 4096, 4_294_967_280
+
+
+def clamp_dict_size(size: str | Column) -> Column:
+    """A dictionary size within what LZMA streams allow; null stays null."""
+    column = F.col(size) if isinstance(size, str) else size
+    bounded = F.greatest(F.least(column.cast("long"), F.lit(DICT_SIZE_MAX)), F.lit(DICT_SIZE_MIN).cast("long"))
+    return F.when(column.isNotNull(), bounded)
+
+
+def window_bits(first: str | Column) -> Column:
+    """As :func:`brotli_window_bits`, of a column of first bytes; null where that would raise, or for null."""
+    b = F.col(first) if isinstance(first, str) else first
+    three, four = F.shiftright(b, 1).bitwiseAND(7), F.shiftright(b, 4).bitwiseAND(7)
+    return F.when(b.bitwiseAND(1) == 0, 16).when(three != 0, three + 17).when(four == 0, 17).when(four != 1, four + 8)
+
+
 _PACKED = T.StructType([T.StructField("codec", T.StringType()), T.StructField("bytes", T.BinaryType()), T.StructField("error_class", T.StringType())])
 _ARROW = pa.struct([("codec", pa.string()), ("bytes", pa.binary()), ("error_class", pa.string())])
 

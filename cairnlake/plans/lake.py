@@ -590,3 +590,42 @@ def merkle_after_delete(spark: SparkSession, d: str) -> DataFrame:
     objects = store.Store.from_dataframes(_stored(spark, d), table(spark, d, "file_recipe_cache"), path=path).rebuild_merkle().commit()
     left = objects.transaction(lambda s: s.delete_objects(table(spark, d, "object_deletions")))
     return left.merkle_index().leaves.select(_hex(), "pos")
+
+
+@_query(
+    """with first as (select hash, kind, created_at from base_objects where hash is not null),
+    a as (select hash, kind, created_at from (select *, row_number() over (partition by hash order by put_seq) rn from objects where hash is not null) where rn = 1),
+    b as (select hash, kind, created_at from (select *, row_number() over (partition by hash order by put_seq) rn from objects_mirror where hash is not null) where rn = 1),
+    two as (select * from first union all select * from a where hash not in (select hash from first)),
+    three as (select * from two where hash not in (select hash from object_deletions where hash is not null)),
+    four as (select * from three union all select * from b where hash not in (select hash from three))
+    select lower(hex(hash)) hash_hex, kind, created_at from four"""
+)
+def store_commits(spark: SparkSession, d: str) -> DataFrame:
+    """What a store holds after four commits: the base image, one copy's objects, the deletions, the other copy's objects."""
+    path = scratch(spark, "store")
+    put = lambda name, order: store.Store.open(spark, path).put_objects(table(spark, d, name), F.col(order)).commit()
+    put("base_objects", "created_at")
+    put("objects", "put_seq").delete_objects(table(spark, d, "object_deletions")).commit()
+    put("objects_mirror", "put_seq")
+    return store.Store.open(spark, path, read_only=True).meta().select(_hex(), "kind", "created_at")
+
+
+@_query("select distinct source, coalesce(regexp_full_match(source, '[A-Za-z0-9_]+'), false) valid from documents union select distinct replace(replace(source, '.', '_'), '-', '_'), true from documents where source is not null")
+def namespace_check(spark: SparkSession, d: str) -> DataFrame:
+    """Which hosts may name a namespace, as they are and with underscores."""
+    hosts = table(spark, d, "documents").select("source").distinct()
+    plain = F.translate("source", ".-", "__")
+    return hosts.unionAll(hosts.filter("source is not null").select(plain)).distinct().select("source", schema.is_namespace("source").alias("valid"))
+
+
+@_query(
+    """select doc_id, case when n_chars is not null then greatest(least(n_chars * 100000, 4294967280), 4096) end dict_size, cast(case when b is null then null when b & 1 = 0 then 16
+      when (b >> 1) & 7 <> 0 then 17 + ((b >> 1) & 7) when (b >> 4) & 7 = 0 then 17 when (b >> 4) & 7 <> 1 then 8 + ((b >> 4) & 7) end as integer) window_bits
+    from (select doc_id, n_chars, cast('0x' || substr(nullif(hex(raw), ''), 1, 2) as integer) b from documents)"""
+)
+def codec_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionary sizes for the stated lengths, and the Brotli windows that received bodies' first bytes would declare."""
+    first = F.conv(F.hex(F.substring("raw", 1, 1)), 16, 10).cast("int")
+    rows = table(spark, d, "documents").select("doc_id", (F.col("n_chars") * 100_000).alias("size"), first.alias("b"))
+    return rows.select("doc_id", C.clamp_dict_size("size").alias("dict_size"), C.window_bits("b").alias("window_bits"))

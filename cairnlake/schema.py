@@ -45,10 +45,20 @@ NODES = T.StructType([T.StructField("level", T.LongType()), T.StructField("pos",
 META = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 
 
+NAMESPACE = "[A-Za-z0-9_]+"
+
+
+def is_namespace(name):
+    """Whether a column's values may name a namespace; null may not."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.regexp_like(name, F.lit(f"^{NAMESPACE}\\z")), F.lit(False))
+
+
 def namespace(name: str | None) -> str:
     """The prefix of a namespace's tables: ASCII letters, digits and underscores; ``None`` has no prefix."""
     if name is None:
         return ""
-    if not re.fullmatch("[A-Za-z0-9_]+", name):
+    if not re.fullmatch(NAMESPACE, name):
         raise InvalidConfig(f"bad namespace: {name!r}")
     return name + "_"

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairnlake import errors
+from cairnlake import errors, schema
 from cairnlake.functions import codec as C
 from cairnlake.functions import hashing as H
 from cairnlake.functions import recipe as R
@@ -335,6 +335,19 @@ def test_chunked_queries_against_brute_force(spark, tmp_path):
     assert v.objects == v.verified == len(chunks)
 
 
+def test_codec_parameters(spark):
+    got = {r.b: r.w for r in spark.range(256).select(F.col("id").cast("int").alias("b"), C.window_bits(F.col("id").cast("int")).alias("w")).collect()}
+    for b in range(256):
+        try:
+            assert got[b] == C.brotli_window_bits(b)
+        except errors.DecompressError:
+            assert got[b] is None
+    sizes = spark.createDataFrame([(None,), (-1,), (4096,), (5000,), (1 << 40,)], "n long").select(C.clamp_dict_size("n").alias("n")).collect()
+    assert [r.n for r in sizes] == [None, 4096, 4096, 5000, 4_294_967_280]
+    names = spark.createDataFrame([("a_1",), ("a-b",), ("",), (None,), ("ä",), ("a\n",)], "n string").select(schema.is_namespace("n").alias("ok")).collect()
+    assert [r.ok for r in names] == [True, False, False, False, False, False]
+
+
 def test_windows_do_not_change_cut_points(monkeypatch):
     from cairnlake.functions import chunking
 

@@ -55,3 +55,9 @@ def test_entries_read_two_columns(spark):
 def test_no_cross_joins(spark, name):
     text = plan(catalogue.queries()[name](spark, DATA))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_hot_keys_do_not_meet_content(spark):
+    """Proofs join nodes by block, and a hot chunk's entries are spread before its content comes."""
+    text = plan(catalogue.queries()["merkle_proofs"](spark, DATA))
+    assert "FlatMapCoGroupsInArrow" in text or "CoGroup" in text
