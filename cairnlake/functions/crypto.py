@@ -15,10 +15,6 @@ import numpy as np
 from cairnlake.errors import AuthenticationFailed
 
 _CONSTANT = np.frombuffer(b"expand 32-byte k", "<u4")  # fixed value of the cipher
-_COLUMNS = ((0, 4, 8, 12), (1, 5, 9, 13), (2, 6, 10, 14), (3, 7, 11, 15))
-_DIAGONALS = ((0, 5, 10, 15), (1, 6, 11, 12), (2, 7, 8, 13), (3, 4, 9, 14))
-
-
 def hkdf_sha256(salt: bytes, secret: bytes, info: bytes, length: int) -> bytes:
     key = hmac.new(salt, secret, hashlib.sha256).digest()
     out, block, i = b"", b"", 1
@@ -32,26 +28,38 @@ def _rotate(x: np.ndarray, by: int) -> np.ndarray:
     return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
 
 
+def _quarter_rounds(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One quarter round in each of four columns, of all blocks."""
+    for turn, other in ((16, 12), (8, 7)):
+        a = a + b
+        d = _rotate(d ^ a, turn)
+        c = c + d
+        b = _rotate(b ^ c, other)
+    return a, b, c, d
+
+
 def _blocks(key: bytes, nonce: bytes, first: int, count: int) -> bytes:
+    """The key stream of so many blocks."""
     start = np.empty((16, count), np.uint32)
     start[:4] = _CONSTANT[:, None]
     start[4:12] = np.frombuffer(key, "<u4")[:, None]
     start[12] = (first + np.arange(count, dtype=np.uint64)).astype(np.uint32)
     start[13:] = np.frombuffer(nonce, "<u4")[:, None]
-    x = start.copy()
-    for i in range(20):
-        for a, b, c, d in _DIAGONALS if i % 2 else _COLUMNS:
-            for p, q, r, by in ((a, b, d, 16), (c, d, b, 12), (a, b, d, 8), (c, d, b, 7)):
-                x[p] += x[q]
-                x[r] = _rotate(x[r] ^ x[p], by)
-    return (x + start).T.astype("<u4").tobytes()
+    a, b, c, d = start.reshape(4, 4, count)
+    turned = [np.roll(np.arange(4), -k) for k in range(4)]
+    for _ in range(10):
+        a, b, c, d = _quarter_rounds(a, b, c, d)
+        a, b, c, d = _quarter_rounds(a, b[turned[1]], c[turned[2]], d[turned[3]])  # diagonals
+        b, c, d = b[turned[3]], c[turned[2]], d[turned[1]]
+    return (np.concatenate([a, b, c, d]) + start).T.astype("<u4").tobytes()
+
+
+def _xor(data: bytes, stream: bytes) -> bytes:
+    return (np.frombuffer(data, np.uint8) ^ np.frombuffer(stream, np.uint8, len(data))).tobytes()
 
 
 def chacha20(key: bytes, nonce: bytes, data: bytes, first: int = 1) -> bytes:
-    if not data:
-        return b""
-    stream = np.frombuffer(_blocks(key, nonce, first, -(-len(data) // 64)), np.uint8, len(data))
-    return (np.frombuffer(data, np.uint8) ^ stream).tobytes()
+    return _xor(data, _blocks(key, nonce, first, -(-len(data) // 64))) if data else b""
 
 
 def poly1305(key: bytes, data: bytes) -> bytes:
@@ -63,21 +71,29 @@ def poly1305(key: bytes, data: bytes) -> bytes:
     return ((total + int.from_bytes(key[16:], "little")) & ((1 << 128) - 1)).to_bytes(16, "little")
 
 
-def _tag(key: bytes, nonce: bytes, sealed: bytes, aad: bytes) -> bytes:
+def _tag(one_time: bytes, sealed: bytes, aad: bytes) -> bytes:
     pad = lambda x: x + bytes(-len(x) % 16)
-    return poly1305(_blocks(key, nonce, 0, 1)[:32], pad(aad) + pad(sealed) + struct.pack("<QQ", len(aad), len(sealed)))
+    return poly1305(one_time, pad(aad) + pad(sealed) + struct.pack("<QQ", len(aad), len(sealed)))
+
+
+def _stream(key: bytes, nonce: bytes, size: int) -> tuple[bytes, bytes]:
+    """(the authenticator's key, which is block 0, the key stream of the data behind it)."""
+    stream = _blocks(key, nonce, 0, 1 - (-size // 64))
+    return stream[:32], stream[64:]
 
 
 def seal(key: bytes, nonce: bytes, data: bytes, aad: bytes) -> tuple[bytes, bytes]:
     """(sealed bytes, tag)."""
-    sealed = chacha20(key, nonce, data)
-    return sealed, _tag(key, nonce, sealed, aad)
+    one_time, stream = _stream(key, nonce, len(data))
+    sealed = _xor(data, stream)
+    return sealed, _tag(one_time, sealed, aad)
 
 
 def unseal(key: bytes, nonce: bytes, sealed: bytes, tag: bytes, aad: bytes) -> bytes:
-    if not hmac.compare_digest(_tag(key, nonce, sealed, aad), tag):
+    one_time, stream = _stream(key, nonce, len(sealed))
+    if not hmac.compare_digest(_tag(one_time, sealed, aad), tag):
         raise AuthenticationFailed
-    return chacha20(key, nonce, sealed)
+    return _xor(sealed, stream)
 
 
 class FrameKey:

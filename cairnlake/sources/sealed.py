@@ -302,7 +302,7 @@ def reseal(pack: bytes, key: FrameKey, tag: bytes, source_tag: bytes = DEFAULT_T
 
 
 SCHEMA = "path string, pack_id binary, encrypted boolean, root_recipe binary, object_count long, hash binary, kind int, codec string, size long, stored_size long, payload_offset long, content binary, error_class string"
-BYTES_PER_PARTITION, PACKS_PER_PARTITION = 128 << 20, 1000
+BYTES_PER_PARTITION, PACKS_PER_PARTITION = 128 << 20, 200
 #: bytes and objects of one pack, at most: a pack is one value of a row, and its index is bounded
 MOST_PACK, MOST_PACKED = 1 << 30, (MAX_INDEX - schema.HASH_BYTES) // _RECORD.size
 
