@@ -78,6 +78,11 @@ def lookup(objects: DataFrame, value: bytes) -> DataFrame:
     return objects.filter(F.col("hash") == F.lit(value))
 
 
+def read_object(objects: DataFrame, value: bytes) -> DataFrame:
+    """``hash, kind, bytes`` of one hash, decoded and checked; no row where it is not stored, an error where it is not sound."""
+    return strict(verify(lookup(objects, value)))
+
+
 def chunk_sizes(objects: DataFrame) -> DataFrame:
     """``hash, stored_size`` of all chunks; payloads are not read."""
     return objects.filter(F.col("kind") == schema.CHUNK).select("hash", "stored_size")

@@ -413,9 +413,9 @@ def ingest_chunked_estimated_bytes(spark: SparkSession, d: str) -> DataFrame:
     return _estimated_bytes(_plans(spark, d, SMALL))
 
 
-def _restored(plans: DataFrame, objects: DataFrame, limits: restore.Limits = restore.Limits()) -> DataFrame:
+def _restored(plans: DataFrame, objects: DataFrame, limits: restore.Limits = restore.Limits(), registry: transforms.Registry | None = None) -> DataFrame:
     """``doc_id, text, error_class`` of every file."""
-    back = restore.restore(plans.select("recipe_hash"), objects, limits=limits).select("recipe_hash", F.decode("bytes", "UTF-8").alias("text"), "error_class")
+    back = restore.restore(plans.select("recipe_hash"), objects, registry, limits).select("recipe_hash", F.decode("bytes", "UTF-8").alias("text"), "error_class")
     return plans.select(F.col("file_id").alias("doc_id"), "recipe_hash").join(back, "recipe_hash", "left").select("doc_id", "text", "error_class")
 
 
@@ -559,11 +559,13 @@ def selection_gate(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("file_id").alias("doc_id"), F.coalesce(F.col("outcome") != "Skipped", F.lit(False)).alias("tried"))
 
 
-def _through_packs(spark: SparkSession, d: str, key: FrameKey | None, tag: bytes) -> DataFrame:
-    """A sealed pack for every text in a folder, read by its format, and the texts restored from what was read."""
-    plans = _plans(spark, d, SMALL)
+KEY, TAG = FrameKey(b"a secret of 32 bytes for queries", b"slot of 16 bytes"), b"tag of this lake"
+
+
+def _through_packs(spark: SparkSession, plans: DataFrame, built: DataFrame, key: FrameKey | None, tag: bytes) -> DataFrame:
+    """The texts restored from what the format reads of packs in a folder; what a pack lacks shows as an error."""
     folder = scratch(spark, "sealed")
-    sealed.write_packs(sealed.packs(_closures(plans), tag, key), folder).write.format("noop").mode("overwrite").save()
+    sealed.write_packs(built, folder).write.format("noop").mode("overwrite").save()
     spark.dataSource.register(sealed.SealedPack)
     options = {"tag": tag.hex()} | ({"secret": key.secret.hex(), "slot": key.slot.hex()} if key else {})
     read = spark.read.format("sealedpack").options(errors="column", **options).load(folder)
@@ -573,14 +575,32 @@ def _through_packs(spark: SparkSession, d: str, key: FrameKey | None, tag: bytes
 
 @_query(_ALL_TEXTS)
 def sealed_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Every text through a plain pack; what a pack lacks shows as an error."""
-    return _through_packs(spark, d, None, sealed.DEFAULT_TAG)
+    """Every text through a plain pack."""
+    plans = _plans(spark, d, SMALL)
+    return _through_packs(spark, plans, sealed.packs(_closures(plans)), None, sealed.DEFAULT_TAG)
 
 
 @_query(_ALL_TEXTS)
 def sealed_encrypted_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every text through an encrypted pack."""
-    return _through_packs(spark, d, FrameKey(b"a secret of 32 bytes for queries", b"slot of 16 bytes"), b"tag of this lake")
+    plans = _plans(spark, d, SMALL)
+    return _through_packs(spark, plans, sealed.packs(_closures(plans), TAG, KEY), KEY, TAG)
+
+
+@_query(_ALL_TEXTS)
+def sealed_resealed_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text through a plain pack that was encrypted later."""
+    plans = _plans(spark, d, SMALL)
+    return _through_packs(spark, plans, sealed.resealed(sealed.packs(_closures(plans)), KEY, TAG), KEY, TAG)
+
+
+@_query(_ALL_TEXTS)
+def transformed_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Every text by the transform that saves most, stored once, and restored by the transforms' decoders."""
+    bounds = transforms.Selection(min_size=0, allow_ext=None, pipeline=pipeline.Config(SMALL))
+    plans = materialize(transforms.plan_with_selection(_files(spark, d), bounds=bounds), "plans")
+    objects = materialize(store.first_writer_wins(pipeline.plan_objects(plans), F.col("input_ordinal")), "objects")
+    return _restored(plans, objects, registry=transforms.Registry(transforms.OWN))
 
 
 @_query(f"with {_ST} select lower(hex(hash)) hash_hex, row_number() over (order by hash) - 1 pos from st where hash not in (select hash from object_deletions where hash is not null)")

@@ -446,6 +446,26 @@ def directories(built):
     return built.mapInArrow(run, "root_recipe binary, hash binary, kind int, codec string, size long, stored_size long")
 
 
+def resealed(built, key: FrameKey, tag: bytes, source_tag: bytes = DEFAULT_TAG, labels: Labels = Labels()):
+    """``root_recipe, pack, error_class``: plain packs (root_recipe, pack) encrypted, their payloads copied as they are."""
+    import pyarrow as pa
+
+    from cairnlake.functions.batches import by_bytes
+
+    def one(pack: bytes | None) -> tuple[bytes | None, str | None]:
+        try:
+            return reseal(pack or b"", key, tag, source_tag, labels), None
+        except errors.LakeError as e:
+            return None, type(e).__name__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "pack"):
+            packs_, failed = zip(*map(one, b.column("pack").to_pylist()))
+            yield pa.record_batch([b.column("root_recipe"), pa.array(packs_, pa.binary()), pa.array(failed, pa.string())], names=["root_recipe", "pack", "error_class"])
+
+    return built.select("root_recipe", "pack").mapInArrow(run, "root_recipe binary, pack binary, error_class string")
+
+
 def write_packs(built, folder: str):
     """Write packs into ``folder`` (shared by all executors); each is renamed into place. Returns ``root_recipe, path``."""
     import pyarrow as pa

@@ -1,5 +1,7 @@
 """Tables of SQLite store files.
 
+``df.write.format("sqlitestore")`` creates the tables of a namespace and writes rows of
+one, a file for each partition, which appear when all are written.
 ``spark.read.format("sqlitestore")`` reads one table of one or more files with the
 standard library's driver. Options: ``path`` (a file, a folder or a glob), ``table``
 (objects, file_recipe_cache, merkle_leaves, merkle_nodes or merkle_meta), ``namespace``,
@@ -10,11 +12,15 @@ opens local files only, so stores lie in a folder that all executors mount.
 
 from __future__ import annotations
 
+import os
 import sqlite3
+import uuid
 from collections.abc import Iterator
+from contextlib import closing
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from cairnlake import schema
 from cairnlake.errors import InvalidConfig
@@ -73,6 +79,59 @@ class SqliteReader(DataSourceReader):
                 yield tuple(bytes(v) if isinstance(v, memoryview) else v for v in row)
 
 
+_TYPES = {T.BinaryType: "BLOB", T.StringType: "TEXT", T.IntegerType: "INTEGER", T.LongType: "INTEGER"}
+_KEYS = {"objects": "hash", "file_recipe_cache": "file_hash", "merkle_leaves": "hash", "merkle_nodes": "level, pos", "merkle_meta": "key"}
+
+
+def create_tables(connection: sqlite3.Connection, namespace: str | None = None) -> None:
+    """The tables of a namespace, where they are not there yet."""
+    prefix = schema.namespace(namespace)
+    for name, columns in TABLES.items():
+        typed = ", ".join(f"{f.name} {_TYPES[type(f.dataType)]}" for f in columns.fields)
+        connection.execute(f'CREATE TABLE IF NOT EXISTS "{prefix}{name}" ({typed}, PRIMARY KEY ({_KEYS[name]}))')
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    temporary: str
+    path: str
+
+
+class SqliteWriter(DataSourceWriter):
+    """Rows into files of their own; the first row of a key stays."""
+
+    def __init__(self, options: dict, columns: T.StructType):
+        self.options, self.columns = options, [f.name for f in columns.fields]
+        known = _columns({"table": options.get("table", "objects")}).fieldNames()
+        if not set(self.columns) <= set(known):
+            raise InvalidConfig("unknown columns in " + ", ".join(self.columns))
+        schema.namespace(options.get("namespace"))
+
+    def write(self, rows: Iterator[T.Row]) -> WriterCommitMessage:
+        folder = self.options["path"].removeprefix("file://")
+        os.makedirs(folder, exist_ok=True)
+        name = f"part-{uuid.uuid4().hex}.db"
+        temporary, path = os.path.join(folder, "." + name), os.path.join(folder, name)
+        with closing(sqlite3.connect(temporary)) as c:
+            create_tables(c, self.options.get("namespace"))
+            table = schema.namespace(self.options.get("namespace")) + self.options.get("table", "objects")
+            marks = ", ".join("?" * len(self.columns))
+            values = (tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in rows)
+            c.executemany(f'INSERT OR IGNORE INTO "{table}" ({", ".join(self.columns)}) VALUES ({marks})', values)
+            c.commit()
+        return _Written(temporary, path)
+
+    def commit(self, messages) -> None:
+        for m in messages:
+            if m is not None:
+                os.replace(m.temporary, m.path)
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.temporary):
+                os.remove(m.temporary)
+
+
 class SqliteStore(DataSource):
     """The ``sqlitestore`` format; register with ``spark.dataSource.register(SqliteStore)``."""
 
@@ -85,3 +144,6 @@ class SqliteStore(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return SqliteReader(dict(self.options))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return SqliteWriter(dict(self.options), schema)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairnlake import errors
+from cairnlake import errors, schema
 from cairnlake.functions import codec as C
 from cairnlake.functions import crypto as K
 from cairnlake.functions import recipe as R
@@ -199,6 +199,18 @@ def test_sqlite(spark, tmp_path):
             load(**bad).count()
 
 
+def test_sqlite_write(spark, tmp_path):
+    spark.dataSource.register(SqliteStore)
+    folder = str(tmp_path / "out")
+    rows = spark.createDataFrame([(bytes([i % 40]), 1, 1, 1, "raw", bytes([i]), i) for i in range(50)], schema.OBJECTS)
+    rows.repartition(3, "hash").write.format("sqlitestore").options(namespace="ns").mode("append").save(folder)
+    load = lambda **o: spark.read.format("sqlitestore").options(namespace="ns", **o).load(folder)
+    assert {bytes(r.hash) for r in load().collect()} == {bytes([i]) for i in range(40)} and load().count() == 40
+    assert load(table="merkle_nodes").count() == 0  # all tables are there
+    with pytest.raises(Exception, match="InvalidConfig|unknown"):
+        rows.withColumnRenamed("size", "sizes").write.format("sqlitestore").mode("append").save(folder)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.PDF").write_bytes(b"%PDF")
     (tmp_path / "sub").mkdir()

@@ -47,6 +47,7 @@ def test_lookups(spark):
     order = sorted([digest(b"a"), digest(b"b")])
     assert [bytes(r.hash) for r in store.page(s.objects, None, 5).collect()] == order
     assert [bytes(r.hash) for r in store.page(s.objects, order[0], 5).collect()] == order[1:]
+    assert [bytes(r.bytes) for r in store.read_object(s.objects, digest(b"a")).collect()] == [b"a"] and store.read_object(s.objects, b"").count() == 0
     assert store.lookup(s.objects, digest(b"a")).count() == 1 and store.lookup(s.objects, b"").count() == 0
 
 
@@ -59,6 +60,8 @@ def test_verify_errors(spark):
     read = store.verify(objects(spark, *rows, *bad)).collect()
     assert [r.error_class for r in read] == [None] * 4 + ["Decompress", "ObjectLengthMismatch", "ObjectHashMismatch", "Integrity", "InvalidCodec", "Integrity", "InvalidCodec", "Decompress"]
     assert bytes(read[2].bytes) == b"b" * 900 and bytes(read[3].bytes) == b""
+    with pytest.raises(Exception, match="ObjectLengthMismatch"):
+        store.read_object(objects(spark, bad[1]), bad[1][0]).collect()
     with pytest.raises(Exception, match="ObjectLengthMismatch"):
         store.strict(store.verify(objects(spark, bad[1]))).collect()
 
