@@ -24,11 +24,16 @@ def put_files(store: Store, files: DataFrame, config: P.Config = P.Config(), now
     return store.put_objects(P.plan_objects(plans, now), F.col("input_ordinal")).put_cache(cache, ["updated_at", "file_id"])
 
 
-def ingest_stream(files: DataFrame, path: str, checkpoint: str, namespace: str | None = None, config: P.Config = P.Config()) -> StreamingQuery:
-    """Start ingesting a streaming DataFrame (file_id, bytes, extension) into the store in ``path``, all that is available."""
+def ingest_stream(files: DataFrame, path: str, checkpoint: str, namespace: str | None = None, config: P.Config = P.Config(), compact_after: int = 1000) -> StreamingQuery:
+    """Start ingesting a streaming DataFrame (file_id, bytes, extension) into the store in ``path``, all that is available.
+
+    After so many commits the store is written as one, so that readers do not meet ever more files.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark: SparkSession = rows.sparkSession
-        put_files(Store.open(spark, path, namespace), rows, config).commit()
+        store = put_files(Store.open(spark, path, namespace), rows, config).commit()
+        if len(store.commits) >= compact_after:
+            store.compact()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -231,3 +231,6 @@ def test_stream_is_idempotent(spark, tmp_path):
     stream("two")  # all over again
     assert {bytes(r.hash) for r in Store.open(spark, path).meta().collect()} == first
     assert put_files(Store.empty(spark), rows, P.Config()).objects.count() == 14
+    ingest_stream(spark.readStream.schema(rows.schema).parquet(str(source)), path, str(tmp_path / "three"), compact_after=1).awaitTermination()
+    store = Store.open(spark, path)
+    assert len(store.commits) == 1 and {bytes(r.hash) for r in store.meta().collect()} == first and store.cache.count() == 7
