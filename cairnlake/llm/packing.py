@@ -165,7 +165,9 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = sizes.sparkSession
     # one row a size: at most capacity + 1
-    histogram = {r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max("pid").alias("last")).collect()
+    histogram = {r["size"]: r["n"] for r in rows}
+    most_counts = len(rows) * (max((r["last"] for r in rows), default=0) + 1)
     steps, total = best_fit(histogram, capacity)
     columns = np.array(sorted(steps), np.int64).reshape(-1, 5)
     bounds = np.searchsorted(columns[:, 0], np.arange(capacity + 2))
@@ -178,8 +180,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fulls = sizes.groupBy("pid").agg(F.sum(whole).cast("long").alias("n"))
     over = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     fulls = fulls.select("pid", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("fulls_before"))
-    counts, fulls = materialize(counts, "counts"), materialize(fulls, "fulls")
-    if counts.count() <= MOST_COUNTS:
+    if most_counts <= MOST_COUNTS:
         counts, fulls = F.broadcast(counts), F.broadcast(fulls)  # no more partitions than counts
     placed = sizes.join(counts, ["size", "pid"]).join(fulls, "pid")
     placed = placed.select("doc_id", "tokens", "size", (F.col("rank") + F.col("ranks_before")).alias("place"), (F.col("full_before") + F.col("fulls_before")).alias("full_place"))

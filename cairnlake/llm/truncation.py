@@ -472,14 +472,16 @@ def ends(documents: DataFrame, most_broadcast: int = furniture.MOST_BROADCAST) -
     spark: SparkSession = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     counts = materialize(documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, _COUNTED), "counts")
-    known = materialize(furniture.units(counts), "furniture")
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
-    many, longest = known.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0)).cast("int")).first()
     id_type, shared = to_arrow_type(documents.schema["doc_id"].dataType), None
-    if many <= most_broadcast:
-        few = known.toPandas()
+    known = furniture.units(counts)
+    few = known.limit(most_broadcast + 1).toPandas()
+    if len(few) <= most_broadcast:
+        longest = int(few["size"].max()) if len(few) else 0
         shared = spark.sparkContext.broadcast([r.tolist() for r in few[Units.COLUMNS].to_numpy()])
     else:
+        known = materialize(known, "furniture")
+        longest = known.agg(F.max("size").cast("int")).first()[0]
         parts = rows.select("text").mapInArrow(_parts(longest), "text_key long, key long").join(known, "key")
         mine = parts.distinct().groupBy("text_key").agg(F.collect_list(F.struct(*Units.COLUMNS)).alias("known"))
         keyed = rows.mapInArrow(_with_text_key, f"doc_id {kind}, source string, text string, n_chars long, text_key long")
