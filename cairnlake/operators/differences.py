@@ -26,6 +26,7 @@ Defined results:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -245,12 +246,16 @@ def _among(found: DataFrame, rows: Sequence[DataFrame]) -> list[DataFrame]:
 
     The bitmap has some slots a key, up to a bound: beyond it more rows pass, none is lost.
     """
-    spark = found.sparkSession
-    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SLOTS_A_KEY * found.count()).bit_length()))
-    taken = found.select(F.col("h").bitwiseAND(F.lit(slots - 1).cast("long")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
-    words = taken.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()  # a word at most for each 64 slots
+    spark, n = found.sparkSession, found.count()
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SLOTS_A_KEY * n).bit_length()))
     bitmap = np.zeros(slots // 64, np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    if n <= len(bitmap):  # fewer hashes than words
+        slot = found.toArrow().column("h").to_numpy() & (slots - 1)
+        np.bitwise_or.at(bitmap, slot >> 6, np.left_shift(1, slot & 63))
+    else:
+        taken = found.select(F.col("h").bitwiseAND(F.lit(slots - 1).cast("long")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+        words = taken.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()  # a word at most for each 64 slots
+        bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = spark.sparkContext.broadcast(bitmap)
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +303,10 @@ def summary_differences(summaries: DataFrame) -> DataFrame:
 
 def found(objects: DataFrame, mirror: DataFrame, summaries: DataFrame) -> DataFrame:
     """All differences of both data sets: ``ds, row_key, field``."""
-    x = object_differences(objects, mirror).select(F.lit("objects").alias("ds"), F.lower(F.hex("row_key")).alias("row_key"), "field")
-    y = summary_differences(summaries).select(F.lit("summaries").alias("ds"), F.col("row_key").cast("string").alias("row_key"), "field")
+    with ThreadPoolExecutor(2) as both:  # the two first passes need not wait for each other
+        x, y = both.submit(object_differences, objects, mirror), both.submit(summary_differences, summaries)
+    x = x.result().select(F.lit("objects").alias("ds"), F.lower(F.hex("row_key")).alias("row_key"), "field")
+    y = y.result().select(F.lit("summaries").alias("ds"), F.col("row_key").cast("string").alias("row_key"), "field")
     return x.unionAll(y)
 
 

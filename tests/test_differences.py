@@ -53,6 +53,14 @@ def test_random_with_hot_key(spark):
     check(spark, rows(), rows())
 
 
+def test_more_differences_than_words(spark, monkeypatch):
+    """Where differing keys outnumber the bitmap's words, it is put together before it comes to the driver."""
+    monkeypatch.setattr(X, "LEAST_SLOTS", 128)
+    monkeypatch.setattr(X, "MOST_SLOTS", 128)
+    row = lambda h, kind: (h, 1, 1, kind, 1, 1, "raw", None, 1, "x", "y", 1)
+    check(spark, [row(b"%d" % i, 1) for i in range(60)], [row(b"%d" % i, 1 + i % 2) for i in range(20, 90)])
+
+
 def test_summaries(spark):
     s = "pack_id long, side string, root binary, leaf_count long, computed_at long"
     rows = [(1, "a", b"x", 1, 5), (1, "a", b"y", 1, 9), (1, "a", b"y", 1, 9), (1, "b", b"y", 2, 1), (2, "a", None, 1, 1), (2, "b", None, 1, 1), (3, "b", b"q", 1, 1), (4, "a", None, 3, 1), (4, "b", b"z", 3, 1)]
