@@ -12,7 +12,7 @@ from cairnlake.functions import recipe as R
 from cairnlake.functions.chunking import ONE_CHUNK, Splitter, chunk_spans
 from cairnlake.functions.crypto import FrameKey
 from cairnlake.operators import closure, merkle, pipeline, restore, store, transforms
-from cairnlake.runtime import materialize, scratch, table
+from cairnlake.runtime import materialize, scratch, spread, table
 from cairnlake.sources import sealed
 from cairnlake.sources.files import extension, text_files
 
@@ -330,7 +330,7 @@ def object_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return text_files(table(spark, d, "documents"), "doc_id", "text")
+    return text_files(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _plans(spark: SparkSession, d: str, splitter: Splitter, policy: str = pipeline.AUTO) -> DataFrame:

@@ -68,6 +68,13 @@ def partitions(df: DataFrame) -> int:
     return max(1, least, min(MOST_PARTITIONS, known // BYTES_PER_PARTITION))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its scan has splits for half of them at most; otherwise as it is, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores
+    return df.repartition(cores) if few else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
