@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.llm.batches import by_text
 from cairnlake.llm.tokens import VOCABULARY, encoder
-from cairnlake.runtime import materialize
+from cairnlake.runtime import materialize, spread
 
 CAPACITY = 2048
 MOST_COUNTS = 250_000  # 10 MB
@@ -71,7 +71,7 @@ def sized(documents: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY
             yield pa.record_batch([b.column("doc_id"), *columns], names=["doc_id", "tokens", "size", "pid", "rank", "full_before"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, _SIZED.format(kind))
+    rows = spread(documents.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(run, _SIZED.format(kind))
     return materialize(rows, "sizes")
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.batches import by_text
+from cairnlake.runtime import spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 REMEMBERED = 400_000
@@ -233,4 +234,5 @@ def encode(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    rows = spread(documents.select("doc_id", F.col("text").cast("string").alias("text")))
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")

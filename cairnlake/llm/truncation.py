@@ -46,7 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from cairnlake.llm import furniture
 from cairnlake.llm.batches import by_text
 from cairnlake.llm.furniture import BREAK, EDGE, SIGN, STOP, TOKEN, WORD, Counts, Units, Vocabulary
-from cairnlake.runtime import materialize
+from cairnlake.runtime import materialize, spread
 
 # parameters of the baselines
 NEAR = 15  # a limit that backs up to a word or a whole character ends texts over so many lengths
@@ -471,7 +471,7 @@ def ends(documents: DataFrame, most_broadcast: int = furniture.MOST_BROADCAST) -
     """
     spark: SparkSession = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
-    counts = materialize(documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, _COUNTED), "counts")
+    counts = materialize(spread(documents.select(F.col("text").cast("string").alias("text"))).mapInArrow(_count, _COUNTED), "counts")
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
     id_type, shared = to_arrow_type(documents.schema["doc_id"].dataType), None
     known = furniture.units(counts)
@@ -487,7 +487,7 @@ def ends(documents: DataFrame, most_broadcast: int = furniture.MOST_BROADCAST) -
         keyed = rows.mapInArrow(_with_text_key, f"doc_id {kind}, source string, text string, n_chars long, text_key long")
         rows = keyed.join(mine, "text_key", "left").drop("text_key")
     features = _features(kind, id_type, shared, longest)
-    return materialize(rows.mapInArrow(features, _FEATURES.format(kind)), "ends"), counts
+    return materialize((spread(rows) if shared else rows).mapInArrow(features, _FEATURES.format(kind)), "ends"), counts
 
 
 def _with_text_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
