@@ -68,6 +68,7 @@ SHORT_LINE = 75  # longer lines begin the main content
 _CLOSERS = {"”": "“„", "»": "«", ")": "(", "]": "[", "}": "{", "」": "「", "』": "『"}
 _OPENERS = set("“„«([{「『")
 _DELIMITER = re.compile("[“”„«»()\\[\\]{}「」『』\"]|<!--|-->")
+_OPENING = re.compile("[“„«(\\[{「『\"]|<!--")
 _SENTENCE_END = re.compile("[.!?。？！…][”“\"»’')\\]]*\\s|\n")
 _STOPS = re.compile("[.!?。？！]")
 _ENDS, _BEHIND = ".!?。？！…‽", "”“\"»’'‘)]}」』*"
@@ -296,13 +297,16 @@ def read_end(text: str, n_chars: int | None, units: Units = _NOTHING) -> tuple[i
         prose = _is_prose(fragment[-80:]) and len(fragment.split()) >= 2
         return ASK, prose, True, [(rest[rest.rfind("\n") + 1 :], prose)], bare[:measured], False, end
     open_, stops, ends, at = False, False, [], end
-    stack = None if garbled else structure(main)
+    stack = None
     seen: set[str] = set()
     while True:  # the look back ends at a line that is not short
         start = main.rfind("\n", 0, at) + 1
         line = main[start:at]
         begin = _fragment_start(main, start, at)
-        left = [s for s, p in stack if begin <= p < at] if stack else []
+        left: list[str] = []
+        if not garbled and _OPENING.search(main, begin, at):  # what the last sentence may leave open
+            stack = structure(main) if stack is None else stack
+            left = [s for s, p in stack if begin <= p < at]
         fragment = main[begin:at].strip()
         if _terminated(line):
             # a quote that opened in the last sentence and never closed
@@ -364,7 +368,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tokens.append("\x00")
         exact, norm, shape, first, kind, flags = v.read(tokens)
         for what, counted in furniture.line_counts(exact, norm, first, kind, flags).items():
-            lines.setdefault(what, Counts(tuple(furniture.COUNTS))).add(*counted)
+            lines.setdefault(what, Counts(tuple(furniture.COUNTS), 500_000)).add(*counted)
         said = kind != SIGN
         exact, norm, shape, kind = exact[said], norm[said], shape[said], kind[said]
         # the words that something follows: how often is it a stop or a line end
