@@ -90,11 +90,17 @@ def _with_content(entries: DataFrame, objects: DataFrame) -> DataFrame:
     hot = used.filter("parts > 1")  # each has more than ENTRIES_A_PART entries
     if hot.isEmpty():
         return entries.join(read, "hash", "left")
-    many = entries.join(hot, "hash", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("recipe_hash", "ordinal"), F.col("parts").cast("long")), F.lit(0))).drop("parts")
+    many = _in_parts(entries, hot)
     copies = read.join(hot, "hash", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("long")))).drop("parts")
     return many.join(copies, ["hash", "part"], "left").drop("part")
 
 
+def _in_parts(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """``entries`` with the ``part`` of their chunk's entries that each belongs to; ``hot`` has hashes and their ``parts``."""
+    spread = F.pmod(F.xxhash64("recipe_hash", "ordinal"), F.col("parts").cast("long"))
+    return entries.join(hot, "hash", "left").withColumn("part", F.coalesce(spread, F.lit(0).cast("long"))).drop("parts")
+
+
 def _parts(wanted: DataFrame, objects: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """The wanted recipes, and ``recipe_hash, parts``: the content of their chunks in order, or what is wrong with them."""
     loaded = load_recipes(wanted, objects, limits)

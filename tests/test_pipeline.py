@@ -245,6 +245,14 @@ def test_decoders_stop():
         registry.decode(0, 0, b"abc", 2)
 
 
+def test_a_chunk_with_half_of_all_entries_is_spread(spark):
+    entries = spark.range(4000).select(F.encode(F.format_string("%04d", F.col("id") % 97), "UTF-8").alias("recipe_hash"), F.col("id").cast("int").alias("ordinal"), F.when(F.col("id") % 2 == 0, F.lit(b"hot")).otherwise(F.encode(F.col("id").cast("string"), "UTF-8")).alias("hash"))
+    rows = X._in_parts(entries, spark.createDataFrame([(b"hot", 20)], "hash binary, parts int"))
+    counts = sorted(r["count"] for r in rows.groupBy("hash", "part").count().filter(F.col("hash") == F.lit(b"hot")).collect())
+    assert len(counts) == 20 and sum(counts) == 2000 and counts[-1] <= 2 * counts[10]
+    assert rows.filter("hash <> 'hot' and part <> 0").count() == 0 and rows.count() == 4000
+
+
 def test_hot_chunk_and_stored_streams(spark, monkeypatch):
     """A chunk that every file has comes to as many parts as its entries fill."""
     monkeypatch.setattr(X, "ENTRIES_A_PART", 3)
